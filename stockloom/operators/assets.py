@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,32 +25,155 @@ TEXTURE_READER = "texture2dreader"
 SURFACE_FORMATS = {0: "Color", 4: "Dxt1", 5: "Dxt3", 6: "Dxt5"}
 
 
-def _byte(content: Column, at: Column) -> Column:
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, and that the optimizer does not copy into it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _byte(data: Column, at: Column) -> Column:
     """Unsigned byte at a 1-based position; null past the end."""
-    return F.conv(F.hex(F.substring(content, at, F.lit(1))), 16, 10).try_cast("int")
+    return F.conv(F.hex(F.substring(data, at, F.lit(1))), 16, 10).try_cast("int")
 
 
-def _int32(content: Column, at: Column) -> Column:
+def _int32(data: Column, at: Column) -> Column:
     """Little-endian signed 32-bit integer; null past the end."""
-    parts = [_byte(content, at + i).cast("bigint") for i in range(4)]
-    unsigned = parts[0] + parts[1] * 256 + parts[2] * 65_536 + parts[3] * 16_777_216
-    return F.when(unsigned >= 2**31, unsigned - 2**32).otherwise(unsigned)
+    low, middle, high, top = (_byte(data, at + i).cast("bigint") for i in range(4))
+    return _signed32(low + middle * 256 + high * 65_536 + top * 16_777_216)
+
 
+def _signed32(unsigned: Column) -> Column:
+    return _let(unsigned, lambda u: F.when(u >= 2**31, u - 2**32).otherwise(u))
 
-def _varint(content: Column, at: Column) -> Column:
+
+def _varint(data: Column, at: Column) -> Column:
     """struct(value, next): 7-bit groups, low first, at most five; null when cut off or longer."""
-    digits = [_byte(content, at + i) for i in range(5)]
-    total = F.lit(0).cast("bigint")
-    options = []
-    for i, digit in enumerate(digits):
-        total = total + digit.bitwiseAND(127).cast("bigint") * (1 << (7 * i))
-        wrapped = total.bitwiseAND(2**32 - 1)
-        value = F.when(wrapped >= 2**31, wrapped - 2**32).otherwise(wrapped)
-        done = (digit < 128) if i == 0 else (digits[i - 1] >= 128) & (digit < 128)
-        for j in range(i - 1):
-            done = done & (digits[j] >= 128)
-        options.append(F.when(done, F.struct(value.alias("value"), (at + i + 1).alias("next"))))
-    return F.coalesce(*options)
+
+    def value(groups: Column, n: Column) -> Column:
+        shifted = F.transform(
+            F.slice(groups, F.lit(1), n),
+            lambda g, i: g.bitwiseAND(127).cast("bigint") * F.pow(F.lit(128), i).cast("bigint"),
+        )
+        total = F.aggregate(shifted, F.lit(0).cast("bigint"), lambda a, x: a + x)
+        return _signed32(total.bitwiseAND(2**32 - 1))
+
+    def decode(groups: Column) -> Column:
+        ends = F.transform(groups, lambda g: F.coalesce(g < 128, F.lit(False)))
+        return _let(
+            F.array_position(ends, True).cast("int"),
+            lambda n: F.when(
+                n > 0, F.struct(value(groups, n).alias("value"), (at + n).alias("next"))
+            ),
+        )
+
+    return _let(
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: _byte(data, at + i)), decode
+    )
+
+
+def _reader_table(p: Column, count: Column, start: Column) -> Column:
+    """struct(at, names) after the reader table; null when it is cut off."""
+
+    def step(state: Column, _: Column) -> Column:
+        def entry(size: Column) -> Column:
+            # Name bytes, then a 4-byte version.
+            end = (size["next"] + size["value"]).cast("int")
+            name = F.substring(p, size["next"], size["value"].cast("int")).cast("string")
+            return F.when(
+                (size["value"] >= 0) & (end + 3 <= F.length(p)),
+                F.struct(
+                    (end + 4).alias("at"),
+                    F.concat(state["names"], F.array(name)).alias("names"),
+                ),
+            )
+
+        return _let(_varint(p, state["at"]), entry)
+
+    first = F.struct(start.alias("at"), F.array().cast("array<string>").alias("names"))
+    # A table cannot have more entries than bytes, which bounds the walk on damaged input.
+    usable = (count > 0) & (count <= F.length(p))
+    return F.when(usable, F.aggregate(F.sequence(F.lit(1), count.cast("int")), first, step))
+
+
+def _mips_end(p: Column, mips: Column, start: Column) -> Column:
+    """Position after the last mip level; null when one is cut off or has a negative length."""
+
+    def step(at: Column, _: Column) -> Column:
+        return _let(
+            _int32(p, at),
+            lambda size: F.when(
+                (size >= 0) & (at + 4 + size - 1 <= F.length(p)), (at + 4 + size).cast("int")
+            ),
+        )
+
+    usable = (mips > 0) & (mips <= F.length(p))
+    return F.when(usable, F.aggregate(F.sequence(F.lit(1), mips.cast("int")), start, step))
+
+
+_NO_FIELDS = {"surface_format": "int", "width": "int", "height": "int"}
+
+
+def _outcome(error: Column, **values: Column) -> Column:
+    """struct(surface_format, width, height, error); the fields are null when there is an error."""
+    fields = [
+        F.when(error.isNull(), values[n].cast(t)).alias(n) if n in values else F.lit(None).cast(t).alias(n)
+        for n, t in _NO_FIELDS.items()
+    ]
+    return F.struct(*fields, error.alias("error"))
+
+
+def _texture(p: Column, reader: Column, at: Column) -> Column:
+    """Outcome of the texture fields, which start at ``at``."""
+
+    def checked(t: Column) -> Column:
+        across = F.ceil(t["width"] / 4) * F.ceil(t["height"] / 4)
+        needed = (
+            F.when(t["format"] == 0, t["width"] * t["height"] * 4)
+            .when(t["format"] == 4, across * 8)
+            .otherwise(across * 16)
+        )
+        error = (
+            F.when(reader.isNull(), "invalid root reader")
+            .when(~F.lower(reader).contains(TEXTURE_READER), "not a texture")
+            .when(t["mips"].isNull(), "truncated")
+            .when((t["width"] <= 0) | (t["height"] <= 0), "invalid dimensions")
+            .when(t["mips"] <= 0, "no mip data")
+            .when(t["mip0"] < 0, "negative mip length")
+            .when(_mips_end(p, t["mips"], at + 16).isNull(), "truncated")
+            .when(~t["format"].isin(list(SURFACE_FORMATS)), "unsupported surface format")
+            .when(t["mip0"] < needed, "pixel data too short")
+        )
+        return _let(
+            error,
+            lambda e: _outcome(e, surface_format=t["format"], width=t["width"], height=t["height"]),
+        )
+
+    fields = ("format", "width", "height", "mips", "mip0")
+    return _let(F.struct(*[_int32(p, at + 4 * i).alias(n) for i, n in enumerate(fields)]), checked)
+
+
+def _payload(p: Column) -> Column:
+    """Outcome of an uncompressed payload: reader table, root reader, texture."""
+
+    def root_of(table: Column) -> Column:
+        def described(root: Column) -> Column:
+            index = root["value"].cast("int")
+            known = (index > 0) & (index <= F.size(table["names"]))
+            reader = F.when(known, F.get(table["names"], index - 1))
+            return F.when(root.isNull(), _outcome(F.lit("truncated"))).otherwise(
+                _let(reader, lambda r: _texture(p, r, root["next"]))
+            )
+
+        # One count of shared resources comes before the root's reader index.
+        return _let(_let(_varint(p, table["at"]), lambda s: _varint(p, s["next"])), described)
+
+    def tabled(readers: Column) -> Column:
+        return (
+            F.when(readers.isNull(), _outcome(F.lit("truncated")))
+            .when(readers["value"] <= 0, _outcome(F.lit("no type readers")))
+            .otherwise(_let(_reader_table(p, readers["value"], readers["next"]), root_of))
+        )
+
+    return _let(_varint(p, F.lit(1)), tabled)
 
 
 def asset_header(files: DataFrame, content: str = "content") -> DataFrame:
@@ -59,106 +184,35 @@ def asset_header(files: DataFrame, content: str = "content") -> DataFrame:
     """
     others = [c for c in files.columns if c != content]
     c = F.col(content)
-    flags = _byte(c, F.lit(6))
-    stage = files.select(
-        *others,
-        c,
-        (F.substring(c, 1, 3) == F.lit(MAGIC)).alias("_magic"),
-        _byte(c, F.lit(5)).alias("_version"),
-        flags.bitwiseAND(FLAG_COMPRESSED).alias("_compressed"),
-        flags.bitwiseAND(FLAG_LZ4).alias("_lz4"),
-        _int32(c, F.lit(7)).alias("_declared"),
-    )
-    plain = F.coalesce(
-        F.col("_magic") & (F.col("_version") >= MIN_VERSION) & (F.col("_compressed") == 0),
-        F.lit(False),
-    )
-    # The payload ends where the header says, if the file is that long.
-    size = F.col("_declared") - HEADER_BYTES
-    available = F.length(c) - HEADER_BYTES
-    length = F.when((size < 0) | (size > available), available).otherwise(size)
-    payload = F.when(plain, F.substring(c, F.lit(HEADER_BYTES + 1), length.cast("int")))
-    stage = stage.withColumn("_p", payload)
-    p = F.col("_p")
-
-    stage = stage.withColumn("_readers", _varint(p, F.lit(1)))
-    # Walk over the reader table: name length, name, version. A cut-off table ends the walk in null.
-    start = F.struct(
-        F.col("_readers.next").cast("int").alias("at"),
-        F.array().cast("array<string>").alias("names"),
-    )
 
-    def step(state: Column, _: Column) -> Column:
-        size_of = _varint(p, state["at"])
-        begin = size_of["next"]
-        end = (begin + size_of["value"]).cast("int")
-        name = F.substring(p, begin, size_of["value"].cast("int")).cast("string")
-        whole = end + 3 <= F.length(p)
-        return F.when(
-            whole & (size_of["value"] >= 0),
-            F.struct(
-                (end + 4).alias("at"),
-                F.concat(state["names"], F.array(name)).alias("names"),
-            ),
+    def parsed(h: Column) -> Column:
+        def fails(text: str) -> Column:
+            return _outcome(F.lit(text))
+
+        # The payload ends where the header says, if the file is that long.
+        size, available = h["declared"] - HEADER_BYTES, F.length(c) - HEADER_BYTES
+        length = F.when((size < 0) | (size > available), available).otherwise(size).cast("int")
+        return (
+            F.when(~h["magic"], fails("invalid magic"))
+            .when(h["declared"].isNull(), fails("truncated"))
+            .when(h["version"] < MIN_VERSION, fails("unsupported version"))
+            .when((h["compressed"] != 0) & (h["lz4"] != 0), fails("lz4 compressed"))
+            .when(h["compressed"] != 0, fails("compressed"))
+            .otherwise(_let(F.substring(c, F.lit(HEADER_BYTES + 1), length), _payload))
         )
 
-    # A table cannot have more entries than bytes, which bounds the walk on damaged input.
-    count = F.col("_readers.value")
-    walk = F.aggregate(F.sequence(F.lit(1), count.cast("int")), start, step)
-    usable = (count > 0) & (count <= F.length(p))
-    stage = stage.withColumn("_table", F.when(usable, walk))
-    stage = stage.withColumn("_shared", _varint(p, F.col("_table.at")))
-    stage = stage.withColumn("_root", _varint(p, F.col("_shared.next")))
-    root = F.col("_root.value").cast("int")
-    reader = F.when(
-        (root > 0) & (root <= F.size("_table.names")), F.try_element_at(F.col("_table.names"), root)
-    )
-    at = F.col("_root.next").cast("int")
-    stage = stage.withColumns(
-        {
-            "_reader": reader,
-            "_format": _int32(p, at),
-            "_width": _int32(p, at + 4),
-            "_height": _int32(p, at + 8),
-            "_mips": _int32(p, at + 12),
-            "_mip0": _int32(p, at + 16),
-            "_after": F.length(p) - (at + 19),
-        }
-    )
-    error = (
-        F.when(~F.coalesce(F.col("_magic"), F.lit(False)), "invalid magic")
-        .when(F.col("_declared").isNull(), "truncated")
-        .when(F.col("_version") < MIN_VERSION, "unsupported version")
-        .when((F.col("_compressed") != 0) & (F.col("_lz4") != 0), "lz4 compressed")
-        .when(F.col("_compressed") != 0, "compressed")
-        .when(F.col("_readers").isNull(), "truncated")
-        .when(count <= 0, "no type readers")
-        .when(F.col("_table").isNull() | F.col("_root").isNull(), "truncated")
-        .when(F.col("_reader").isNull(), "invalid root reader")
-        .when(~F.lower("_reader").contains(TEXTURE_READER), "not a texture")
-        .when(F.col("_mips").isNull(), "truncated")
-        .when((F.col("_width") <= 0) | (F.col("_height") <= 0), "invalid dimensions")
-        .when(F.col("_mips") <= 0, "no mip data")
-        .when(F.col("_mip0").isNull(), "truncated")
-        .when(F.col("_mip0") < 0, "negative mip length")
-        .when(F.col("_mip0") > F.col("_after"), "truncated")
-        .when(~F.col("_format").isin(list(SURFACE_FORMATS)), "unsupported surface format")
-        .when(
-            (F.col("_format") == 0)
-            & (F.col("_mip0") < F.col("_width").cast("bigint") * F.col("_height") * 4),
-            "color data too short",
-        )
-    )
-    readable = stage.withColumn("error", error)
-    ok = F.col("error").isNull()
-    return readable.select(
-        *others,
-        F.when(ok, F.col("_format").cast("int")).alias("surface_format"),
-        F.when(ok, F.col("_width").cast("int")).alias("width"),
-        F.when(ok, F.col("_height").cast("int")).alias("height"),
-        F.coalesce(F.col("_compressed") != 0, F.lit(False)).alias("compressed"),
-        "error",
+    flags = _byte(c, F.lit(6))
+    fixed = F.struct(
+        F.coalesce(F.substring(c, 1, 3) == F.lit(MAGIC), F.lit(False)).alias("magic"),
+        _byte(c, F.lit(5)).alias("version"),
+        flags.bitwiseAND(FLAG_COMPRESSED).alias("compressed"),
+        flags.bitwiseAND(FLAG_LZ4).alias("lz4"),
+        _int32(c, F.lit(7)).alias("declared"),
     )
+    compressed = F.coalesce(flags.bitwiseAND(FLAG_COMPRESSED) != 0, F.lit(False))
+    return files.select(
+        *others, compressed.alias("compressed"), _let(fixed, parsed).alias("_h")
+    ).select(*others, "_h.surface_format", "_h.width", "_h.height", "compressed", "_h.error")
 
 
 def asset_names(assets: DataFrame, item_names: DataFrame) -> DataFrame:

@@ -20,13 +20,17 @@ def fk_violations(
     parent: DataFrame,
     pk: str,
     dataset: str,
-    field: str,
+    field: str | Column,
     record_id: Column,
     element_index: Column | None = None,
     exempt: Column | None = None,
+    parent_unique: bool = True,
 ) -> DataFrame:
     """References without a parent; a null reference is a violation.
 
+    Rows marked ``exempt`` are not checked. With ``parent_unique`` false the parent ids are reduced
+    first, on the same partitioning the join needs.
+
     Only the columns of the result and the key are shuffled. A hot key sits on the probe side of an
     anti join, which adaptive skew handling can split; the parent side holds each id once.
     """
@@ -35,11 +39,12 @@ def fk_violations(
     probe = rows.select(
         F.lit(dataset).alias("dataset"),
         record_id.cast("string").alias("record_id"),
-        F.lit(field).alias("field"),
+        (F.lit(field) if isinstance(field, str) else field).alias("field"),
         fk.cast("bigint").alias("ref_id"),
         index.cast("int").alias("element_index"),
     )
     ids = valid_ids(parent, pk)
+    ids = ids if parent_unique else ids.distinct()
     return probe.join(ids, "ref_id", "left_anti").select(*FK_COLUMNS)
 
 
@@ -49,6 +54,18 @@ def valid_ids(parent: DataFrame, pk: str) -> DataFrame:
     )
 
 
+def fk_violation_counts(
+    child: DataFrame, fk: str, parent: DataFrame, pk: str, out: str = "n_rows"
+) -> DataFrame:
+    """(ref_id, number of rows) of every dangling reference; null references are one group.
+
+    Rows are counted per reference before the join, so a hot reference is one row when it meets the
+    parent.
+    """
+    counts = child.groupBy(F.col(fk).cast("bigint").alias("ref_id")).agg(F.count("*").alias(out))
+    return counts.join(valid_ids(parent, pk), "ref_id", "left_anti")
+
+
 def fk_violations_nested(
     child: DataFrame,
     arr: str,
@@ -62,12 +79,13 @@ def fk_violations_nested(
     """As :func:`fk_violations` for the elements of a list, with their 0-based position.
 
     ``fk`` names the field inside a struct element; None takes the element itself. A null list has
-    no elements; a null element is a violation with a null reference.
+    no elements; a null element is a violation with a null reference, reported for the list itself.
     """
     elements = child.select(record_id.cast("string").alias("_rid"), F.posexplode(arr).alias("_pos", "_el"))
     ref = F.col("_el") if fk is None else F.col("_el")[fk]
+    label = field if fk is None else F.when(F.col("_el").isNull(), f"{arr}[]").otherwise(field)
     return fk_violations(
-        elements, ref, parent, pk, dataset, field, F.col("_rid"), element_index=F.col("_pos")
+        elements, ref, parent, pk, dataset, label, F.col("_rid"), element_index=F.col("_pos")
     )
 
 
@@ -82,6 +100,31 @@ def union_failures(*failures: DataFrame) -> DataFrame:
     return out
 
 
+def contains_all_rows(
+    df: DataFrame, keys: Sequence[str], value: str, required: Sequence[int]
+) -> DataFrame:
+    """Keys whose rows hold every required value: the flat form of ``contains_all``.
+
+    Only matching rows are read on, and repeats collapse before the shuffle.
+    """
+    return (
+        df.filter(F.col(value).isin(list(required)))
+        .groupBy(*keys)
+        .agg(F.bit_or(_required_bit(F.col(value), required)).alias("_bits"))
+        .filter(F.col("_bits") == (1 << len(required)) - 1)
+        .select(*keys)
+    )
+
+
+def _required_bit(value: Column, required: Sequence[int]) -> Column:
+    if len(required) > 60:
+        raise ValueError("at most 60 required values")
+    bit = F.lit(0)
+    for i, r in enumerate(required):
+        bit = F.when(value == r, 1 << i).otherwise(bit)
+    return bit.cast("bigint")
+
+
 def missing_files(manifest: DataFrame, path: Column, listing: DataFrame) -> DataFrame:
     """Rows whose file is not in the listing (``path`` column), by anti join."""
     present = listing.select(F.col("path").alias("_path")).distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from stockloom.functions.names import EDGE_ITEM_LABEL, fallback_label, resolve_n
 from stockloom.functions.numbers import default_amount
 from stockloom.operators.dedupe import dedupe_first
 from stockloom.operators.lookups import lookup_left, with_equivalent
+from stockloom.operators.nesting import take_while_rows
 from stockloom.schemas import DECOMPOSE_EDGE, DIRECT_EDGE
 
 EDGE_KEY = ["input_item_id", "output_item_id", "output_amount", "type"]
@@ -40,13 +43,31 @@ def _direct_keys(ids: DataFrame, transform_map: DataFrame) -> DataFrame:
 
 
 def recipe_outputs(recipes: DataFrame) -> DataFrame:
-    """(recipe_index, outputs): custom results when present, even if empty, else required items.
+    """(recipe_index, output_item_id, stack) from nested recipes.
+
+    Custom results are used when present, even if empty, else the required items. The list stops at
+    the first id <= 0; null elements are skipped.
+    """
+    outputs = take_while(
+        F.coalesce(F.col("custom_results"), F.col("required_items")), lambda x: x["type"] <= 0
+    )
+    return recipes.select("recipe_index", F.explode(outputs).alias("o")).select(
+        "recipe_index", F.col("o")["type"].alias("output_item_id"), F.col("o")["stack"].alias("stack")
+    )
+
 
-    The list stops at the first id <= 0; null elements are skipped.
+def flat_recipe_outputs(
+    required: DataFrame, custom: DataFrame, has_custom: DataFrame, order: Sequence[str]
+) -> DataFrame:
+    """As :func:`recipe_outputs` from flat rows (recipe_index, order..., type, stack).
+
+    ``has_custom`` lists the recipes whose custom results replace the required items; such a recipe
+    without rows in ``custom`` has no outputs.
     """
-    outputs = F.coalesce(F.col("custom_results"), F.col("required_items"))
-    return recipes.select(
-        "recipe_index", take_while(outputs, lambda x: x["type"] <= 0).alias("outputs")
+    slots = required.join(has_custom, "recipe_index", "left_anti").unionByName(custom)
+    kept = take_while_rows(slots, ["recipe_index"], order, F.col("type") <= 0)
+    return kept.filter(F.col("type").isNotNull()).select(
+        "recipe_index", F.col("type").alias("output_item_id"), "stack"
     )
 
 
@@ -55,25 +76,26 @@ def _decompose_keys(
     transform_map: DataFrame,
     equivalence_map: DataFrame,
     decraft_map: DataFrame,
-    recipes: DataFrame,
+    outputs: DataFrame,
 ) -> DataFrame:
     inputs = ids.filter(F.col("item_id") >= 1).select("item_id")
     equivalents = with_equivalent(inputs, equivalence_map, "item_id", "equivalent_id")
     blocked = transform_map.filter(F.col("to_item_id") > 0).select(
         F.col("item_id").alias("equivalent_id")
     )
-    decraft = decraft_map.select(F.col("item_id").alias("equivalent_id"), "recipe_index")
-    exploded = (
+    decraft = decraft_map.filter(F.col("recipe_index") >= 0).select(
+        F.col("item_id").alias("equivalent_id"), "recipe_index"
+    )
+    return (
         equivalents.join(blocked, "equivalent_id", "left_anti")
         .join(decraft, "equivalent_id")
-        .join(recipe_outputs(recipes), "recipe_index")
-        .select("item_id", F.explode("outputs").alias("o"))
-    )
-    return exploded.select(
-        F.col("item_id").alias("input_item_id"),
-        F.col("o")["type"].alias("output_item_id"),
-        default_amount(F.col("o")["stack"]).alias("output_amount"),
-        F.lit(DECOMPOSE_EDGE).alias("type"),
+        .join(outputs, "recipe_index")
+        .select(
+            F.col("item_id").alias("input_item_id"),
+            "output_item_id",
+            default_amount(F.col("stack")).alias("output_amount"),
+            F.lit(DECOMPOSE_EDGE).alias("type"),
+        )
     )
 
 
@@ -108,13 +130,14 @@ def decompose_edges(
     transform_map: DataFrame,
     equivalence_map: DataFrame,
     decraft_map: DataFrame,
-    recipes: DataFrame,
+    outputs: DataFrame,
 ) -> DataFrame:
     """One edge per output of the recipe of each id's equivalent.
 
+    ``outputs`` comes from :func:`recipe_outputs` or :func:`flat_recipe_outputs`.
     An id is skipped when its *equivalent* has a direct transform; the id itself may have one.
     """
-    keys = _decompose_keys(item_names, transform_map, equivalence_map, decraft_map, recipes)
+    keys = _decompose_keys(item_names, transform_map, equivalence_map, decraft_map, outputs)
     return _with_names(dedupe_first(keys, EDGE_KEY), item_names)
 
 
@@ -123,11 +146,11 @@ def transform_edges(
     transform_map: DataFrame,
     equivalence_map: DataFrame,
     decraft_map: DataFrame,
-    recipes: DataFrame,
+    outputs: DataFrame,
 ) -> DataFrame:
     """Direct and decomposition edges, each once. Unordered; see :func:`edge_order`."""
     keys = _direct_keys(item_names, transform_map).unionByName(
-        _decompose_keys(item_names, transform_map, equivalence_map, decraft_map, recipes)
+        _decompose_keys(item_names, transform_map, equivalence_map, decraft_map, outputs)
     )
     return _with_names(dedupe_first(keys, EDGE_KEY), item_names)
 

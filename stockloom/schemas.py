@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import (
+    ArrayType,
+    BooleanType,
+    DataType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructType,
+)
+
+INT, LONG, TEXT, BOOL = IntegerType(), LongType(), StringType(), BooleanType()
 
 # Recipe flag columns and the label each one turns into, in output order.
 RECIPE_FLAGS: tuple[tuple[str, str], ...] = (
@@ -28,55 +38,80 @@ DIRECT_EDGE = "item_transform"
 DECOMPOSE_EDGE = "deconstruct"
 
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+def struct(**fields: DataType) -> StructType:
+    out = StructType()
+    for name, dtype in fields.items():
+        out.add(name, dtype)
+    return out
 
 
-_SLOT = "STRUCT<type: INT, name: STRING, stack: INT>"
+_SLOT = struct(type=INT, name=TEXT, stack=INT)
 
-ITEMS = _schema("id INT, name STRING, internal_name STRING, value INT, sell_price INT")
-RECIPES = _schema(
-    "recipe_index INT, result_item_id INT, result_item_name STRING, result_amount INT, "
-    "ingredients ARRAY<STRUCT<item_id: INT, name: STRING, count: INT>>, "
-    "crafting_stations ARRAY<STRING>, conditions ARRAY<STRING>"
+ITEMS = struct(id=INT, name=TEXT, internal_name=TEXT, value=INT, sell_price=INT)
+RECIPES = struct(
+    recipe_index=INT,
+    result_item_id=INT,
+    result_item_name=TEXT,
+    result_amount=INT,
+    ingredients=ArrayType(struct(item_id=INT, name=TEXT, count=INT)),
+    crafting_stations=ArrayType(TEXT),
+    conditions=ArrayType(TEXT),
 )
-EDGES = _schema(
-    "input_item_id INT, input_item_name STRING, output_item_id INT, output_item_name STRING, "
-    "output_amount INT, type STRING"
+EDGES = struct(
+    input_item_id=INT,
+    input_item_name=TEXT,
+    output_item_id=INT,
+    output_item_name=TEXT,
+    output_amount=INT,
+    type=TEXT,
 )
-SHOPS = _schema(
-    "npc_id INT, npc_name STRING, shop_name STRING, "
-    "items ARRAY<STRUCT<item_id: INT, name: STRING, buy_price: INT, conditions: ARRAY<STRING>>>"
+SHOPS = struct(
+    npc_id=INT,
+    npc_name=TEXT,
+    shop_name=TEXT,
+    items=ArrayType(struct(item_id=INT, name=TEXT, buy_price=INT, conditions=ArrayType(TEXT))),
 )
-MANIFEST = _schema(
-    "id INT, category STRING, internal_name STRING, sprite_file STRING, width INT, height INT"
+MANIFEST = struct(
+    id=INT, category=TEXT, internal_name=TEXT, sprite_file=TEXT, width=INT, height=INT
 )
 
-RAW_ITEMS = _schema("id INT, value INT, display_name STRING")
-INTERNAL_NAMES = _schema("id INT, internal_name STRING")
-RAW_RECIPES = _schema(
-    f"recipe_index INT, result {_SLOT}, required_items ARRAY<{_SLOT}>, required_tiles ARRAY<INT>, "
-    + "".join(f"{flag} BOOLEAN, " for flag, _ in RECIPE_FLAGS)
-    + f"custom_results ARRAY<{_SLOT}>"
-)
-TILE_NAMES = _schema("tile_id INT, name STRING")
-TRANSFORM_MAP = _schema("item_id INT, to_item_id INT")
-EQUIVALENCE_MAP = _schema("item_id INT, counts_as_id INT")
-DECRAFT_MAP = _schema("item_id INT, recipe_index INT")
-SHOP_MAP = _schema(
-    "shop_id INT, npc_id INT, shop_name STRING, sampled BOOLEAN, has_second_source BOOLEAN"
+RAW_ITEMS = struct(id=INT, value=INT, display_name=TEXT)
+INTERNAL_NAMES = struct(id=INT, internal_name=TEXT)
+RAW_RECIPES = struct(
+    recipe_index=INT,
+    result=_SLOT,
+    required_items=ArrayType(_SLOT),
+    required_tiles=ArrayType(INT),
+    **{flag: BOOL for flag, _ in RECIPE_FLAGS},
+    custom_results=ArrayType(_SLOT),
 )
-SHOP_SLOTS = _schema(
-    "shop_id INT, slot INT, item_id INT, is_air BOOLEAN, name STRING, buy_price INT, "
-    "special_currency INT"
+TILE_NAMES = struct(tile_id=INT, name=TEXT)
+TRANSFORM_MAP = struct(item_id=INT, to_item_id=INT)
+EQUIVALENCE_MAP = struct(item_id=INT, counts_as_id=INT)
+DECRAFT_MAP = struct(item_id=INT, recipe_index=INT)
+SHOP_MAP = struct(shop_id=INT, npc_id=INT, shop_name=TEXT, sampled=BOOL, has_second_source=BOOL)
+SHOP_SLOTS = struct(
+    shop_id=INT,
+    slot=INT,
+    item_id=INT,
+    is_air=BOOL,
+    name=TEXT,
+    buy_price=INT,
+    special_currency=INT,
 )
-SHOP_ROLLS = _schema("sample INT, slot INT, item_id STRING")
-NPC_NAMES = _schema("npc_id INT, name STRING")
-SOURCE_LINES = _schema("file STRING, line_no BIGINT, line STRING")
+SHOP_ROLLS = struct(shop_id=INT, sample=INT, slot=INT, item_id=TEXT)
+NPC_NAMES = struct(npc_id=INT, name=TEXT)
+SOURCE_LINES = struct(file=TEXT, line_no=LONG, line=TEXT)
 
-RUN_LOG = _schema(
-    "phase_name STRING, phase_key STRING, row_count BIGINT, succeeded BOOLEAN, json_path STRING, "
-    "csv_path STRING, elapsed_ms BIGINT, errors ARRAY<STRING>"
+RUN_LOG = struct(
+    phase_name=TEXT,
+    phase_key=TEXT,
+    row_count=LONG,
+    succeeded=BOOL,
+    json_path=TEXT,
+    csv_path=TEXT,
+    elapsed_ms=LONG,
+    errors=ArrayType(TEXT),
 )
 
 # Public JSON field names of each dataset, in CSV column order.

@@ -6,7 +6,7 @@ lines or Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegralType, StringType, StructType
 
@@ -51,30 +51,48 @@ def read_json_array(spark: SparkSession, path: str) -> tuple[DataFrame, str | No
     )
 
 
-def _field(record: str, name: str, dtype: DataType):
-    path = f"$.{name}"
-    value = F.try_variant_get(record, path, dtype.simpleString())
+def _typed(value: Column, dtype: DataType, names: dict[str, dict[str, str]], field: str) -> Column:
+    """A variant as ``dtype``, or null when it holds another type.
+
+    A lenient get turns true, 2.0 and "5" into integers, so the stored type is tested first.
+    """
+    kind = F.schema_of_variant(value)
+    if isinstance(dtype, StructType):
+        return F.when(kind.startswith("OBJECT"), _struct(value, dtype, names, field))
+    if isinstance(dtype, ArrayType):
+        elements = F.try_variant_get(value, "$", "array<variant>")
+        return F.transform(elements, lambda x: _typed(x, dtype.elementType, names, field))
+    plain = F.try_variant_get(value, "$", dtype.simpleString())
     if isinstance(dtype, IntegralType):
-        # A lenient get turns true, 2.0 and "5" into integers; only real integers count here.
-        kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
-        return F.when(kind == "BIGINT", value)
+        return F.when(kind == "BIGINT", plain)
     if isinstance(dtype, StringType):
-        kind = F.schema_of_variant(F.try_variant_get(record, path, "variant"))
-        return F.when(kind == "STRING", value)
-    return value
+        return F.when(kind == "STRING", plain)
+    return plain
+
+
+def _member(value: Column, dtype: DataType, names: dict[str, dict[str, str]], group: str, field: str):
+    json_name = names.get(group, {}).get(field, field)
+    return _typed(F.try_variant_get(value, f"$.{json_name}", "variant"), dtype, names, field)
 
 
-def as_typed(records: DataFrame, schema: StructType, names: dict[str, str]) -> DataFrame:
-    """Typed columns from variant records; ``names`` maps column -> JSON field.
+def _struct(value: Column, dtype: StructType, names: dict[str, dict[str, str]], group: str) -> Column:
+    return F.struct(
+        *[_member(value, f.dataType, names, group, f.name).alias(f.name) for f in dtype.fields]
+    )
+
 
-    A field of another type becomes null. Array elements of another type become null elements.
+def as_typed(
+    records: DataFrame, schema: StructType, names: dict[str, dict[str, str]] | None = None
+) -> DataFrame:
+    """(pos, is_object, typed columns) from variant records.
+
+    ``names`` maps column -> JSON field, per nested column and under ``""`` for the top level; a
+    missing entry means equal names. A field of another type becomes null, a list element of another
+    type becomes a null element.
     """
-    columns = []
-    for field in schema.fields:
-        json_name = names[field.name]
-        if isinstance(field.dataType, ArrayType):
-            elements = F.try_variant_get("record", f"$.{json_name}", "array<variant>")
-            columns.append(elements.alias(field.name))
-        else:
-            columns.append(_field("record", json_name, field.dataType).alias(field.name))
-    return records.select("pos", "is_object", *columns)
+    record = F.col("record")
+    return records.select(
+        "pos",
+        "is_object",
+        *[_member(record, f.dataType, names or {}, "", f.name).alias(f.name) for f in schema.fields],
+    )

@@ -15,14 +15,14 @@ def _text(value: Column) -> Column:
 
 def encode_ingredient(x: Column) -> Column:
     """``<item_id>:<name>x<count>``."""
-    return F.concat(_text(x.item_id), F.lit(":"), _text(x.name), F.lit("x"), _text(x["count"]))
+    return F.concat(_text(x["item_id"]), F.lit(":"), _text(x["name"]), F.lit("x"), _text(x["count"]))
 
 
 def encode_offer(x: Column) -> Column:
     """``<item_id>|<name>|<buy_price>|<cond>&<cond>``; no condition leaves the last part empty."""
-    conditions = F.coalesce(F.array_join(x.conditions, "&", ""), F.lit(""))
+    conditions = F.coalesce(F.array_join(x["conditions"], "&", ""), F.lit(""))
     bar = F.lit("|")
-    return F.concat(_text(x.item_id), bar, _text(x.name), bar, _text(x.buy_price), bar, conditions)
+    return F.concat(_text(x["item_id"]), bar, _text(x["name"]), bar, _text(x["buy_price"]), bar, conditions)
 
 
 def list_to_cell(arr: Column, sep: str = ";") -> Column:

@@ -187,12 +187,15 @@ def count_metrics(df: DataFrame, metrics: dict[str, Column | None]) -> DataFrame
     """(metric, actual): counts of rows meeting each condition (None counts all), in one scan."""
     counts = df.agg(
         *[
-            (F.count("*") if condition is None else F.count_if(condition)).alias(name)
-            for name, condition in metrics.items()
+            (F.count("*") if condition is None else F.count_if(condition)).alias(f"_{i}")
+            for i, condition in enumerate(metrics.values())
         ]
     )
     pairs = F.array(
-        *[F.struct(F.lit(m).alias("metric"), F.col(m).alias("actual")) for m in metrics]
+        *[
+            F.struct(F.lit(m).alias("metric"), F.col(f"_{i}").alias("actual"))
+            for i, m in enumerate(metrics)
+        ]
     )
     return counts.select(F.explode(pairs).alias("p")).select("p.metric", "p.actual")
 

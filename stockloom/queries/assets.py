@@ -129,7 +129,7 @@ def _asset_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "asset_progress",
     f"""WITH {SQL_ASSETS}
-    SELECT count(*) AS processed, count_if(error IS NULL) AS saved, count_if(error IS NOT NULL) AS failed FROM named""",
+    SELECT count(*) AS processed, CAST(count_if(error IS NULL) AS BIGINT) AS saved, CAST(count_if(error IS NOT NULL) AS BIGINT) AS failed FROM named""",
 )
 def _asset_progress(spark: SparkSession, folder: str) -> DataFrame:
     return progress_counters(

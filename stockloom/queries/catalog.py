@@ -492,8 +492,8 @@ def _dedupe_first_wins(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "ordered_distinct_list",
     """
-    WITH f AS (SELECT user_id, event_type, min(event_id) AS at FROM events GROUP BY ALL)
-    SELECT user_id, string_agg(event_type, '>' ORDER BY at) AS first_seen FROM f GROUP BY 1
+    WITH f AS (SELECT user_id, event_type, min(event_id) AS place FROM events GROUP BY ALL)
+    SELECT user_id, string_agg(event_type, '>' ORDER BY place) AS first_seen FROM f GROUP BY 1
     """,
 )
 def _ordered_distinct_list(spark: SparkSession, folder: str) -> DataFrame:

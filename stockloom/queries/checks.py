@@ -142,7 +142,7 @@ def _row_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "count_by_type",
     """
-    SELECT t AS type, count_if(event_type = t) AS n
+    SELECT t AS type, CAST(count_if(event_type = t) AS BIGINT) AS n
     FROM events, (VALUES ('click'), ('view'), ('refund')) AS v(t) GROUP BY 1
     """,
 )
@@ -165,9 +165,9 @@ RANGES = [
 _SQL_RANGES = """
     WITH c AS (
       SELECT 'lines' AS name, count(*) AS actual, 1000 AS lo, 2000000000 AS hi FROM lineitem
-      UNION ALL SELECT 'returned_lines', count_if(l_returnflag = 'R'), 10, 100 FROM lineitem
+      UNION ALL SELECT 'returned_lines', CAST(count_if(l_returnflag = 'R') AS BIGINT), 10, 100 FROM lineitem
       UNION ALL SELECT 'orders', count(*), 500000000000, NULL FROM orders
-      UNION ALL SELECT 'urgent_orders', count_if(o_orderpriority = '1-URGENT'), 1, NULL FROM orders
+      UNION ALL SELECT 'urgent_orders', CAST(count_if(o_orderpriority = '1-URGENT') AS BIGINT), 1, NULL FROM orders
       UNION ALL SELECT 'parts', count(*), 1, 10 FROM part)
     SELECT name AS "check", CASE WHEN hi IS NULL THEN '>=' || lo ELSE lo || '-' || hi END AS expected, actual,
       actual >= lo AS pass, coalesce(actual > hi, false) AS warning,
@@ -302,10 +302,10 @@ def _spot_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SQL_SECTIONS = f"""
-    SELECT 'count_ranges' AS section, count_if(NOT pass) AS n_failures FROM ({_SQL_RANGES})
+    SELECT 'count_ranges' AS section, CAST(count_if(NOT pass) AS BIGINT) AS n_failures FROM ({_SQL_RANGES})
     UNION ALL SELECT 'foreign_keys', count(*) FROM ({_FK_FLAT})
     UNION ALL SELECT 'row_rules', count(*) FROM ({_SQL_RULES})
-    UNION ALL SELECT 'spot_checks', count_if(NOT pass) FROM ({_SQL_SPOTS})
+    UNION ALL SELECT 'spot_checks', CAST(count_if(NOT pass) AS BIGINT) FROM ({_SQL_SPOTS})
     UNION ALL SELECT 'lines_have_orders', count(*) FROM lineitem
       WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)"""
 
@@ -335,7 +335,7 @@ def _validation_sections(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "validation_status",
     f"""SELECT CASE WHEN bool_and(n_failures = 0) THEN 'PASS' ELSE 'FAIL' END AS status,
-      count_if(n_failures = 0) AS n_passed, count_if(n_failures > 0) AS n_failed FROM ({_SQL_SECTIONS})""",
+      CAST(count_if(n_failures = 0) AS BIGINT) AS n_passed, CAST(count_if(n_failures > 0) AS BIGINT) AS n_failed FROM ({_SQL_SECTIONS})""",
 )
 def _validation_status(spark: SparkSession, folder: str) -> DataFrame:
     return overall_status(sections(spark, folder))

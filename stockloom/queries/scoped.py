@@ -74,8 +74,8 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
       UNION ALL SELECT file, l_orderkey, l_linenumber, 3, '9' || low, [] FROM g),
     items AS (SELECT DISTINCT file, l_orderkey, item FROM i),
     c AS (SELECT file, l_orderkey, l_linenumber, k, item, unnest(conds) AS cond, unnest(range(len(conds))) AS ord FROM i),
-    f AS (SELECT file, l_orderkey, item, cond, min((l_linenumber, k, ord)) AS at FROM c GROUP BY ALL),
-    l AS (SELECT file, l_orderkey, item, string_agg(cond, ' & ' ORDER BY at) AS conditions FROM f GROUP BY ALL)
+    f AS (SELECT file, l_orderkey, item, cond, min((l_linenumber, k, ord)) AS place FROM c GROUP BY ALL),
+    l AS (SELECT file, l_orderkey, item, string_agg(cond, ' & ' ORDER BY place) AS conditions FROM f GROUP BY ALL)
     SELECT file, CAST(l_orderkey + 1 AS INT) AS case_id, CAST(item AS INT) AS item_id, coalesce(conditions, '') AS conditions
     FROM items LEFT JOIN l USING (file, l_orderkey, item)
     """,

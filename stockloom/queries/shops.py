@@ -74,8 +74,8 @@ SQL_OFFERS = f"""
     conds AS (
       SELECT shop, item, 'specialCurrency=' || currency AS cond, slot AS a, 0 AS b FROM slots WHERE currency >= 0
       UNION ALL SELECT shop, item, cond, 1, ord FROM parsed),
-    ranked AS (SELECT shop, item, cond, min((a, b)) AS at FROM conds GROUP BY ALL),
-    lists AS (SELECT shop, item, string_agg(cond, '&' ORDER BY at) AS conditions FROM ranked GROUP BY ALL),
+    ranked AS (SELECT shop, item, cond, min((a, b)) AS place FROM conds GROUP BY ALL),
+    lists AS (SELECT shop, item, string_agg(cond, '&' ORDER BY place) AS conditions FROM ranked GROUP BY ALL),
     inames AS (SELECT CAST(p_partkey AS INT) AS id, {SQL_INTERNAL} AS iname FROM part),
     offers AS (
       SELECT first.shop, first.item, coalesce(
@@ -158,7 +158,7 @@ def _sum_nested_sizes(spark: SparkSession, folder: str) -> DataFrame:
     WITH r AS (
       SELECT user_id, CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS priority, event_id
       FROM events WHERE event_type IN ('purchase', 'click', 'view') AND value < 2),
-    ok AS (SELECT user_id FROM events GROUP BY 1 HAVING count_if(event_type = 'signup' AND value < 8) > 0),
+    ok AS (SELECT user_id FROM events GROUP BY 1 HAVING bool_or(event_type = 'signup' AND value < 8)),
     n AS (SELECT user_id, priority, count(*) AS n_rows, min(event_id) AS first_event FROM r GROUP BY ALL),
     cand AS (SELECT user_id, 1 AS priority FROM ok UNION SELECT user_id, priority FROM n WHERE priority > 1),
     chosen AS (SELECT user_id, min(priority) AS priority FROM cand GROUP BY 1)

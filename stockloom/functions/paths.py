@@ -27,7 +27,9 @@ def file_stem(name: Column) -> Column:
 def parse_numeric_id(name: Column, prefix: str, extension: str = ASSET_EXTENSION) -> Column:
     """Id in ``<prefix><digits><extension>`` (case-insensitive); null unless it fits an INT."""
     pattern = f"(?i)^{re.escape(prefix)}([0-9]+){re.escape(extension)}$"
-    return F.regexp_extract(name, pattern, 1).try_cast("int")
+    digits = F.regexp_extract(name, pattern, 1)
+    # A failing try_cast costs an exception, so other names do not reach it.
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def manifest_path(folder: str | Column, stem: Column) -> Column:

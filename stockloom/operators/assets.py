@@ -32,7 +32,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _byte(data: Column, at: Column) -> Column:
     """Unsigned byte at a 1-based position; null past the end."""
-    return F.conv(F.hex(F.substring(data, at, F.lit(1))), 16, 10).try_cast("int")
+    # One byte as text is one code unit below 128 only, so the value goes through hex digits.
+    digit = F.hex(F.substring(data, at, F.lit(1)))
+    return F.when(digit != "", F.conv(digit, 16, 10).cast("int"))
 
 
 def _int32(data: Column, at: Column) -> Column:
@@ -183,36 +185,48 @@ def asset_header(files: DataFrame, content: str = "content") -> DataFrame:
     Compressed payloads are not decoded; they give the error ``compressed``.
     """
     others = [c for c in files.columns if c != content]
-    c = F.col(content)
 
-    def parsed(h: Column) -> Column:
-        def fails(text: str) -> Column:
-            return _outcome(F.lit(text))
-
-        # The payload ends where the header says, if the file is that long.
-        size, available = h["declared"] - HEADER_BYTES, F.length(c) - HEADER_BYTES
-        length = F.when((size < 0) | (size > available), available).otherwise(size).cast("int")
-        return (
-            F.when(~h["magic"], fails("invalid magic"))
-            .when(h["declared"].isNull(), fails("truncated"))
-            .when(h["version"] < MIN_VERSION, fails("unsupported version"))
-            .when((h["compressed"] != 0) & (h["lz4"] != 0), fails("lz4 compressed"))
-            .when(h["compressed"] != 0, fails("compressed"))
-            .otherwise(_let(F.substring(c, F.lit(HEADER_BYTES + 1), length), _payload))
+    def described(c: Column) -> Column:
+        flags = _byte(c, F.lit(6))
+        fixed = F.struct(
+            F.coalesce(F.substring(c, 1, 3) == F.lit(MAGIC), F.lit(False)).alias("magic"),
+            _byte(c, F.lit(5)).alias("version"),
+            F.coalesce(flags.bitwiseAND(FLAG_COMPRESSED) != 0, F.lit(False)).alias("compressed"),
+            F.coalesce(flags.bitwiseAND(FLAG_LZ4) != 0, F.lit(False)).alias("lz4"),
+            _int32(c, F.lit(7)).alias("declared"),
         )
+        return _let(fixed, lambda h: _with_compressed(h, _checked_header(c, h)))
+
+    # A generator is a barrier: later filters on its columns do not repeat the parsing.
+    return files.select(*others, F.inline(F.array(_let(F.col(content), described))))
+
+
+def _with_compressed(h: Column, outcome: Column) -> Column:
+    return _let(
+        outcome,
+        lambda o: F.struct(
+            *[o[n].alias(n) for n in _NO_FIELDS],
+            h["compressed"].alias("compressed"),
+            o["error"].alias("error"),
+        ),
+    )
+
 
-    flags = _byte(c, F.lit(6))
-    fixed = F.struct(
-        F.coalesce(F.substring(c, 1, 3) == F.lit(MAGIC), F.lit(False)).alias("magic"),
-        _byte(c, F.lit(5)).alias("version"),
-        flags.bitwiseAND(FLAG_COMPRESSED).alias("compressed"),
-        flags.bitwiseAND(FLAG_LZ4).alias("lz4"),
-        _int32(c, F.lit(7)).alias("declared"),
+def _checked_header(c: Column, h: Column) -> Column:
+    def fails(text: str) -> Column:
+        return _outcome(F.lit(text))
+
+    # The payload ends where the header says, if the file is that long.
+    size, available = h["declared"] - HEADER_BYTES, F.length(c) - HEADER_BYTES
+    length = F.when((size < 0) | (size > available), available).otherwise(size).cast("int")
+    return (
+        F.when(~h["magic"], fails("invalid magic"))
+        .when(h["declared"].isNull(), fails("truncated"))
+        .when(h["version"] < MIN_VERSION, fails("unsupported version"))
+        .when(h["compressed"] & h["lz4"], fails("lz4 compressed"))
+        .when(h["compressed"], fails("compressed"))
+        .otherwise(_let(F.substring(c, F.lit(HEADER_BYTES + 1), length), _payload))
     )
-    compressed = F.coalesce(flags.bitwiseAND(FLAG_COMPRESSED) != 0, F.lit(False))
-    return files.select(
-        *others, compressed.alias("compressed"), _let(fixed, parsed).alias("_h")
-    ).select(*others, "_h.surface_format", "_h.width", "_h.height", "compressed", "_h.error")
 
 
 def asset_names(assets: DataFrame, item_names: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ the value into the next block. Work per task is bounded by the block, whatever t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 DEFAULT_BLOCK = 100_000
@@ -45,27 +47,26 @@ def running(
 
     ``order`` must be a total order inside ``keys``; its first column must be an integer position
     unless ``block`` (non-decreasing along ``order``) is given. ``df`` is read twice, so materialise
-    it first when it is expensive.
+    it first when it is expensive. Rows are shuffled by block; the carry holds one row per block.
     """
     block_no = block if block is not None else F.floor(F.col(order[0]) / DEFAULT_BLOCK)
-    inputs = {s.name: f"_in_{s.name}" for s in specs}
+    block_keys = [*keys, "_block"]
     prepared = df.withColumns(
-        {"_block": block_no.cast("bigint")} | {inputs[s.name]: s.value for s in specs}
+        {"_block": block_no.cast("bigint")} | {f"_in_{s.name}": s.value for s in specs}
     )
-    block_keys = [*keys, "_block"]
 
-    position = F.struct(*order)
-    totals = [
-        F.sum(inputs[s.name]).alias(f"_total_{s.name}")
-        if isinstance(s, RunningSum)
-        else F.max_by(inputs[s.name], F.when(F.col(inputs[s.name]).isNotNull(), position)).alias(
-            f"_total_{s.name}"
-        )
-        for s in specs
-    ]
-    summary = prepared.groupBy(*block_keys).agg(*totals)
+    inside = Window.partitionBy(*block_keys).orderBy(*order)
+    local = prepared.select(
+        *prepared.columns,
+        *[_local(s, inside).alias(f"_local_{s.name}") for s in specs],
+        F.lead(F.lit(True)).over(inside).isNull().alias("_ends_block"),
+    )
+    # The last row of a block knows the block's totals.
+    totals = local.filter("_ends_block").select(
+        *block_keys, *[_up_to_here(s).alias(f"_total_{s.name}") for s in specs]
+    )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summary.select(
+    carry = totals.select(
         *block_keys,
         *[
             (
@@ -76,33 +77,55 @@ def running(
             for s in specs
         ],
     )
+    return local.join(carry, block_keys).select(
+        *df.columns, *[_with_carry(s).alias(s.name) for s in specs]
+    )
 
-    inside = Window.partitionBy(*block_keys).orderBy(*order)
 
-    def result(s: RunningSum | RunningLast) -> Column:
-        frame = inside.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
-        before = F.col(f"_carry_{s.name}")
-        if isinstance(s, RunningSum):
-            local = F.sum(inputs[s.name]).over(frame)
-            return F.coalesce(before, F.lit(0)) + F.coalesce(local, F.lit(0))
-        return F.coalesce(F.last(inputs[s.name], ignorenulls=True).over(frame), before)
+def _local(spec: RunningSum | RunningLast, inside: WindowSpec) -> Column:
+    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if spec.inclusive else -1)
+    value = F.col(f"_in_{spec.name}")
+    if isinstance(spec, RunningSum):
+        return F.coalesce(F.sum(value).over(frame), F.lit(0))
+    return F.last(value, ignorenulls=True).over(frame)
 
-    joined = prepared.join(carry, block_keys, "left")
-    return joined.select(*df.columns, *[result(s).alias(s.name) for s in specs])
+
+def _up_to_here(spec: RunningSum | RunningLast) -> Column:
+    """The local value including this row."""
+    value, local = F.col(f"_in_{spec.name}"), F.col(f"_local_{spec.name}")
+    if spec.inclusive:
+        return local
+    if isinstance(spec, RunningSum):
+        return local + F.coalesce(value, F.lit(0))
+    return F.coalesce(value, local)
+
+
+def _with_carry(spec: RunningSum | RunningLast) -> Column:
+    local, carry = F.col(f"_local_{spec.name}"), F.col(f"_carry_{spec.name}")
+    if isinstance(spec, RunningSum):
+        return local + F.coalesce(carry, F.lit(0))
+    return F.coalesce(local, carry)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that later reads do not recompute.
+    """Write a table into the shared checkpoint folder and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a folder of its own.
+    Cuts lineage so that later reads do not recompute, and survives the loss of executors. The folder
+    is the one the session names in ``spark.checkpoint.dir``; only a local session without that
+    setting gets a folder of its own.
     """
     spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        import tempfile
+    path = f"{_shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
 
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+def _shared_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is not None:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.functions.text import is_blank, normalize_condition, strip_whitespace
+from stockloom.functions.text import WHITESPACE, is_blank, normalize_condition
 from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, materialize, running
 
 # Markers and patterns of the text format.
@@ -34,7 +34,7 @@ START_MARKER = "public void SetupShop(int type)"
 SWITCH_MARKER = "switch (type)"
 CASE_PATTERN = r"(?U)^case\s+([0-9]+)\s*:"
 IF_PATTERN = r"(?U)^(?:else\s+)?if\s*\((.+)\)"
-ITEM_PATTERN = r"(?U)\.SetDefaults\(([0-9]+)\)"
+ITEM_PATTERN = r"\.SetDefaults\(([0-9]+)\)"
 
 # Order of events inside one line: the line's own labels come before its braces.
 _CASE, _IF, _ITEM, _BRACE = 0, 1, 2, 3
@@ -47,82 +47,78 @@ def match_all(text: Column, pattern: str = ITEM_PATTERN, group: int = 1) -> Colu
 
 def case_label(trimmed: Column, pattern: str = CASE_PATTERN) -> Column:
     """The number of a ``case N:`` line, else null."""
-    return F.regexp_extract(trimmed, pattern, 1).try_cast("int")
+    digits = F.regexp_extract(trimmed, pattern, 1)
+    # A failing try_cast costs an exception, so lines without a label do not reach it.
+    return F.when(digits != "", digits.try_cast("int"))
 
 
 def condition_text(trimmed: Column, pattern: str = IF_PATTERN) -> Column:
-    """Normalised condition of an ``if`` / ``else if`` line up to its last ``)``, else null."""
-    return F.when(
-        trimmed.rlike(pattern), normalize_condition(F.regexp_extract(trimmed, pattern, 1))
-    )
+    """Text inside an ``if`` / ``else if`` line up to its last ``)``; ``''`` for other lines."""
+    return F.regexp_extract(trimmed, pattern, 1)
 
 
 def _parsed_lines(lines: DataFrame, start: str, switch: str, patterns: dict[str, str]) -> DataFrame:
-    """Lines from the marker on that carry any event, parsed row by row."""
+    """Lines from the marker on, parsed row by row."""
     markers = (
         lines.filter(F.col("line").contains(start))
         .groupBy("file")
         .agg(F.min("line_no").alias("marker_line"))
     )
-    trimmed = strip_whitespace(F.col("line"))
-    braces = F.regexp_extract_all("line", F.lit(r"[{}]"), F.lit(0))
-    parsed = lines.join(markers, "file").filter(F.col("line_no") >= F.col("marker_line")).select(
-        "file",
-        "line_no",
-        "marker_line",
-        trimmed.startswith(switch).alias("is_switch"),
-        case_label(trimmed, patterns["case"]).alias("case_id"),
-        condition_text(trimmed, patterns["if"]).alias("condition"),
-        match_all(F.col("line"), patterns["item"]).alias("items"),
-        braces.alias("braces"),
-    )
-    return parsed.filter(
-        (F.col("line_no") == F.col("marker_line"))
-        | F.col("is_switch")
-        | F.col("case_id").isNotNull()
-        | F.col("condition").isNotNull()
-        | (F.size("items") > 0)
-        | (F.size("braces") > 0)
+    trimmed = F.col("trimmed")
+    # Whitespace at the end of a line does not matter to any of the patterns.
+    return (
+        lines.join(markers, "file")
+        .filter(F.col("line_no") >= F.col("marker_line"))
+        .select("*", F.ltrim(F.col("line"), F.lit(WHITESPACE)).alias("trimmed"))
+        .select(
+            "file",
+            "line_no",
+            "marker_line",
+            trimmed.startswith(switch).alias("is_switch"),
+            case_label(trimmed, patterns["case"]).alias("case_id"),
+            condition_text(trimmed, patterns["if"]).alias("raw_condition"),
+            match_all(F.col("line"), patterns["item"]).alias("items"),
+            F.regexp_extract_all("line", F.lit(r"[{}]"), F.lit(0)).alias("braces"),
+        )
     )
 
 
 def _events(parsed: DataFrame) -> DataFrame:
-    """One row per event: case label, if, item, brace (with its column inside the line)."""
-
-    def event(kind: int, col: Column, **values: Column) -> Column:
-        fields = {
-            "case_id": F.lit(None).cast("int"),
-            "condition": F.lit(None).cast("string"),
-            "item_id": F.lit(None).cast("int"),
-            "step": F.lit(None).cast("int"),
-        } | values
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            col.cast("int").alias("col"),
-            *[v.alias(k) for k, v in fields.items()],
-        )
+    """One row per event: case label, if, item, brace.
 
-    zero = F.lit(0)
-    events = F.concat(
-        F.array(
-            F.when(F.col("case_id").isNotNull(), event(_CASE, zero, case_id=F.col("case_id"))),
-            F.when(
-                F.col("condition").isNotNull() | F.col("is_switch") | (F.col("line_no") == F.col("marker_line")),
-                event(_IF, zero, condition=F.col("condition")),
-            ),
-        ),
-        F.transform("items", lambda x, i: event(_ITEM, i, item_id=x.try_cast("int"))),
-        F.transform(
-            "braces", lambda b, i: event(_BRACE, i, step=F.when(b == "{", 1).otherwise(-1))
-        ),
-    )
-    return parsed.select(
+    The tokens of a line are exploded as plain text (two for its labels, then its braces, then its
+    items), which stays inside generated code. Label tokens without an event are dropped.
+    """
+    tokens = F.concat(F.array(F.lit("case"), F.lit("if")), F.col("braces"), F.col("items"))
+    rows = parsed.select(
         "file",
         "line_no",
         "marker_line",
         "is_switch",
-        F.explode(F.array_compact(events)).alias("e"),
-    ).select("file", "line_no", "marker_line", "is_switch", "e.*")
+        "case_id",
+        "raw_condition",
+        F.size("braces").alias("n_braces"),
+        F.posexplode(tokens).alias("col", "token"),
+    )
+    col, n_braces, raw = F.col("col"), F.col("n_braces"), F.col("raw_condition")
+    is_if = (raw != "") | F.col("is_switch") | (F.col("line_no") == F.col("marker_line"))
+    is_brace = (col >= 2) & (col < n_braces + 2)
+    is_item = col >= n_braces + 2
+    return rows.filter(
+        (col >= 2) | ((col == 0) & F.col("case_id").isNotNull()) | ((col == 1) & is_if)
+    ).select(
+        "file",
+        "line_no",
+        "marker_line",
+        ((col == 1) & F.col("is_switch")).alias("is_switch"),
+        F.when(col == 0, _CASE).when(col == 1, _IF).when(is_brace, _BRACE).otherwise(_ITEM).alias("kind"),
+        "col",
+        F.when(col == 0, F.col("case_id")).alias("case_id"),
+        F.when((col == 1) & (raw != ""), normalize_condition(raw)).alias("condition"),
+        F.when(is_item, F.col("token").try_cast("int")).alias("item_id"),
+        F.when(is_brace, F.when(F.col("token") == "{", 1).otherwise(-1)).alias("step"),
+        F.when(is_brace, col == n_braces + 1).otherwise(n_braces == 0).alias("ends_line"),
+    )
 
 
 def _with_depth(events: DataFrame, block: Column) -> DataFrame:
@@ -158,20 +154,19 @@ def _cut_at_stop(events: DataFrame) -> DataFrame:
     shows as a gap in the line numbers.
     """
     depth_after = F.col("depth") + F.coalesce(F.col("step"), F.lit(0))
-    line_end = F.max_by(depth_after, F.struct("kind", "col"))
-    ends = events.groupBy("file", "marker_line", "line_no").agg(line_end.alias("depth_after"))
     on_marker = F.col("line_no") == F.col("marker_line")
+    outside = F.col("ends_line") & (depth_after <= 0)
     stops = (
-        ends.groupBy("file", "marker_line")
+        events.groupBy("file", "marker_line")
         .agg(
-            F.max(F.when(on_marker, F.col("depth_after"))).alias("marker_depth"),
+            F.bool_or(on_marker & outside).alias("open_marker"),
             F.min(F.when(~on_marker, F.col("line_no"))).alias("next_line"),
-            F.min(F.when(~on_marker & (F.col("depth_after") <= 0), F.col("line_no"))).alias("stop"),
+            F.min(F.when(~on_marker & outside, F.col("line_no"))).alias("stop"),
         )
         .select(
             "file",
             F.when(
-                (F.col("marker_depth") <= 0)
+                F.col("open_marker")
                 & (F.col("next_line").isNull() | (F.col("next_line") > F.col("marker_line") + 1)),
                 F.col("marker_line") + 1,
             )
@@ -283,7 +278,7 @@ def scoped_items(
     patterns = {"case": case_pattern, "if": condition_pattern, "item": item_pattern}
     events = _events(_parsed_lines(lines, start_marker, switch_marker, patterns))
     events = _cut_at_stop(materialize(_with_depth(events, block)))
-    items = _with_case(_chains(events, block), block)
+    items = _with_case(materialize(_chains(events, block)), block)
     scopes = F.filter(
         F.filter("chain", lambda x: x["level"] > F.col("switch_level")),
         lambda x: ~is_blank(x["block_open"]["condition"])

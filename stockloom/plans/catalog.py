@@ -71,12 +71,16 @@ def _station_names(recipes: DataFrame, tiles: str, tile_names: DataFrame) -> Dat
 
 
 def recipe_catalog(
-    raw_recipes: DataFrame, tile_names: DataFrame, extra: Sequence[str] = ()
+    raw_recipes: DataFrame,
+    tile_names: DataFrame,
+    extra: Sequence[str] = (),
+    tile_lists: DataFrame | None = None,
 ) -> DataFrame:
     """Recipes with their ingredients, stations and conditions; row-local but for station names.
 
     Ingredients stop at the first id <= 0, stations at the first id < 0 (a null tile is tile 0). A
-    recipe without a result has id 0, no name and amount 0. ``extra`` columns are kept.
+    recipe without a result has id 0, no name and amount 0. ``extra`` columns are kept. The distinct
+    tile lists are read from ``tile_lists`` (a cheaper frame with ``required_tiles``) when given.
     """
 
     def item_name(x: Column) -> Column:
@@ -106,7 +110,8 @@ def recipe_catalog(
         tiles.alias("_tiles"),
         flags_to_labels(flags).alias("conditions"),
     )
-    joined = shaped.join(_station_names(shaped, "_tiles", tile_names), "_tiles", "left")
+    lists = (raw_recipes if tile_lists is None else tile_lists).select(tiles.alias("_tiles"))
+    joined = shaped.join(_station_names(lists, "_tiles", tile_names), "_tiles", "left")
     return joined.select(
         "recipe_index",
         *extra,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stockloom.functions import contains_all, is_blank, normalize_category, normalize_path
+from stockloom.functions.text import SEPARATORS, strip_whitespace
 from stockloom.operators.checks import (
     RangeCheck,
     Rule,
@@ -119,7 +120,7 @@ def required_file_failures(
 
 def catalog_counts(data: dict[str, DataFrame]) -> DataFrame:
     """(metric, actual) for every range check; one scan per dataset."""
-    kind = F.regexp_replace(F.coalesce(F.col("type"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    kind = strip_whitespace(F.coalesce(F.col("type"), F.lit("")), SEPARATORS)
     category = normalize_category(F.col("category"))
     return (
         count_metrics(data["items"], {"items_range": None})

@@ -376,7 +376,12 @@ def _recipe_projection(spark: SparkSession, folder: str) -> DataFrame:
         F.ascii("o_orderstatus").alias("tile_id"),
         F.concat(F.lit("Status "), "o_orderstatus").alias("name"),
     )
-    out = recipe_catalog(raw, first_wins_map(tile_names, "tile_id", "name", ["name"]), extra=["part"])
+    out = recipe_catalog(
+        raw,
+        first_wins_map(tile_names, "tile_id", "name", ["name"]),
+        extra=["part"],
+        tile_lists=recipes,
+    )
     return out.select(
         "recipe_index",
         "part",

@@ -34,7 +34,10 @@ def _binary_files(spark: SparkSession, folder: str, glob: str, recursive: bool)
 def list_files(
     spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False
 ) -> DataFrame:
-    """(path relative to ``folder``, length). Contents are pruned from the scan."""
+    """(path relative to ``folder``, length). Contents are pruned from the scan.
+
+    The scan skips files of zero bytes, so an empty file counts as absent.
+    """
     root = folder.rstrip("/") + "/"
     position = F.instr("path", root)
     relative = F.substring("path", position + len(root), F.length("path"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions import (
+    category_rank,
     display_name,
     fallback_label,
     flags_to_labels,
@@ -19,6 +20,7 @@ from stockloom.functions import (
     take_while,
 )
 from stockloom.functions.names import RECIPE_ITEM_LABEL, STATION_LABEL
+from stockloom.operators.edges import EDGE_ORDER
 from stockloom.operators.lookups import lookup_left
 from stockloom.schemas import JSON_FIELDS, MANIFEST_CSV_FIELDS, RECIPE_FLAGS, RUN_LOG
 from stockloom.sinks import (
@@ -148,13 +150,31 @@ def table_path(folder: str, stem: str) -> str:
     return f"{folder.rstrip('/')}/{stem}.parquet"
 
 
+def dataset_order(df: DataFrame, stem: str) -> DataFrame:
+    """Rows of a dataset in their contract order: a range-partitioned sort."""
+    if stem == "sprite_manifest":
+        return df.orderBy(category_rank(F.col("category")), "id", "sprite_file")
+    orders = {
+        "items": ["id"],
+        "shimmer": EDGE_ORDER,
+        "recipes": ["recipe_index", "part"],
+        "npc_shops": ["shop_id", "part"] if "shop_id" in df.columns else ["npc_id", "shop_name"],
+    }
+    return df.orderBy(*[c for c in orders[stem] if c in df.columns])
+
+
 def run_phase(
-    spark: SparkSession, phase: Phase, folder: str, json_array: bool = False
+    spark: SparkSession,
+    phase: Phase,
+    folder: str,
+    json_array: bool = False,
+    ordered: bool = True,
 ) -> dict[str, object]:
     """Build and write one dataset; returns its run-log row and never raises for a failed phase.
 
-    The plan runs once, into a Parquet table; JSON and CSV are written from that table. The row
-    count comes with the write. No rows is a failure. A failed phase leaves placeholder outputs.
+    The plan runs once, into a Parquet table; JSON and CSV are written from that table, sorted unless
+    ``ordered`` is off. The row count comes with the write. No rows is a failure. A failed phase
+    leaves placeholder outputs.
     """
     started = time.monotonic()
     root = folder.rstrip("/")
@@ -173,6 +193,7 @@ def run_phase(
     else:
         try:
             table = spark.read.parquet(table_path(root, phase.stem))
+            table = dataset_order(table, phase.stem) if ordered else table
             public = public_names(table, phase.stem)
             if json_array:
                 export_json_array(public, json_path)

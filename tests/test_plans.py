@@ -125,7 +125,7 @@ def test_failures_are_reported(spark, folder):
         ("recipes", "Ingredients[].ItemId", 999, 0), ("sprite_manifest", "id", 777, None),
     ]
     assert [(f["record_id"], f["field"], f["error"][:12]) for f in checks["sprite_manifest_integrity"]["failingRecords"]] == [
-        (2, "spriteFile", "referenced s"), (2, "width", "width must b"), (3, "spriteFile", "spriteFile m"),
+        (0, "spriteFile", "spriteFile m"), (3, "spriteFile", "referenced s"), (3, "width", "width must b"),
     ]
     assert {f["check"] for f in checks["spot_checks"]["failingRecords"]} == {"torch_recipe_exists", "merchant_sells_torch"}
     assert "FAIL" in markdown_report(report)

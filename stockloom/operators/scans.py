@@ -42,31 +42,46 @@ def running(
     order: Sequence[str],
     specs: Sequence[RunningSum | RunningLast],
     block: Column | None = None,
+    keep: Column | None = None,
+    output: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Add one column per spec.
+    """Add one column per spec to the rows that meet ``keep`` (default: all).
 
     ``order`` must be a total order inside ``keys``; its first column must be an integer position
-    unless ``block`` (non-decreasing along ``order``) is given. ``df`` is read twice, so materialise
-    it first when it is expensive. Rows are shuffled by block; the carry holds one row per block.
+    unless ``block`` (non-decreasing along ``order``) is given. ``output`` names the columns to return
+    besides the new ones (default: all).
+
+    ``df`` is computed, shuffled and sorted once, by block. The block-local values are materialised:
+    the carry is read from there (one row per block), and so are the results.
     """
     block_no = block if block is not None else F.floor(F.col(order[0]) / DEFAULT_BLOCK)
     block_keys = [*keys, "_block"]
+    columns = list(df.columns if output is None else output)
     prepared = df.withColumns(
-        {"_block": block_no.cast("bigint")} | {f"_in_{s.name}": s.value for s in specs}
+        {"_block": block_no.cast("bigint"), "_keep": F.lit(True) if keep is None else keep}
+        | {f"_in_{s.name}": s.value for s in specs}
     )
 
     inside = Window.partitionBy(*block_keys).orderBy(*order)
-    local = prepared.select(
+    scanned = prepared.select(
         *prepared.columns,
         *[_local(s, inside).alias(f"_local_{s.name}") for s in specs],
         F.lead(F.lit(True)).over(inside).isNull().alias("_ends_block"),
     )
     # The last row of a block knows the block's totals.
-    totals = local.filter("_ends_block").select(
-        *block_keys, *[_up_to_here(s).alias(f"_total_{s.name}") for s in specs]
+    ends = F.col("_ends_block")
+    local = materialize(
+        scanned.filter(F.col("_keep") | ends).select(
+            *dict.fromkeys([*keys, *columns]),
+            "_block",
+            "_keep",
+            "_ends_block",
+            *[f"_local_{s.name}" for s in specs],
+            *[F.when(ends, _up_to_here(s)).alias(f"_total_{s.name}") for s in specs],
+        )
     )
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
+    carry = local.filter(ends).select(
         *block_keys,
         *[
             (
@@ -77,8 +92,10 @@ def running(
             for s in specs
         ],
     )
-    return local.join(carry, block_keys).select(
-        *df.columns, *[_with_carry(s).alias(s.name) for s in specs]
+    return (
+        local.filter("_keep")
+        .join(carry, block_keys)
+        .select(*columns, *[_with_carry(s).alias(s.name) for s in specs])
     )
 
 

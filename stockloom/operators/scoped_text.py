@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.text import WHITESPACE, is_blank, normalize_condition
-from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, materialize, running
+from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, running
 
 # Markers and patterns of the text format.
 START_MARKER = "public void SetupShop(int type)"
@@ -217,7 +217,9 @@ def _chains(events: DataFrame, block: Column) -> DataFrame:
         ["line_no", "kind", "col"],
         [RunningLast("block_open", F.col("opened"))],
         block,
-    ).filter(F.col("kind") != _BRACE)
+        keep=F.col("kind") != _BRACE,
+        output=["file", "level", "line_no", "kind", "col", "depth", "case_id", "item_id"],
+    )
     entries = F.array_sort(F.collect_list(F.struct("level", "block_open")))
     return resolved.groupBy("file", "line_no", "kind", "col", "depth", "case_id", "item_id").agg(
         entries.alias("chain")
@@ -258,9 +260,10 @@ def _with_case(chains: DataFrame, block: Column) -> DataFrame:
                 )
             ],
             block,
+            keep=F.col("item_id").isNotNull(),
+            output=["file", "line_no", "col", "item_id", "switch_level", "chain"],
         )
-        .filter(F.col("item_id").isNotNull() & (F.col("current.case_id") > 0))
-        .drop("case_id")
+        .filter(F.col("current.case_id") > 0)
     )
 
 
@@ -277,8 +280,7 @@ def scoped_items(
     block = F.floor(F.col("line_no") / block_lines)
     patterns = {"case": case_pattern, "if": condition_pattern, "item": item_pattern}
     events = _events(_parsed_lines(lines, start_marker, switch_marker, patterns))
-    events = _cut_at_stop(materialize(_with_depth(events, block)))
-    items = _with_case(materialize(_chains(events, block)), block)
+    items = _with_case(_chains(_cut_at_stop(_with_depth(events, block)), block), block)
     scopes = F.filter(
         F.filter("chain", lambda x: x["level"] > F.col("switch_level")),
         lambda x: ~is_blank(x["block_open"]["condition"])

@@ -15,7 +15,8 @@ from stockloom.functions.numbers import is_plausible_id
 from stockloom.functions.text import special_currency_label
 from stockloom.operators.dedupe import choose_source, ordered_distinct_list
 from stockloom.operators.lookups import lookup_left
-from stockloom.operators.nesting import DEFAULT_PART_WIDTH, distinct_over_samples, nest_children
+from stockloom.operators.nesting import DEFAULT_PART_WIDTH, nest_children
+from stockloom.operators.scans import materialize
 
 OFFER_FIELDS = ["item_id", "name", "buy_price", "conditions"]
 # Priorities of the sources of one shop; ALWAYS keeps a sampled shop that found nothing at all.
@@ -198,11 +199,14 @@ def shop_catalog(
     """Shop rows with nested offers sorted by item id, from the best source of each shop.
 
     A shop whose first source succeeded stays even when empty; a shop with no usable source is
-    absent; a sampled shop always stays.
+    absent; a sampled shop always stays. Materialises the offers of all sources.
     """
     parsed = parsed_condition_lists(conditions)
-    offers = shop_offers(
-        slots, parsed_items, parsed, second_items, rolls, constants, item_defaults, shop_map, id_count
+    # Read three times below (counts, rows, headers), so computed and written once.
+    offers = materialize(
+        shop_offers(
+            slots, parsed_items, parsed, second_items, rolls, constants, item_defaults, shop_map, id_count
+        )
     )
     chosen = choose_source(shop_status(offers, shop_map, runtime_ok), ["shop_id"], empty_wins_at=RUNTIME)
     rows = offer_names(
@@ -228,7 +232,6 @@ def with_npc_names(shops: DataFrame, npc_names: DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "distinct_over_samples",
     "occupied_slots",
     "offer_names",
     "parsed_condition_lists",

@@ -31,7 +31,6 @@ from stockloom.functions import (
     normalize_path,
     parse_numeric_id,
     resolve_name,
-    sell_price,
     stop_position,
     take_while,
 )

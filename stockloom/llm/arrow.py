@@ -32,13 +32,7 @@ def with_columns(
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     fields = [df.schema[c] for c in kept] + [T.StructField(n, t) for n, t, _ in adds]
     # Inputs may have the name of an added column, so they travel under names of their own.
-    taken = {c.lower() for c in df.columns}
-    names = []
-    for i in range(len(inputs)):
-        name = f"_input_{i}"
-        while name in taken:
-            name = f"_{name}"
-        names.append(name)
+    names = [fresh(df, f"_input_{i}") for i in range(len(inputs))]
     given = df.select(*[_quoted(df, c) for c in kept], *[_quoted(df, c).alias(n) for c, n in zip(inputs, names)])
     types = [t for _, _, t in adds]
     n_kept = len(kept)
@@ -61,6 +55,30 @@ def with_columns(
     return given.mapInArrow(run, T.StructType(fields))
 
 
+def keep_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], BlockFunction]) -> DataFrame:
+    """Rows for which the block function says true; columns stay as they are, whatever their names."""
+    names = df.columns
+    at_inputs = [names.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_DOCS):
+                part = batch.slice(at, BLOCK_DOCS)
+                kept = function(*[part.column(i).to_pylist() for i in at_inputs])
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like ``name`` that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _quoted(df: DataFrame, name: str):
     return df["`" + name.replace("`", "``") + "`"]
 

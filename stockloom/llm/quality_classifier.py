@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.arrow import WordTable, split_words, with_columns
+from stockloom.llm.arrow import WordTable, keep_rows, split_words, with_columns
 
 #: Labelled documents that are sampled for the fit, at most, for each label value.
 SAMPLE_PER_LABEL = 1_500
@@ -189,6 +189,20 @@ def classify(documents: DataFrame, model: Model | None, keep: list[str] | None =
     return with_columns(documents, ["text"], make, adds, keep)
 
 
+def keep_good(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The documents with a score of at least ``THRESHOLD``, with their columns as they are."""
+    if model is None:
+        return documents
+    shared = documents.sparkSession.sparkContext.broadcast((model.projection, model.vectors, model.good, model.weight))
+
+    def make():
+        table = WordTable(_describe, 2)
+        fitted = Model(*shared.value)
+        return lambda texts: vote(fitted, term_counts(texts, table)) >= THRESHOLD
+
+    return keep_rows(documents, ["text"], make)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Documents whose labels are never used for the fit."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))

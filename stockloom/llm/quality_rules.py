@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.arrow import WordTable, split_words, with_columns
+from stockloom.llm.arrow import WordTable, keep_rows, split_words, with_columns
 
 #: Share of words in content lines from which a document is kept.
 MIN_CONTENT = 0.5
@@ -163,6 +163,16 @@ def apply_rules(documents: DataFrame, field: Field, keep: list[str] | None = Non
     return with_columns(documents, ["text"], lambda: _rules(field), adds, keep)
 
 
+def filter_documents(documents: DataFrame, field: Field) -> DataFrame:
+    """The documents that are kept, with their columns as they are."""
+
+    def make():
+        rules = _rules(field)
+        return lambda texts: rules(texts)[6]
+
+    return keep_rows(documents, ["text"], make)
+
+
 def train(documents: DataFrame, labels: DataFrame) -> Field:
     """Fit the field on a bounded sample of chunks of labelled documents, see the constants above."""
     marked = (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import quality_classifier, quality_rules, simhash
+from stockloom.llm import bpe, mixing, quality_classifier, quality_rules, simhash
 from stockloom.llm.registry import ORACLES, QUERIES, query, table
 from stockloom.operators.scans import materialize
 
@@ -38,3 +39,23 @@ def op10_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+@query("op7_bpe_lexicon")
+def op7_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every document and their decoding, as digests."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe.decode(bpe.encode(table(spark, folder, "documents"), path, keep=["doc_id"]), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Cell, probability and decision of every document."""
+    documents = table(spark, folder, "documents")
+    return mixing.sample(documents, mixing.probabilities(documents))

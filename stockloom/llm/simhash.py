@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stockloom.llm.arrow import split_words, with_columns
+from stockloom.llm.arrow import fresh, split_words, with_columns
 from stockloom.llm.components import connected_components
 from stockloom.operators.scans import materialize
 
@@ -61,13 +61,13 @@ def fingerprint(text: str | None) -> int:
     return sum(1 << b for b in set_bits)
 
 
-def with_fingerprint(documents: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def with_fingerprint(documents: DataFrame, keep: list[str] | None = None, name: str = "fp") -> DataFrame:
     """Add ``fp`` (bigint, the fingerprint as a signed number)."""
 
     def make():
         return lambda texts: [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return with_columns(documents, ["text"], make, [("fp", T.LongType(), pa.int64())], keep)
+    return with_columns(documents, ["text"], make, [(name, T.LongType(), pa.int64())], keep)
 
 
 @dataclass(frozen=True)
@@ -238,8 +238,8 @@ def near_duplicates(fingerprinted: DataFrame, distance: int = DISTANCE) -> DataF
 def deduplicate(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Keep one document of each component: the one with the smallest id.
 
-    Documents without an id are kept if their component has no id, once for each text. Repeated rows
-    (the same id again) are kept once.
+    Documents without an id are kept if their component has no id, once for each fingerprint. Repeated
+    rows (the same id again) are kept once.
     """
     fingerprinted = materialize(with_fingerprint(documents, keep=["doc_id"]))
     first = near_duplicates(fingerprinted, distance)
@@ -253,7 +253,8 @@ def deduplicate(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     several = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = materialize(first.filter("component_id IS NULL").select("fp"))
     if not nameless.isEmpty():
-        alone = with_fingerprint(documents.filter("doc_id IS NULL"), keep=documents.columns)
-        alone = alone.join(nameless, "fp", "left_semi").drop("fp").dropDuplicates(["text"])
+        name = fresh(documents, "fp")
+        alone = with_fingerprint(documents.filter("doc_id IS NULL"), name=name)
+        alone = alone.join(nameless.withColumnRenamed("fp", name), name, "left_semi").dropDuplicates([name])
         several = several.unionByName(alone.select(*documents.columns))
     return single.unionByName(several).select(*documents.columns)

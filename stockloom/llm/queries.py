@@ -6,13 +6,87 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import bpe, mixing, quality_classifier, quality_rules, simhash
+from stockloom.llm import bpe, license_scan, mixing, quality_classifier, quality_rules, simhash, url_filter
 from stockloom.llm.registry import ORACLES, QUERIES, query, table
 from stockloom.operators.scans import materialize
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+#: Fixed values of the query: rules on the hosts and paths of the pages.
+URL_RULES = (
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+)
+
+
+def _url_sql() -> str:
+    """The rules as a table, the aliases as reachability over the same edges."""
+    rules = ", ".join(f"('{r.action}', '{r.pattern}', '{r.host}', '{r.path}')" for r in URL_RULES)
+    upper, lower = url_filter.ascii_uppercase, url_filter.ascii_lowercase
+    part = lambda u, g: f"coalesce(regexp_extract({u}, '{url_filter.URL}', {g}), '')"
+    low = lambda x: f"translate({x}, '{upper}', '{lower}')"
+    quoted = lambda p: p.replace("'", "''")
+    host = lambda u: low(part(u, 2))
+    path = lambda u: part(u, 3)
+    key = lambda u: (
+        f"CASE WHEN contains({u}, '://') THEN {low(part(u, 1))} || '://' || {host(u)} || "
+        f"CASE WHEN {path(u)} = '' THEN '/' ELSE {path(u)} END || regexp_extract({u}, '{url_filter.QUERY}', 1) END"
+    )
+    folder = f"regexp_extract({path('url')}, '(?s)^(.*/)', 1)"
+    site = f"{part('url', 1)} || '://' || {part('url', 2)}"
+    full = f"""CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+        WHEN starts_with(link, '//') THEN {part('url', 1)} || ':' || link
+        WHEN starts_with(link, '/') THEN {site} || link
+        WHEN starts_with(link, '?') THEN {site} || {path('url')} || link
+        WHEN starts_with(link, '#') OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+        ELSE {site} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || link END"""
+    tags = lambda tag, attribute: (
+        f"list_transform(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '{quoted(tag)}'), "
+        f"lambda t: regexp_extract(t, '{quoted(attribute)}', 1))"
+    )
+    hit = "(h = rule_host OR ends_with(h, '.' || rule_host)) AND starts_with(p, rule_path)"
+    return f"""
+WITH RECURSIVE rules(action, pattern, rule_host, rule_path) AS (VALUES {rules}),
+links AS (
+    SELECT url, replace(unnest({tags(url_filter.CANONICAL, url_filter.HREF)}
+        || {tags(url_filter.REFRESH, url_filter.TARGET)}), '&amp;', '&') AS link
+    FROM pages WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'
+),
+targets AS (SELECT url, {full} AS target FROM links WHERE link <> ''),
+edges AS (
+    SELECT DISTINCT a, b FROM (SELECT {key('url')} AS a, {key('target')} AS b FROM targets)
+    WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
+),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach(a, b) AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+nodes AS (SELECT DISTINCT b AS node, {host('b')} AS h, {path('b')} AS p FROM reach),
+blocked AS (
+    SELECT node FROM nodes, rules WHERE {hit} GROUP BY node HAVING arg_max(action, length(pattern)) = 'block'
+),
+spread AS (SELECT DISTINCT a AS node FROM reach WHERE b IN (SELECT node FROM blocked)),
+parts AS (SELECT page_id, {host('url')} AS host, {path('url')} AS path, {key('url')} AS node FROM pages),
+urls AS (SELECT DISTINCT host AS h, path AS p FROM parts),
+ruled AS (
+    SELECT h, p, arg_max(pattern, length(pattern)) AS rule, arg_max(action, length(pattern)) AS action
+    FROM urls, rules WHERE {hit} GROUP BY h, p
+)
+SELECT page_id, host, path, rule,
+    coalesce(action, CASE WHEN node IN (SELECT node FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN ruled ON host = h AND path = p
+"""
+
+
+@query("op1_url_filter", _url_sql())
+def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page; aliases come from the pages' redirects and canonical links."""
+    judged = url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and field on every document; the field learns from labels of documents not held out."""
@@ -22,6 +96,50 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("boilerplate_lines")
 
 
+def _license_sql() -> str:
+    templates = ", ".join(
+        "('{}', {}, {}, {}, [{}])".format(name, len(pairs), *license_scan.size_bounds(len(pairs)), ", ".join(f"'{p}'" for p in pairs))
+        for name, pairs in ((n, license_scan.template_bigrams(t)) for n, t in license_scan.TEMPLATES.items())
+    )
+    return f"""
+WITH templates(name, n, low, high, pairs) AS (VALUES {templates}),
+flat AS (
+    SELECT row_number() OVER () AS row, doc_id,
+        regexp_replace(translate(coalesce(text, ''), '{license_scan.ascii_uppercase}', '{license_scan.ascii_lowercase}'),
+            '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t
+    FROM documents
+),
+units AS (
+    SELECT DISTINCT row, trim(regexp_replace(unit, '[ \\n]+', ' ', 'g')) AS unit FROM (
+        SELECT row, unnest(string_split(t, chr(10)) || regexp_split_to_array(t, '\\n *\\n') || [t]) AS unit FROM flat
+    )
+),
+words AS (SELECT row, string_split(unit, ' ') AS w FROM units),
+sets AS (
+    SELECT row, list_distinct(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS pairs
+    FROM words WHERE len(w) > 1
+),
+found AS (
+    SELECT row, name, 2.0::DOUBLE * len(list_intersect(s.pairs, t.pairs)) / (len(s.pairs) + t.n) AS dice
+    FROM sets s JOIN templates t ON len(s.pairs) BETWEEN t.low AND t.high
+),
+best AS (
+    SELECT row, count(*) AS n_matches, max(dice) AS dice, array_to_string(list_sort(list_distinct(list(name))), ',') AS licenses,
+        (list(name ORDER BY dice DESC, name))[1] AS license
+    FROM found WHERE dice >= {license_scan.THRESHOLD} GROUP BY row
+)
+SELECT doc_id, license, dice, coalesce(n_matches, 0)::INTEGER AS n_matches, coalesce(licenses, '') AS licenses
+FROM flat LEFT JOIN best USING (row)
+"""
+
+
+@query("op3_license_scan", _license_sql())
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Best licence and all licences of every document."""
+    scanned = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", "license", "dice", "n_matches", F.array_join("licenses", ",").alias("licenses"))
+
+
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     scored = quality_classifier.train_and_classify(

@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Documents handled at once inside an Arrow batch; bounds the memory of a worker.
-BLOCK_DOCS = 256
+#: Rows handled at once inside an Arrow batch, and bytes of text beyond which a block ends; they bound the
+#: memory of a worker. A single longer text is a block of its own.
+BLOCK_DOCS, BLOCK_BYTES = 256, 8 << 20
 
 BlockFunction = Callable[..., Sequence[object]]
 
@@ -42,8 +44,7 @@ def with_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_DOCS):
-                part = batch.slice(at, BLOCK_DOCS)
+            for part in _blocks(batch, range(n_kept, n_kept + n_inputs)):
                 columns = [part.column(n_kept + i).to_pylist() for i in range(n_inputs)]
                 results = function(*columns)
                 arrays = [
@@ -63,14 +64,29 @@ def keep_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], BlockFunc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_DOCS):
-                part = batch.slice(at, BLOCK_DOCS)
+            for part in _blocks(batch, at_inputs):
                 kept = function(*[part.column(i).to_pylist() for i in at_inputs])
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def _blocks(batch: pa.RecordBatch, inputs: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for i in inputs:
+        column = batch.column(i)
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > start and (at - start == BLOCK_DOCS or held + size > BLOCK_BYTES):
+            yield batch.slice(start, at - start)
+            start, held = at, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A name like ``name`` that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -104,10 +104,15 @@ def may_match(text: Column, templates: dict[str, str], threshold: float) -> Colu
     words = {w for wording in templates.values() for w in anchors(template_bigrams(wording), threshold)}
     lower = F.lower(text)
     found = F.lit(False)
-    for word in sorted(words):
+    long = sorted(w for w in words if len(w) > 3)
+    for word in long:
         # A word that contains another anchor is found with it.
-        if not any(other != word and other in word for other in words):
+        if not any(other != word and other in word for other in long):
             found = found | F.contains(lower, F.lit(word))
+    if short := "|".join(sorted(words.difference(long))):
+        # Short ones must stand alone; what surrounds them is looked at after they are found.
+        sign = r"[\p{L}\p{N}]"
+        found = found | lower.rlike(f"(?:{short})(?<!{sign}(?:{short}))(?!{sign})")
     return found
 
 

@@ -6,7 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stockloom.llm import bpe, license_scan, mixing, quality_classifier, quality_rules, simhash, url_filter
+from stockloom.llm import (
+    bpe,
+    fingerprints,
+    license_scan,
+    mixing,
+    order,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    url_filter,
+)
 from stockloom.llm.registry import ORACLES, QUERIES, query, table
 from stockloom.operators.scans import materialize
 
@@ -177,3 +187,24 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Cell, probability and decision of every document."""
     documents = table(spark, folder, "documents")
     return mixing.sample(documents, mixing.probabilities(documents))
+
+
+@query("op6_weighted_fingerprints")
+def op6_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and of its edited form, and how near they and the next text's are."""
+    documents = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    followed = order.with_next(documents, "doc_id", "text", {"text": "next_text"})
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(
+        F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)
+    )
+    rows = followed.select(
+        "doc_id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "text", "next_text"
+    ).withColumn("edited_sha256", F.sha2("edited", 256))
+    return fingerprints.compared(
+        rows,
+        ["text", "edited", "next_text"],
+        ["fingerprint", "edited_fingerprint", "next_fingerprint"],
+        {"near_edited": (0, 1), "near_next": (0, 2)},
+        keep=["doc_id", "n_chars", "edited_sha256"],
+    ).drop("next_fingerprint")

@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -67,7 +69,7 @@ class Sampler:
         """One row of ``SAMPLES`` 16-bit numbers for each text."""
         words = [split_words(t) for t in texts]
         lengths = np.array([len(w) for w in words], np.int64)
-        ids = np.fromiter((self.words[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+        ids = np.fromiter(map(self.words.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
         out = np.zeros((len(texts), SAMPLES), np.uint16)
         if not len(ids):
             return out

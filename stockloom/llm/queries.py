@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from stockloom.llm import (
     bpe,
     fingerprints,
+    fixity,
     license_scan,
     mixing,
     order,
     quality_classifier,
     quality_rules,
     simhash,
+    tool_calls,
     url_filter,
 )
 from stockloom.llm.registry import ORACLES, QUERIES, query, table
@@ -208,3 +210,113 @@ def op6_weighted_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         {"near_edited": (0, 1), "near_next": (0, 2)},
         keep=["doc_id", "n_chars", "edited_sha256"],
     ).drop("next_fingerprint")
+
+
+def _fixity_sql() -> str:
+    body = "coalesce(html, '')"
+    record = (
+        "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')"
+        f" || chr(13) || chr(10) || 'Content-Length: ' || strlen({body}) || chr(13) || chr(10) || chr(13) || chr(10) || {body}"
+        " || chr(13) || chr(10) || chr(13) || chr(10)"
+    )
+    return f"""
+WITH records AS (
+    SELECT regexp_extract(url, '://[^/?#]*?([^./?#]*[.][^./?#]*)(?:[/?#]|$)', 1) AS archive, page_id AS id,
+        strlen({record})::BIGINT AS size, ((page_id * 7919) % 211)::INTEGER AS damage
+    FROM pages
+),
+placed AS (
+    SELECT *, row_number() OVER w - 1 AS ordinal,
+        coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+    FROM records WINDOW w AS (PARTITION BY archive ORDER BY id)
+)
+SELECT archive, id, ordinal, "offset", size,
+    CASE damage WHEN 0 THEN size WHEN 1 THEN size - 4 END AS found_size,
+    CASE damage WHEN 0 THEN 'altered' WHEN 1 THEN 'resized' ELSE 'missing' END AS kind
+FROM placed WHERE damage < 3
+"""
+
+
+@query("op4_fixity_audit", _fixity_sql())
+def op4_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages as records, in one archive for each site; the replica is the same with known damage in some records."""
+    pages = table(spark, folder, "pages")
+    record = fixity.warc_record(F.col("url"), F.col("html"))
+    site = F.regexp_extract("url", "://[^/?#]*?([^./?#]*[.][^./?#]*)(?:[/?#]|$)", 1)
+    master = pages.select(site.alias("archive"), F.col("page_id").alias("id"), record.alias("payload"))
+    damage = (F.col("id") * 7919) % 211
+    cut = F.substring("payload", F.lit(1), F.length("payload") - 4)  # the two line breaks at the end
+    harmed = (
+        F.when(damage == 0, F.concat(cut, F.lit("####")))
+        .when(damage == 1, cut)
+        .when(damage == 2, F.lit(None).cast("string"))
+        .otherwise(F.col("payload"))
+    )
+    return fixity.audit(master, master.withColumn("payload", harmed))
+
+
+#: Tools that the query's calls are checked against.
+TOOLS = {
+    "search": tool_calls.Schema({"limit": "integer", "query": "string"}, frozenset({"limit", "query"})),
+    "summarize": tool_calls.Schema({"limit": "integer", "text": "string"}, frozenset({"text"})),
+}
+
+
+@query(
+    "op9_tool_call_linking",
+    """
+WITH users AS (
+    SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id, length(text) % 5 AS k,
+        CASE WHEN length(text) < 200 THEN 'search' ELSE 'summarize' END AS name
+    FROM conversations WHERE role = 'user' AND text IS NOT NULL
+),
+calls AS (
+    SELECT *, CASE WHEN k = 0 THEN to_json({'query': text})
+        WHEN k = 1 AND name = 'search' THEN to_json({'limit': 'many', 'query': text})
+        WHEN name = 'search' THEN to_json({'limit': k, 'query': text})
+        WHEN k = 1 THEN to_json({'text': text})
+        ELSE to_json({'limit': k, 'text': text}) END AS arguments,
+        CASE WHEN k = 0 AND name = 'search' THEN 'missing limit'
+        WHEN k = 0 THEN 'missing text,unexpected query'
+        WHEN k = 1 AND name = 'search' THEN 'type of limit' ELSE '' END AS errors,
+        -- The first call of each two needs the second, the second that of the two before.
+        CASE WHEN turn % 4 < 2 THEN turn + 2 END AS needs
+    FROM users
+),
+ordered AS (
+    SELECT c.*, row_number() OVER (
+        PARTITION BY c.conv_id ORDER BY coalesce(n.turn, c.turn), n.turn IS NOT NULL, c.turn, c.call_id) - 1 AS position
+    FROM calls c LEFT JOIN users n ON n.conv_id = c.conv_id AND n.turn = c.needs
+),
+answers AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+SELECT o.conv_id, position, call_id, name,
+    CASE WHEN errors <> '' THEN 'invalid' WHEN a.text IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+    errors,
+    '{"arguments":' || arguments || ',"id":' || to_json(call_id) || ',"name":' || to_json(name) || ',"result":' || coalesce(to_json(a.text), 'null') || '}' AS json
+FROM ordered o LEFT JOIN answers a USING (conv_id, turn)
+""",
+)
+def op9_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user turn calls a tool, the assistant turn after it is the result; some arguments break the schema."""
+    turns = table(spark, folder, "conversations").filter("text IS NOT NULL")
+    number = lambda t: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), t)
+    k = F.length("text") % 5
+    name = F.when(F.length("text") < 200, "search").otherwise("summarize")
+    arguments = (
+        F.when(k == 0, F.to_json(F.struct(F.col("text").alias("query"))))
+        .when((k == 1) & (name == "search"), F.to_json(F.struct(F.lit("many").alias("limit"), F.col("text").alias("query"))))
+        .when(name == "search", F.to_json(F.struct(k.alias("limit"), F.col("text").alias("query"))))
+        .when(k == 1, F.to_json(F.struct("text")))
+        .otherwise(F.to_json(F.struct(k.alias("limit"), "text")))
+    )
+    # The first call of each two needs the second, the second that of the two before.
+    needs = F.when(F.col("turn") % 4 < 2, F.col("turn") + 2).otherwise(F.col("turn") - 4)
+    calls = turns.filter("role = 'user'").select(
+        "conv_id", "turn", number(F.col("turn")).alias("call_id"), name.alias("name"), arguments.alias("arguments"),
+        F.array(number(needs)).alias("depends_on"),
+    )
+    results = turns.filter("role = 'assistant'").select(
+        "conv_id", "turn", number(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content")
+    )
+    linked = tool_calls.link(calls, results, TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", ","))

@@ -3,7 +3,7 @@
 Documents are first summed into cells (source, language, topic). The cell weights are raked until their
 sums over each source, each language and each topic meet the targets: in a sweep, each dimension in turn
 multiplies its cells by target / sum. A document is then kept with the probability that belongs to its
-cell, scaled so that the expected tokens are ``KEEP_SHARE`` of all; probabilities that would exceed 1 are
+cell, scaled so that the expected tokens are ``KEEP_SHARE`` of those in cells that the targets allow; probabilities that would exceed 1 are
 set to 1 and the rest is scaled again. The decision compares a hash of the document with the probability.
 
 All sums are Spark aggregates over cells; nothing but convergence figures reaches the driver, and each
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stockloom.llm.arrow import fresh
 from stockloom.operators.scans import materialize
 
-#: Share of all tokens that the sample is expected to hold.
+#: Share of the tokens in allowed cells that the sample is expected to hold.
 KEEP_SHARE = 0.5
 #: Raking stops at this largest relative error of a margin, or after so many sweeps.
 TOLERANCE, MAX_SWEEPS = 1e-6, 25
@@ -129,7 +129,7 @@ def _meet(cells: DataFrame, dimension: str, goal: DataFrame) -> DataFrame:
 
 
 def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """Add ``probability``: weight / base scaled so that the expected tokens are ``keep_share`` of all.
+    """Add ``probability``: weight / base scaled so that the expected tokens are ``keep_share`` of the base.
 
     ``raked`` should be stored. Probabilities are at most 1; what they lose by that goes to the others.
     """

@@ -25,6 +25,7 @@ import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 from stockloom.llm.arrow import split_words, with_columns
 
 #: Words in the lexicon, at most, and the longest of them in bytes.
-FREQUENT_WORDS, LONGEST_WORD = 200_000, 48
+FREQUENT_WORDS, LONGEST_WORD = 300_000, 48
 #: Words and pieces whose ids a worker remembers between blocks, at most.
 REMEMBERED = 400_000
 #: Pieces of more symbols are merged with a heap.
@@ -66,6 +67,7 @@ _CAPITALS = (
     (0x16EA0, 0x16EB8, 0x1B),
 )
 _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _AFTER_16) + "]")
+_LATE = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _CAPITALS) + "]")
 _LOWER = {c: c + d for a, b, d in _CAPITALS for c in range(a, b + 1)}
 
 
@@ -76,6 +78,16 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def _letters(text: str) -> str | None:
+    """The normalised text if it is, before and after, nothing but letters; else null."""
+    if not text.isalpha():
+        return None
+    lower = text.lower()
+    if text.isascii() or lower.isalpha() and "Σ" not in text and unicodedata.is_normalized("NFC", text):
+        return lower
+    return None
+
+
 class Vocabulary:
     """Merges, symbols and special tokens of a vocabulary file, and the exact encoding of one word."""
 
@@ -106,6 +118,11 @@ class Vocabulary:
     def word(self, word: bytes) -> list[int]:
         """Token ids of a run without ASCII white space."""
         text = word.decode("utf-8", "surrogatepass")
+        # Most words are letters, perhaps with one sign after them; no pattern is needed to cut these.
+        if (letters := _letters(text)) is not None:
+            return self.piece(letters)
+        if text[-1] in ",.!;:?" and (letters := _letters(text[:-1])) is not None:
+            return self.piece(letters) + self.piece(text[-1])
         if self.special_pattern is None or not any(s in text for s in self.special):
             return self._plain(text)
         out: list[int] = []
@@ -115,15 +132,20 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[int]:
         # Lower case of each character by itself: a sigma stays the same at the end of a word.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower().translate(_LOWER)
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if _LATE.search(text):
+            text = text.translate(_LOWER)
         out: list[int] = []
         for piece in self.pieces(text) if text.isascii() or not _NEWER.search(text) else self._assigned_pieces(text):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = self.known[piece] = self.merge(piece.encode("utf-8", "surrogatepass"))
-            out += ids
+            out += self.piece(piece)
         return out
 
+    def piece(self, piece: str) -> list[int]:
+        ids = self.known.get(piece)
+        if ids is None:
+            ids = self.known[piece] = self.merge(piece.encode("utf-8", "surrogatepass"))
+        return ids
+
     def _assigned_pieces(self, text: str) -> list[str]:
         """Pieces where characters newer than the vocabulary's library count as signs, as they do there."""
         proxy = _NEWER.sub("\ue000", text)
@@ -140,12 +162,12 @@ class Vocabulary:
         ids.append(self.last[piece[-1]])
         if len(ids) > _LONG:
             return self._merge_long(ids)
-        get = self.merges.get
+        get, low_bits = self.merges.get, (1 << _SHIFT) - 1
         ranks = [get(a << _SHIFT | b, _NONE) for a, b in zip(ids, ids[1:])]
         while ranks and (low := min(ranks)) != _NONE:
             i = ranks.index(low)
-            ids[i : i + 2] = [low & ((1 << _SHIFT) - 1)]
-            del ranks[i]
+            ids[i] = low & low_bits
+            del ids[i + 1], ranks[i]
             if i:
                 ranks[i - 1] = get(ids[i - 1] << _SHIFT | ids[i], _NONE)
             if i < len(ranks):
@@ -299,17 +321,23 @@ class Encoder:
         self.vocabulary.known.clear()
 
     def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new words: those of the lexicon from its file, the others by merging."""
         ranks = self.lexicon.ranks(words)
-        starts, ids = self.lexicon.starts, self.lexicon.ids
-        new = [
-            ids[starts[r] : starts[r + 1]] if r >= 0 else np.array(self.vocabulary.word(w), np.int32)
-            for w, r in zip(words, ranks.tolist())
-        ]
-        lengths = np.array([len(x) for x in new], np.int64)
+        merged = [self.vocabulary.word(words[i]) for i in np.nonzero(ranks < 0)[0].tolist()]
+        starts = self.lexicon.starts
+        hits = np.maximum(ranks, 0)
+        lengths = np.where(ranks >= 0, starts[np.minimum(hits + 1, len(starts) - 1)] - starts[hits], 0)
+        lengths[ranks < 0] = np.fromiter(map(len, merged), np.int64, len(merged))
+        ends = np.cumsum(lengths)
+        total = int(ends[-1])
+        # Places in one array: the lexicon's ids, then the merged ones.
+        begins = starts[hits]
+        begins[ranks < 0] = len(self.lexicon.ids) + np.cumsum(lengths[ranks < 0]) - lengths[ranks < 0]
+        source = np.concatenate([self.lexicon.ids, np.fromiter(chain.from_iterable(merged), np.int32)])
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.begins = np.concatenate([self.begins, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.begins = np.concatenate([self.begins, len(self.ids) + ends - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, *new])
+        self.ids = np.concatenate([self.ids, source[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]])
 
     def __call__(self, texts: list[str | None]) -> list[pa.Array]:
         words = [split_words(t) for t in texts]
@@ -319,7 +347,7 @@ class Encoder:
         if unknown:
             self.learn(list(unknown))
         counts = np.array([len(w) for w in words], np.int64)
-        place = np.fromiter((self.number[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+        place = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         lengths = self.lengths[place]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

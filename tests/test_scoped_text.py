@@ -1,5 +1,6 @@
 """The relational scope extraction against a plain model of its rules."""
 
+import itertools
 import random
 import re
 
@@ -8,48 +9,81 @@ import pytest
 from stockloom.operators.scoped_text import scoped_extract
 
 
-def model(lines):
-    """Sequential reading of the eight rules over one file."""
-    start = next((i for i, text in enumerate(lines) if "public void SetupShop(int type)" in text), None)
-    found = {}
-    if start is None:
-        return found
-    depth, case, switch_depth, waiting, pending, scopes = 0, -1, None, False, None, []
-    for i in range(start, len(lines)):
-        line = lines[i]
+class Block:
+    """A pair of braces: its place in the file's events, what encloses it, and the condition before it."""
+
+    def __init__(self, parent, opened, condition=None):
+        self.parent, self.opened, self.condition = parent, opened, condition
+        self.closed = float("inf")
+
+    def chain(self):
+        """This block and those around it, the outermost first."""
+        return (self.parent.chain() if self.parent else []) + [self]
+
+
+TOKENS = re.compile(r"\.SetDefaults\(([0-9]+)\)|([{}])")
+
+
+def events(lines):
+    """(kind, value) of all that matters from the marker on: heads of a line, its items, then its braces."""
+    body = itertools.dropwhile(lambda text: "public void SetupShop(int type)" not in text, lines)
+    for number, line in enumerate(body):
         text = line.strip()
-        if switch_depth is None and text.startswith("switch (type)"):
-            waiting = True
-        label = re.match(r"case\s+([0-9]+)\s*:", text)
-        if label and switch_depth is not None and depth == switch_depth:
-            case, scopes, pending = int(label[1]), [], None
-        condition = re.match(r"(?:else\s+)?if\s*\((.+)\)", text)
-        if condition:
-            body = condition[1].strip()
-            body = body.replace("Main.player[Main.myPlayer].", "player.")
-            pending = re.sub(r"\s+", " ", body.replace("Main.LocalPlayer.", "player."))
-        if case > 0:
-            for item in re.findall(r"\.SetDefaults\(([0-9]+)\)", line):
-                known = found.setdefault((case, int(item)), [])
-                known += [c for c, _ in scopes if c not in known]
-        for char in line:
-            if char == "{":
-                depth += 1
-                if waiting:
-                    switch_depth, waiting = depth, False
-                if pending and pending.strip():
-                    scopes.append((pending, depth))
-                    pending = None
-            elif char == "}":
-                while scopes and scopes[-1][1] == depth:
-                    scopes.pop()
-                depth -= 1
-                if switch_depth is not None and depth < switch_depth:
-                    switch_depth, case = None, -1
-        if depth <= 0 and i > start:
+        if text.startswith("switch (type)"):
+            yield "switch", None
+        if label := re.match(r"case\s+([0-9]+)\s*:", text):
+            yield "case", int(label[1])
+        if condition := re.match(r"(?:else\s+)?if\s*\((.+)\)", text):
+            plain = re.sub(r"Main\.(LocalPlayer|player\[Main\.myPlayer\])\.", "player.", condition[1].strip())
+            yield "if", re.sub(r"\s+", " ", plain)
+        found = TOKENS.findall(line)
+        yield from (("item", int(item)) for item, _ in found if item)
+        yield from ((brace, None) for _, brace in found if brace)
+        yield "end", number
+
+
+def model(lines):
+    """Blocks as a tree first; then each item is looked up from its innermost block outwards."""
+    tree, leaves = Block(None, -1), []
+    here, depth = tree, 0
+    log = list(events(lines))
+    for at, (kind, value) in enumerate(log):
+        if kind == "{":
+            here, depth = Block(here, at), depth + 1
+        elif kind == "}":
+            here.closed, here, depth = at, here.parent or tree, depth - 1
+        elif kind == "end" and value and depth <= 0:
+            log = log[:at]
             break
-    # Repeats inside one scope list are kept once, first seen.
-    return {k: list(dict.fromkeys(v)) for k, v in found.items()}
+        leaves.append(here)
+
+    def before(at, *kinds):
+        """Place of the last event of these kinds before a place."""
+        return next((i for i in range(at - 1, -1, -1) if log[i][0] in kinds), -1)
+
+    # A switch is the first block after a header that stands in no other switch.
+    switches = []
+    for at, (kind, _) in enumerate(log):
+        if kind == "switch" and not any(s.opened < at < s.closed for s in switches):
+            opened = next((i for i in range(at, len(log)) if log[i][0] == "{"), None)
+            if opened is not None and all(s.opened != opened for s in switches):
+                switches.append(leaves[opened])
+    # A label counts directly inside a switch.
+    labels = [at for at, (kind, _) in enumerate(log) if kind == "case" and leaves[at] in switches]
+    # A block has the last condition before it, unless a block or a label stands between.
+    for at, (kind, _) in enumerate(log):
+        if kind == "{":
+            last = before(at, "if")
+            if last > max(before(at, "{"), max((x for x in labels if x < at), default=-1)) and log[last][1].strip():
+                leaves[at].condition = log[last][1]
+    found = {}
+    for at, (kind, item) in enumerate(log):
+        inside = [s for s in switches if s.opened < at < s.closed]
+        label = max((x for x in labels if x < at and inside and x > inside[-1].opened), default=None)
+        if kind == "item" and label is not None and log[label][1] > 0:
+            conditions = [x.condition for x in leaves[at].chain() if x.opened > label and x.condition]
+            found.setdefault((log[label][1], item), {}).update(dict.fromkeys(conditions))
+    return {key: list(conditions) for key, conditions in found.items()}
 
 
 HEAD = ["class Chest", "{", "  public void SetupShop(int type)", "  {", "    switch (type)", "    {"]
@@ -83,6 +117,30 @@ CASES = {
 }
 
 
+# What each hand-made file gives: (case, item) with its conditions.
+EXPECTED = {
+    "nested": {(1, 5): ["a", "b && (c)"], (1, 6): ["a"], (1, 7): []},
+    "else_if": {(2, 1): ["a"], (2, 2): ["b"]},
+    "else": {(3, 1): ["a"], (3, 2): []},
+    "leak": {(4, 1): [], (4, 2): ["a"]},
+    "stacked": {(6, 1): []},
+    "cleared_pending": {(5, 9): [], (6, 1): []},
+    "nested_switch": {(7, 3): [], (7, 4): []},
+    "nested_same_switch": {(7, 3): [], (7, 4): []},
+    "same_line": {(8, 1): [], (8, 2): ["a) { x.SetDefaults(1"], (8, 3): []},
+    "blank_after": {},
+    "no_marker": {},
+    "case_zero": {(1, 2): []},
+    "two_switches": {(1, 1): [], (2, 2): ["z"]},
+    "brace_on_signature": {(1, 4): []},
+    "normalised": {(1, 1): ["player.a && player.b"], (1, 2): ["player.a && player.b"]},
+    "repeat": {(1, 1): ["a", "b"]},
+    "after_end": {(1, 1): []},
+    "blank_condition": {(1, 1): []},
+    "overwritten": {(1, 1): ["b"]},
+}
+
+
 def random_file(rng):
     out = list(HEAD) if rng.random() < 0.9 else HEAD[:2] + ["public void SetupShop(int type)", "", "{"]
     depth = 0
@@ -126,12 +184,8 @@ def run(spark, files, **options):
 @pytest.mark.parametrize("block", [3, 100_000])
 def test_hand_made_files(spark, block):
     got = run(spark, CASES, block_lines=block)
-    for name, body in CASES.items():
-        assert got[name] == model(body), name
-    assert got["nested"][(1, 5)] == ["a", "b && (c)"]
-    assert got["leak"] == {(4, 1): [], (4, 2): ["a"]}
-    assert got["stacked"] == {(6, 1): []}
-    assert got["blank_after"] == {} and got["no_marker"] == {}
+    assert got == EXPECTED
+    assert {name: model(body) for name, body in CASES.items()} == EXPECTED
 
 
 @pytest.mark.parametrize("block", [4, 100_000])

@@ -105,26 +105,20 @@ def contains_all_rows(
 ) -> DataFrame:
     """Keys whose rows hold every required value: the flat form of ``contains_all``.
 
-    Only matching rows are read on, and repeats collapse before the shuffle.
+    Only matching rows are read on, and repeats collapse before the shuffle; then values are counted.
     """
+    wanted = sorted(set(required))
     return (
-        df.filter(F.col(value).isin(list(required)))
+        df.filter(F.col(value).isin(wanted))
+        .select(*keys, value)
+        .distinct()
         .groupBy(*keys)
-        .agg(F.bit_or(_required_bit(F.col(value), required)).alias("_bits"))
-        .filter(F.col("_bits") == (1 << len(required)) - 1)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") == len(wanted))
         .select(*keys)
     )
 
 
-def _required_bit(value: Column, required: Sequence[int]) -> Column:
-    if len(required) > 60:
-        raise ValueError("at most 60 required values")
-    bit = F.lit(0)
-    for i, r in enumerate(required):
-        bit = F.when(value == r, 1 << i).otherwise(bit)
-    return bit.cast("bigint")
-
-
 def missing_files(manifest: DataFrame, path: Column, listing: DataFrame) -> DataFrame:
     """Rows whose file is not in the listing (``path`` column), by anti join."""
     present = listing.select(F.col("path").alias("_path")).distinct()

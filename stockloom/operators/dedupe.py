@@ -53,11 +53,6 @@ def ordered_distinct_list(
     return first_seen.groupBy(*keys).agg(F.transform(entries, lambda x: x["_value"]).alias(out))
 
 
-def source_status(rows: DataFrame, keys: Sequence[str], priority: str = "priority") -> DataFrame:
-    """Row count per key and source; a source listed here is taken as having succeeded."""
-    return rows.groupBy(*keys, priority).agg(F.count("*").alias("n_rows"))
-
-
 def choose_source(
     status: DataFrame, keys: Sequence[str], priority: str = "priority", empty_wins_at: int | None = 1
 ) -> DataFrame:

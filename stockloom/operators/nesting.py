@@ -1,9 +1,10 @@
 """Shaping of nested child lists.
 
-A nested list must fit in one row. Children are unique per (parent, id) when they arrive here, so
-cutting the id range into parts of ``part_width`` bounds every list by that width. A parent with
-fewer ids than the width gives exactly one row; a parent holding a large share of all children is
-spread over many rows and tasks, and nothing is dropped.
+A nested list must fit in one row. Children are numbered inside their parent, in the order of their
+ids, and every ``part_width`` of them make one part. A parent with no more children than the width is
+exactly one row, whatever its ids are; a parent holding a large share of all children is spread over
+many rows and tasks, and nothing is dropped. The numbers are counts over blocks of ids, so that no
+parent is numbered in one task.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_PART_WIDTH = 65_536
-
+from stockloom.operators.scans import RunningSum, running
 
-def part_number(id_col: Column, part_width: int = DEFAULT_PART_WIDTH) -> Column:
-    return F.floor(id_col / F.lit(part_width)).cast("bigint")
+DEFAULT_PART_WIDTH = 65_536
+# Ids in a block of the numbering.
+_BLOCK = 65_536
+_LOWEST = -(1 << 62)
 
 
 def nest_children(
@@ -31,13 +33,20 @@ def nest_children(
 ) -> DataFrame:
     """(keys, part, list of child structs sorted by ``order``).
 
-    ``children`` holds each (keys, order) once. With ``parents`` given, every parent has a part 0,
-    with an empty list when it has no children there. One shuffle; no join.
+    ``children`` holds each (keys, order) once; ``order`` is an integer. With ``parents`` given, every
+    parent has a part 0, with an empty list when it has no children. Writes the numbered children once.
     """
-    child = F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_child"))
-    stream = children.select(
-        *keys, part_number(F.col(order), part_width).alias("part"), child.alias("_entry")
+    numbered = running(
+        children,
+        keys,
+        [order],
+        [RunningSum("_before", F.lit(1).cast("bigint"), inclusive=False)],
+        block=F.coalesce(F.expr(f"`{order}` div {_BLOCK}"), F.lit(_LOWEST)),
+        output=list(dict.fromkeys([*keys, order, *fields])),
     )
+    child = F.struct(F.col(order).alias("_order"), F.struct(*fields).alias("_child"))
+    part = F.expr(f"_before div {part_width}").alias("part")
+    stream = numbered.select(*keys, part, child.alias("_entry"))
     if parents is not None:
         headers = parents.select(*keys, F.lit(0).cast("bigint").alias("part"))
         stream = stream.unionByName(headers, allowMissingColumns=True)

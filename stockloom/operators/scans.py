@@ -54,7 +54,7 @@ def running(
     ``df`` is computed, shuffled and sorted once, by block. The block-local values are materialised:
     the carry is read from there (one row per block), and so are the results.
     """
-    block_no = block if block is not None else F.floor(F.col(order[0]) / DEFAULT_BLOCK)
+    block_no = block if block is not None else F.expr(f"`{order[0]}` div {DEFAULT_BLOCK}")
     block_keys = [*keys, "_block"]
     columns = list(df.columns if output is None else output)
     prepared = df.withColumns(
@@ -92,9 +92,12 @@ def running(
             for s in specs
         ],
     )
+    # Null keys form a group as well, so the join compares them as equal.
+    named = carry.withColumnsRenamed({k: f"_of_{k}" for k in block_keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in block_keys]
     return (
         local.filter("_keep")
-        .join(carry, block_keys)
+        .join(named, same)
         .select(*columns, *[_with_carry(s).alias(s.name) for s in specs])
     )
 

@@ -400,13 +400,13 @@ def _recipe_projection(spark: SparkSession, folder: str) -> DataFrame:
       SELECT l_suppkey AS supplier, l_partkey AS item, CAST(sum(l_quantity) AS INT) AS n,
         CAST(max(l_linenumber) AS INT) AS price, bool_or(l_returnflag = 'R') AS r,
         bool_or(l_linestatus = 'O') AS o FROM lineitem GROUP BY ALL)
-    SELECT supplier, item // 256 AS part,
+    SELECT supplier, k // 256 AS part,
       string_agg(item || ':' || CASE WHEN n > 60 THEN '' ELSE 'p' || item END || 'x' || n, ';' ORDER BY item)
         AS ingredients,
       string_agg(item || '|' || CASE WHEN n > 60 THEN '' ELSE 'p' || item END || '|' || price || '|' ||
         CASE WHEN r AND o THEN 'returned&open' WHEN r THEN 'returned' WHEN o THEN 'open' ELSE '' END,
         ';' ORDER BY item) AS offers
-    FROM g GROUP BY ALL
+    FROM (SELECT *, row_number() OVER (PARTITION BY supplier ORDER BY item) - 1 AS k FROM g) GROUP BY ALL
     """,
 )
 def _encode_cells(spark: SparkSession, folder: str) -> DataFrame:

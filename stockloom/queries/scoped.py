@@ -15,14 +15,17 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     """(file, line_no, line): one file per return flag, so each file holds a third of all lines.
 
     Every (order, line number) becomes a case section with an outer condition, an inner condition
-    and an else branch.
+    and an else branch; all its parts stand in it, those of one line number (a key of the order) on one line.
     """
+    part = F.col("l_partkey").cast("string")
     groups = (
         table(spark, folder, "lineitem")
         .groupBy(F.col("l_returnflag").alias("file"), "l_orderkey", "l_linenumber")
         .agg(
             F.min("l_partkey").cast("string").alias("low"),
-            F.max("l_partkey").cast("string").alias("high"),
+            F.array_join(
+                F.array_sort(F.collect_set(F.concat(F.lit("y.SetDefaults("), part, F.lit(");")))), " "
+            ).alias("all"),
             F.max("l_quantity").cast("int").cast("string").alias("quantity"),
             F.max("l_linestatus").alias("status"),
         )
@@ -38,7 +41,7 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("{"),
         text("x.SetDefaults(", F.col("low"), ");"),
         text("if (status(", F.col("status"), ")) {"),
-        text("y.SetDefaults(", F.col("high"), "); z.SetDefaults(", F.col("low"), ");"),
+        F.col("all"),
         F.lit("}"),
         F.lit("}"),
         F.lit("else"),
@@ -65,12 +68,12 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     """
     WITH g AS (
       SELECT l_returnflag AS file, l_orderkey, l_linenumber, CAST(min(l_partkey) AS VARCHAR) AS low,
-        CAST(max(l_partkey) AS VARCHAR) AS high, CAST(CAST(max(l_quantity) AS INT) AS VARCHAR) AS q, max(l_linestatus) AS s
+        list(DISTINCT CAST(l_partkey AS VARCHAR)) AS parts, CAST(CAST(max(l_quantity) AS INT) AS VARCHAR) AS q,
+        max(l_linestatus) AS s
       FROM lineitem GROUP BY ALL),
     i AS (
       SELECT file, l_orderkey, l_linenumber, 0 AS k, low AS item, ['player.quantity > ' || q] AS conds FROM g
-      UNION ALL SELECT file, l_orderkey, l_linenumber, 1, high, ['player.quantity > ' || q, 'status(' || s || ')'] FROM g
-      UNION ALL SELECT file, l_orderkey, l_linenumber, 2, low, ['player.quantity > ' || q, 'status(' || s || ')'] FROM g
+      UNION ALL SELECT file, l_orderkey, l_linenumber, 1, unnest(parts), ['player.quantity > ' || q, 'status(' || s || ')'] FROM g
       UNION ALL SELECT file, l_orderkey, l_linenumber, 3, '9' || low, [] FROM g),
     items AS (SELECT DISTINCT file, l_orderkey, item FROM i),
     c AS (SELECT file, l_orderkey, l_linenumber, k, item, unnest(conds) AS cond, unnest(range(len(conds))) AS ord FROM i),

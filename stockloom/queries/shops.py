@@ -102,9 +102,10 @@ def _shop_items(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "nested_shops_summary",
     """
-    WITH d AS (SELECT DISTINCT l_suppkey AS shop_id, l_partkey AS item FROM lineitem WHERE l_quantity >= 49),
-    n AS (SELECT shop_id, item // 512 AS part, count(*) AS n_items, min(item) AS first_item, max(item) AS last_item
-      FROM d GROUP BY ALL),
+    WITH d AS (SELECT DISTINCT l_suppkey AS shop_id, l_partkey AS item FROM lineitem WHERE l_suppkey % 7 <> 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY item) - 1 AS k FROM d),
+    n AS (SELECT shop_id, k // 512 AS part, count(*) AS n_items, min(item) AS first_item, max(item) AS last_item
+      FROM r GROUP BY ALL),
     h AS (SELECT s_suppkey AS shop_id, 0 AS part FROM supplier UNION SELECT shop_id, part FROM n)
     SELECT h.shop_id, CAST(h.part AS BIGINT) AS part, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'NPC ' || s_nationkey END
         AS npc_name,
@@ -114,7 +115,8 @@ def _shop_items(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def _nested_shops_summary(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem").filter("l_quantity >= 49").select(
+    """Shops whose number leaves 3 when divided by 7 are empty."""
+    lines = table(spark, folder, "lineitem").filter("l_suppkey % 7 <> 3").select(
         F.col("l_suppkey").alias("shop_id"), F.col("l_partkey").alias("item_id")
     )
     suppliers = table(spark, folder, "supplier").select(
@@ -230,9 +232,10 @@ def _first_nonempty_source(spark: SparkSession, folder: str) -> DataFrame:
       UNION SELECT shop, 9 FROM smap WHERE sampled),
     chosen AS (SELECT shop, min(priority) AS priority FROM cand GROUP BY 1),
     nested AS (
-      SELECT shop, item // 1024 AS part, count(*) AS n_items,
+      SELECT shop, k // 64 AS part, count(*) AS n_items,
         string_agg(item || '|' || name || '|' || price || '|' || conditions, ';' ORDER BY item) AS items
-      FROM alloffers JOIN chosen USING (shop, priority) GROUP BY ALL),
+      FROM (SELECT *, row_number() OVER (PARTITION BY shop ORDER BY item) - 1 AS k
+        FROM alloffers JOIN chosen USING (shop, priority)) GROUP BY ALL),
     heads AS (SELECT shop, 0 AS part FROM chosen UNION SELECT shop, part FROM nested)
     SELECT shop AS shop_id, npc AS npc_id, CASE WHEN npc < 20 THEN n_name ELSE 'NPC ' || npc END AS npc_name, shop_name,
       CAST(part AS BIGINT) AS part, CAST(coalesce(n_items, 0) AS INT) AS n_items, coalesce(items, '') AS items
@@ -281,7 +284,7 @@ def _shop_catalog(spark: SparkSession, folder: str) -> DataFrame:
         internal_names=internal_names(spark, folder),
         npc_names=npc_names,
         id_count=1500,
-        part_width=1024,
+        part_width=64,
     )
     return shops.select(
         "shop_id",

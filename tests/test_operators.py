@@ -8,6 +8,7 @@ from stockloom.operators import checks, edges, shops
 from stockloom.operators.assets import asset_header, asset_manifest, manifest_order
 from stockloom.operators.dedupe import dedupe_first, first_match, first_nonempty_source
 from stockloom.operators.lookups import first_wins_map
+from stockloom.operators.checks import contains_all_rows
 from stockloom.operators.nesting import distinct_over_samples, nest_children, take_while_rows
 from stockloom.operators.scans import RunningLast, RunningSum, running
 from stockloom.sources.files import assets_of
@@ -62,8 +63,21 @@ def test_nested_lists_stay_whole_and_bounded(spark, rows):
     got = {(r["s"], r["part"]): [x["item"] for x in r["items"]] for r in nested.collect()}
     assert got == {
         (1, 0): list(range(10)), (1, 1): list(range(10, 20)), (1, 2): list(range(20, 25)),
-        (2, 0): [], (2, 1): [17], (3, 0): [],
+        (2, 0): [17], (3, 0): [],
     }
+    # Parts depend on the number of children, not on their ids; nothing is rounded.
+    far = spark.createDataFrame(
+        [(1, 9), (1, 70_000), (1, -(1 << 62)), (2, 2**53 + 1), (2, 2**53), (None, 5)], "s int, item bigint"
+    )
+    nested = nest_children(None, far, ["s"], "item", ["item"], "items", part_width=2)
+    got = {(r["s"], r["part"]): [x["item"] for x in r["items"]] for r in nested.collect()}
+    assert got == {(1, 0): [-(1 << 62), 9], (1, 1): [70_000], (2, 0): [2**53, 2**53 + 1], (None, 0): [5]}
+
+
+def test_contains_all_rows_of_many_values(spark, rows):
+    data = [(k, v) for k in range(3) for v in range(100 - k) for _ in range(2)]
+    df = spark.createDataFrame(data, "k int, v int")
+    assert rows(contains_all_rows(df, ["k"], "v", range(100))) == [(0,)]
 
 
 def test_samples(spark, rows):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -25,13 +26,12 @@ from stockloom.operators.lookups import lookup_left
 from stockloom.schemas import JSON_FIELDS, MANIFEST_CSV_FIELDS, RECIPE_FLAGS, RUN_LOG
 from stockloom.sinks import (
     append_run_log,
-    export_json_array,
     public_names,
     write_csv_flat,
     write_json,
     write_placeholder,
 )
-from stockloom.sources.tables import path_exists
+from stockloom.sources.tables import delete_path, path_exists
 
 # Phases in running order with the stem of their output files.
 PHASE_STEMS: tuple[tuple[str, str], ...] = (
@@ -158,7 +158,7 @@ def dataset_order(df: DataFrame, stem: str) -> DataFrame:
         "items": ["id"],
         "shimmer": EDGE_ORDER,
         "recipes": ["recipe_index", "part"],
-        "npc_shops": ["shop_id", "part"] if "shop_id" in df.columns else ["npc_id", "shop_name"],
+        "npc_shops": [*(["shop_id"] if "shop_id" in df.columns else ["npc_id", "shop_name"]), "part"],
     }
     return df.orderBy(*[c for c in orders[stem] if c in df.columns])
 
@@ -167,14 +167,14 @@ def run_phase(
     spark: SparkSession,
     phase: Phase,
     folder: str,
-    json_array: bool = False,
     ordered: bool = True,
+    run_id: str = "",
 ) -> dict[str, object]:
     """Build and write one dataset; returns its run-log row and never raises for a failed phase.
 
-    The plan runs once, into a Parquet table; JSON and CSV are written from that table, sorted unless
-    ``ordered`` is off. The row count comes with the write. No rows is a failure. A failed phase
-    leaves placeholder outputs.
+    The plan runs once, into a Parquet table, sorted unless ``ordered`` is off; JSON and CSV are written
+    from that table, whose files are read in their order. The row count comes with the write. No rows is a
+    failure. A failed phase replaces its outputs, also those of an earlier run, by placeholders.
     """
     started = time.monotonic()
     root = folder.rstrip("/")
@@ -183,7 +183,9 @@ def run_phase(
     count = 0
     try:
         seen = Observation(f"rows of {phase.key}")
-        built = phase.build(spark).observe(seen, F.count(F.lit(1)).alias("n"))
+        built = phase.build(spark)
+        built = dataset_order(built, phase.stem) if ordered else built
+        built = built.observe(seen, F.count(F.lit(1)).alias("n"))
         built.write.mode("overwrite").parquet(table_path(root, phase.stem))
         count = seen.get["n"]
         if count == 0:
@@ -193,22 +195,22 @@ def run_phase(
     else:
         try:
             table = spark.read.parquet(table_path(root, phase.stem))
-            table = dataset_order(table, phase.stem) if ordered else table
-            public = public_names(table, phase.stem)
-            if json_array:
-                export_json_array(public, json_path)
-            else:
-                write_json(public, json_path)
+            delete_path(spark, json_path)
+            delete_path(spark, csv_path)
+            write_json(public_names(table, phase.stem), json_path)
+            whole = table if "part" in table.columns else table.withColumn("part", F.lit(0))
             columns = [name for name, _ in JSON_FIELDS[phase.stem]]
             header = [alias for _, alias in JSON_FIELDS[phase.stem]]
             if phase.stem == "sprite_manifest":
                 header = list(MANIFEST_CSV_FIELDS)
-            write_csv_flat(table.select(*columns), csv_path, header)
+            write_csv_flat(whole.select(*columns), csv_path, header)
         except Exception as error:
             errors.append(f"write failed: {error}")
     errors += [f"missing output: {p}" for p in (json_path, csv_path) if not path_exists(spark, p)]
-    write_placeholder(spark, json_path, csv_path)
+    if errors:
+        write_placeholder(spark, json_path, csv_path, table_path(root, phase.stem))
     return {
+        "run_id": run_id,
         "phase_name": phase.key.replace("_", "-"),
         "phase_key": phase.key,
         "row_count": count,
@@ -221,10 +223,14 @@ def run_phase(
 
 
 def run_catalog(
-    spark: SparkSession, phases: Sequence[Phase], folder: str, json_array: bool = False
+    spark: SparkSession, phases: Sequence[Phase], folder: str, run_id: str | None = None
 ) -> bool:
-    """Run all phases in order, append their outcomes to the run log; True when all succeeded."""
-    outcomes = [run_phase(spark, phase, folder, json_array) for phase in phases]
+    """Run all phases in order, append their outcomes to the run log; True when all succeeded.
+
+    ``run_id`` tells the runs in one log apart; by default it is made up.
+    """
+    run_id = run_id or uuid.uuid4().hex
+    outcomes = [run_phase(spark, phase, folder, run_id=run_id) for phase in phases]
     rows = [tuple(o[name] for name in RUN_LOG.fieldNames()) for o in outcomes]
     append_run_log(spark.createDataFrame(rows, RUN_LOG), f"{folder.rstrip('/')}/run_log")
     return all(o["succeeded"] for o in outcomes)

@@ -1,7 +1,7 @@
 """Reports of a validation and of a run.
 
-Failing records can be many: the whole set goes to a table beside the report, counts come from that
-table, and the report itself shows the first ``shown`` of them.
+Failing references and manifest rows can be many: all of them are written by the executors as JSON lines
+beside the report, and the report names the folder and their number. Other failures are as few as checks.
 """
 
 from __future__ import annotations
@@ -10,34 +10,38 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.plans.catalog import Phase, run_catalog
 from stockloom.plans.validation import Validation, validate_catalog
 from stockloom.sinks.text import write_text_file
 
-SHOWN = 200
-
 
 def _rows(df: DataFrame, *order: str) -> list[dict[str, object]]:
     """Rows of a frame whose size is fixed by the number of checks."""
     return [r.asDict(recursive=True) for r in (df.orderBy(*order) if order else df).collect()]
 
 
-def _store(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _store(df: DataFrame, path: str) -> dict[str, object]:
+    """Write all rows as JSON lines; (path, count). The count comes with the write."""
+    seen = Observation(path)
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return {"path": path, "count": seen.get["n"]}
 
 
-def _section(passed: bool, details: object, failing: list[dict[str, object]], **more: object) -> dict[str, object]:
+def _section(passed: bool, details: object, failing: object, **more: object) -> dict[str, object]:
     return {"pass": passed, "details": details, "failingRecords": failing, **more}
 
 
 def build_report(
-    spark: SparkSession, folder: str, result: Validation, tables: str, shown: int = SHOWN
+    spark: SparkSession, folder: str, result: Validation, tables: str
 ) -> dict[str, object]:
-    """The report as plain values. Failing references and manifest rows are stored under ``tables``."""
+    """The report as plain values. All failing references and manifest rows are written under ``tables``.
+
+    The keys of the report are fixed values.
+    """
     foreign = _store(result.foreign_keys, f"{tables}/foreign_keys")
     manifest = _store(result.manifest, f"{tables}/manifest")
     ranges = _rows(result.ranges, "check")
@@ -49,7 +53,7 @@ def build_report(
     def brief(test: Callable[[dict[str, object]], bool]) -> list[dict[str, object]]:
         return [{k: r[k] for k in ("check", "expected", "actual")} for r in ranges if test(r)]
 
-    n_foreign, n_manifest = foreign.count(), manifest.count()
+    n_foreign, n_manifest = foreign["count"], manifest["count"]
     checks = {
         "required_files": _section(not required_failures, required, required_failures),
         "count_ranges": _section(
@@ -64,18 +68,16 @@ def build_report(
                 "checkedDatasets": ["recipes", "shimmer", "npc_shops", "sprite_manifest"],
                 "validItemIdCount": result.item_ids.head()["n_ids"],
                 "invalidReferenceCount": n_foreign,
-                "table": f"{tables}/foreign_keys",
             },
-            _first(foreign, shown, "section_rank", "record_id", "field", "element_index"),
+            foreign,
         ),
         "sprite_manifest_integrity": _section(
             n_manifest == 0,
             {
                 "checkedRows": counts["sprite_manifest_range"],
                 "failureCount": n_manifest,
-                "table": f"{tables}/manifest",
             },
-            _first(manifest, shown, "record_id", "field", "error"),
+            manifest,
         ),
         "spot_checks": _section(
             all(r["pass"] for r in spots),
@@ -105,11 +107,6 @@ def build_report(
     }
 
 
-def _first(df: DataFrame, n: int, *order: str) -> list[dict[str, object]]:
-    """The first n rows for display: a top-n over all partitions."""
-    return [r.asDict(recursive=True) for r in df.orderBy(*order).limit(n).collect()]
-
-
 @dataclass
 class _Page:
     lines: list[str] = field(default_factory=list)
@@ -118,9 +115,12 @@ class _Page:
         self.lines += lines
 
     def records(self, title: str, records: object) -> None:
-        if not records:
+        if not records or isinstance(records, dict) and not records["count"]:
             self.add(f"- {title}: none")
             return
+        if isinstance(records, dict):
+            self.add(f"- {title}: {records['count']}, all of them in `{records['path']}`")
+            return
         self.add(f"- {title}:", "", "```json", json.dumps(records, indent=2, sort_keys=True), "```")
 
 
@@ -173,10 +173,10 @@ def write_reports(spark: SparkSession, report: dict[str, object], json_path: str
 
 
 def run_validation(
-    spark: SparkSession, folder: str, json_path: str, md_path: str, shown: int = SHOWN
+    spark: SparkSession, folder: str, json_path: str, md_path: str
 ) -> bool:
     """Validate the datasets in ``folder`` and write both reports; True on PASS."""
-    report = build_report(spark, folder, validate_catalog(spark, folder), f"{json_path}.tables", shown)
+    report = build_report(spark, folder, validate_catalog(spark, folder), f"{json_path}.tables")
     write_reports(spark, report, json_path, md_path)
     return report["status"] == "PASS"
 
@@ -187,10 +187,9 @@ def run_and_validate(
     folder: str,
     json_path: str | None = None,
     md_path: str | None = None,
-    json_array: bool = False,
 ) -> bool:
     """Run the phases, then validate when report paths are given; stops at the first failing stage."""
-    if not run_catalog(spark, phases, folder, json_array):
+    if not run_catalog(spark, phases, folder):
         return False
     if json_path is None or md_path is None:
         return True
@@ -198,8 +197,9 @@ def run_and_validate(
 
 
 def phase_summary(run_log: DataFrame) -> DataFrame:
-    """One line per phase: outcome, rows, file names, seconds, errors."""
+    """One line per run and phase: outcome, rows, file names, seconds, errors."""
     return run_log.select(
+        "run_id",
         "phase_name",
         F.when(F.col("succeeded"), "PASS").otherwise("FAIL").alias("outcome"),
         "row_count",
@@ -211,8 +211,8 @@ def phase_summary(run_log: DataFrame) -> DataFrame:
 
 
 def phase_totals(run_log: DataFrame) -> DataFrame:
-    """(n_passed, n_failed) of all phases."""
-    return run_log.agg(
+    """(run_id, n_passed, n_failed): one row per run."""
+    return run_log.groupBy("run_id").agg(
         F.count_if(F.col("succeeded")).alias("n_passed"),
         F.count_if(~F.col("succeeded")).alias("n_failed"),
     )

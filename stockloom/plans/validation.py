@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -23,6 +23,7 @@ from stockloom.operators.checks import (
     union_failures,
 )
 from stockloom.operators.dedupe import first_match
+from stockloom.operators.scans import materialize
 from stockloom.schemas import (
     DECOMPOSE_EDGE,
     DIRECT_EDGE,
@@ -36,6 +37,7 @@ from stockloom.schemas import (
 )
 from stockloom.sources.arrays import as_typed, read_json_array
 from stockloom.sources.files import list_files
+from stockloom.sources.lines import read_lines
 from stockloom.sources.tables import path_exists
 
 # The datasets, the files a complete run leaves, and the expected counts.
@@ -79,8 +81,9 @@ def load_dataset(
 ) -> tuple[DataFrame, str | None]:
     """(records with pos and is_object, load error) of ``<stem>.json``.
 
-    A single file is one JSON array; a folder is JSON lines, which scales. In JSON lines a position
-    orders records by file and place in the file.
+    A single file is one JSON array; a folder is JSON lines, which scales. In JSON lines the position is
+    the number of lines before a record, in all files by name and in its own. A line that is no JSON is a
+    load error, and no record.
     """
     path = f"{folder.rstrip('/')}/{stem}.json"
     names = {"": dict(JSON_FIELDS[stem])}
@@ -88,11 +91,21 @@ def load_dataset(
     if not _is_folder(spark, path):
         records, error = read_json_array(spark, path)
     else:
-        position = F.monotonically_increasing_id().alias("pos")
-        parsed = spark.read.text(path).select(position, F.try_parse_json("value").alias("record"))
+        parsed = _numbered(read_lines(spark, path)).select("pos", F.try_parse_json("line").alias("record"))
+        bad = parsed.agg(F.count_if(F.col("record").isNull()).alias("n")).head()["n"]
         is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
-        records, error = parsed.select("pos", is_object.alias("is_object"), "record"), None
-    return as_typed(records, schema, names), error
+        good = parsed.filter(F.col("record").isNotNull())
+        records = good.select("pos", is_object.alias("is_object"), "record")
+        error = f"invalid json in {stem}.json: {bad} lines" if bad else None
+    return as_typed(records, schema, names, keep_record=True), error
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(pos, line): positions over all files in the order of their names; one row per file is counted."""
+    counts = lines.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(counts.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
+    return lines.join(starts, "file").select((F.col("start") + F.col("line_no") - 1).alias("pos"), "line")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -118,13 +131,18 @@ def required_file_failures(
     )
 
 
+def _first_part() -> Column:
+    """True once for each recipe or shop: its further parts are not counted."""
+    return F.coalesce(F.col("part"), F.lit(0)) == 0
+
+
 def catalog_counts(data: dict[str, DataFrame]) -> DataFrame:
     """(metric, actual) for every range check; one scan per dataset."""
     kind = strip_whitespace(F.coalesce(F.col("type"), F.lit("")), SEPARATORS)
     category = normalize_category(F.col("category"))
     return (
         count_metrics(data["items"], {"items_range": None})
-        .unionByName(count_metrics(data["recipes"], {"recipes_range": None}))
+        .unionByName(count_metrics(data["recipes"], {"recipes_range": _first_part()}))
         .unionByName(
             count_metrics(
                 data["shimmer"],
@@ -135,7 +153,7 @@ def catalog_counts(data: dict[str, DataFrame]) -> DataFrame:
                 },
             )
         )
-        .unionByName(count_metrics(data["npc_shops"], {"npc_shops_min": None}))
+        .unionByName(count_metrics(data["npc_shops"], {"npc_shops_min": _first_part()}))
         .unionByName(
             count_metrics(
                 data["sprite_manifest"],
@@ -194,8 +212,17 @@ def foreign_key_failures(data: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def manifest_rules() -> list[Rule]:
-    """Rules of one manifest row. A blank path skips the prefix rule, as does an unknown category."""
+def manifest_rules(raw: bool = False) -> list[Rule]:
+    """Rules of one manifest row. A blank path skips the prefix rule, as does an unknown category.
+
+    The messages are fixed values. With ``raw`` a value of the wrong type is shown as it stands in ``record``.
+    """
+
+    def held(name: str) -> Column:
+        alias = dict(JSON_FIELDS["sprite_manifest"])[name]
+        given = F.to_json(F.try_variant_get("record", f"$.{alias}", "variant")) if raw else F.lit(None)
+        return F.coalesce(F.col(name).cast("string"), given.cast("string"))
+
     category = normalize_category(F.col("category"))
     path = F.col("sprite_file")
     blank = is_blank(path)
@@ -209,11 +236,11 @@ def manifest_rules() -> list[Rule]:
         F.lit("spriteFile must start with '"), prefix, F.lit("' for category '"), category, F.lit("'")
     )
     return [
-        Rule("id", "id must be a non-negative integer", not_positive("id", 0), F.col("id")),
-        Rule("category", "category must be 'item' or 'npc'", ~known, F.col("category")),
-        Rule("width", "width must be a positive integer", not_positive("width", 1), F.col("width")),
-        Rule("height", "height must be a positive integer", not_positive("height", 1), F.col("height")),
-        Rule("spriteFile", "spriteFile must be a non-empty string", blank, path),
+        Rule("id", "id must be a non-negative integer", not_positive("id", 0), held("id")),
+        Rule("category", "category must be 'item' or 'npc'", ~known, held("category")),
+        Rule("width", "width must be a positive integer", not_positive("width", 1), held("width")),
+        Rule("height", "height must be a positive integer", not_positive("height", 1), held("height")),
+        Rule("spriteFile", "spriteFile must be a non-empty string", blank, held("sprite_file")),
         Rule(
             "spriteFile",
             wrong_place,
@@ -225,7 +252,7 @@ def manifest_rules() -> list[Rule]:
 
 def manifest_failures(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     """Broken row rules, and rows whose picture is not in the listing."""
-    broken = row_rules(manifest, F.col("pos"), manifest_rules())
+    broken = row_rules(manifest, F.col("pos"), manifest_rules(raw="record" in manifest.columns))
     named = manifest.filter(~is_blank(F.col("sprite_file")))
     clean = F.regexp_replace(normalize_path(F.col("sprite_file")), "/+", "/")
     absent = missing_files(named, clean, listing).select(
@@ -241,14 +268,23 @@ def catalog_spot_checks(data: dict[str, DataFrame]) -> DataFrame:
     """Three known facts with the first record that shows each."""
     result, required = SPOT_RECIPE
     ingredient_ids = F.array_sort(F.array_distinct(F.array_compact(F.transform("ingredients", lambda x: x["item_id"]))))
-    recipe = first_match(
-        data["recipes"],
-        (F.col("result_item_id") == result) & contains_all(ingredient_ids, required),
-        ["pos"],
-    ).select(
-        F.col("recipe_index").alias("RecipeIndex"),
-        F.col("result_item_id").alias("ResultItemId"),
-        ingredient_ids.alias("IngredientItemIds"),
+    # A recipe may stand in several parts; a recipe without an index is its own row.
+    wanted = F.array(*[F.lit(r) for r in required])
+    owner = F.struct("recipe_index", F.when(F.col("recipe_index").isNull(), F.col("pos")).alias("own"))
+    whole = (
+        data["recipes"]
+        .filter(F.col("result_item_id") == result)
+        .groupBy(owner.alias("owner"))
+        .agg(
+            F.min("pos").alias("pos"),
+            F.min_by(ingredient_ids, "pos").alias("ids"),
+            F.array_distinct(F.flatten(F.collect_set(F.array_intersect(ingredient_ids, wanted)))).alias("hits"),
+        )
+    )
+    recipe = first_match(whole, contains_all(F.col("hits"), required), ["pos"]).select(
+        F.col("owner.recipe_index").alias("RecipeIndex"),
+        F.lit(result).alias("ResultItemId"),
+        F.col("ids").alias("IngredientItemIds"),
     )
     npc, item = SPOT_OFFER
     offered = F.filter("items", lambda x: x["item_id"] == item)

@@ -48,8 +48,10 @@ def struct(**fields: DataType) -> StructType:
 _SLOT = struct(type=INT, name=TEXT, stack=INT)
 
 ITEMS = struct(id=INT, name=TEXT, internal_name=TEXT, value=INT, sell_price=INT)
+# ``part`` numbers the rows of one recipe or shop whose list is too long for one row; most have part 0 only.
 RECIPES = struct(
     recipe_index=INT,
+    part=LONG,
     result_item_id=INT,
     result_item_name=TEXT,
     result_amount=INT,
@@ -69,6 +71,7 @@ SHOPS = struct(
     npc_id=INT,
     npc_name=TEXT,
     shop_name=TEXT,
+    part=LONG,
     items=ArrayType(struct(item_id=INT, name=TEXT, buy_price=INT, conditions=ArrayType(TEXT))),
 )
 MANIFEST = struct(
@@ -86,24 +89,8 @@ RAW_RECIPES = struct(
     custom_results=ArrayType(_SLOT),
 )
 TILE_NAMES = struct(tile_id=INT, name=TEXT)
-TRANSFORM_MAP = struct(item_id=INT, to_item_id=INT)
-EQUIVALENCE_MAP = struct(item_id=INT, counts_as_id=INT)
-DECRAFT_MAP = struct(item_id=INT, recipe_index=INT)
-SHOP_MAP = struct(shop_id=INT, npc_id=INT, shop_name=TEXT, sampled=BOOL, has_second_source=BOOL)
-SHOP_SLOTS = struct(
-    shop_id=INT,
-    slot=INT,
-    item_id=INT,
-    is_air=BOOL,
-    name=TEXT,
-    buy_price=INT,
-    special_currency=INT,
-)
-SHOP_ROLLS = struct(shop_id=INT, sample=INT, slot=INT, item_id=TEXT)
-NPC_NAMES = struct(npc_id=INT, name=TEXT)
-SOURCE_LINES = struct(file=TEXT, line_no=LONG, line=TEXT)
-
 RUN_LOG = struct(
+    run_id=TEXT,
     phase_name=TEXT,
     phase_key=TEXT,
     row_count=LONG,
@@ -125,6 +112,7 @@ JSON_FIELDS: dict[str, tuple[tuple[str, str], ...]] = {
     ),
     "recipes": (
         ("recipe_index", "RecipeIndex"),
+        ("part", "Part"),
         ("result_item_id", "ResultItemId"),
         ("result_item_name", "ResultItemName"),
         ("result_amount", "ResultAmount"),
@@ -144,6 +132,7 @@ JSON_FIELDS: dict[str, tuple[tuple[str, str], ...]] = {
         ("npc_id", "NpcId"),
         ("npc_name", "NpcName"),
         ("shop_name", "ShopName"),
+        ("part", "Part"),
         ("items", "Items"),
     ),
     "sprite_manifest": (

@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.schemas import JSON_FIELDS, NESTED_JSON_FIELDS
-from stockloom.sinks.text import write_text_file
-
-EXPORT_ROW_LIMIT = 100_000
 
 
 def _public_column(name: str, alias: str) -> Column:
@@ -21,24 +18,14 @@ def _public_column(name: str, alias: str) -> Column:
 
 
 def public_names(df: DataFrame, dataset: str) -> DataFrame:
-    """Rename to the dataset's public JSON field names; other columns are left out."""
-    return df.select(*[_public_column(name, alias) for name, alias in JSON_FIELDS[dataset]])
+    """Rename to the dataset's public JSON field names; other columns are left out.
+
+    A dataset without ``part`` has one row for each recipe or shop, so its part is 0.
+    """
+    whole = df if "part" in df.columns else df.withColumn("part", F.lit(0).cast("bigint"))
+    return whole.select(*[_public_column(name, alias) for name, alias in JSON_FIELDS[dataset]])
 
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines, one file per partition. Null fields are written as nulls."""
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def export_json_array(df: DataFrame, path: str, row_limit: int = EXPORT_ROW_LIMIT) -> int:
-    """One file with one JSON array, for exchange; returns the number of rows.
-
-    The array form must pass through one writer, so a dataset with more than ``row_limit`` rows is
-    refused (nothing is written, nothing is cut off) and belongs in ``write_json``.
-    """
-    text = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("text")
-    rows = df.select(text).limit(row_limit + 1).collect()
-    if len(rows) > row_limit:
-        raise ValueError(f"more than {row_limit} rows: use write_json for {path}")
-    write_text_file(df.sparkSession, path, "[" + ",\n".join(r["text"] for r in rows) + "]")
-    return len(rows)

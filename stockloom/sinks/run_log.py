@@ -27,6 +27,7 @@ def parse_run_log(raw: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit("")).alias(name)
 
     return raw.select(
+        text("run_id"),
         text("phase_name"),
         text("phase_key"),
         lenient_int(F.col("row_count")).cast("bigint").alias("row_count"),

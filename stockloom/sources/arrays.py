@@ -82,9 +82,12 @@ def _struct(value: Column, dtype: StructType, names: dict[str, dict[str, str]],
 
 
 def as_typed(
-    records: DataFrame, schema: StructType, names: dict[str, dict[str, str]] | None = None
+    records: DataFrame,
+    schema: StructType,
+    names: dict[str, dict[str, str]] | None = None,
+    keep_record: bool = False,
 ) -> DataFrame:
-    """(pos, is_object, typed columns) from variant records.
+    """(pos, is_object, typed columns[, record]) from variant records.
 
     ``names`` maps column -> JSON field, per nested column and under ``""`` for the top level; a
     missing entry means equal names. A field of another type becomes null, a list element of another
@@ -95,4 +98,5 @@ def as_typed(
         "pos",
         "is_object",
         *[_member(record, f.dataType, names or {}, "", f.name).alias(f.name) for f in schema.fields],
+        *(["record"] if keep_record else []),
     )

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stockloom.operators.scans import materialize
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no from 1, line). CR, LF and CRLF end a line; a final one adds no empty line.
 
     Big files are read in splits. Rows keep their order inside a split; one count per split, added
-    up over the splits of a file, gives each split the number of its first line. Lines themselves
-    are not shuffled.
+    up over the splits of a file, gives each split the number of its first line. These numbers, one row
+    per split, are stored, so that Spark sees their size and need not shuffle the lines to meet them.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -25,11 +27,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("split_start").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    offsets = splits.select(
-        "file",
-        "split_start",
-        "first_row",
-        F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
+    offsets = materialize(
+        splits.select(
+            "file",
+            "split_start",
+            "first_row",
+            F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
+        )
     )
     return raw.join(offsets, ["file", "split_start"]).select(
         "file",

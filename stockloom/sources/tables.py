@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -13,6 +14,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder, if it is there."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -20,10 +27,16 @@ def empty_table(spark: SparkSession, schema: StructType) -> DataFrame:
 def read_table(
     spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options: str
 ) -> tuple[DataFrame, str | None]:
-    """(table, warning). A missing path gives an empty table and a warning, never an error.
+    """(table, warning). A missing or unreadable path gives an empty table and a warning, never an error.
 
-    For JSON, badly typed fields become null instead of failing the read.
+    Readable means that the files open in the given format: their first rows are read. For JSON, badly
+    typed fields become null instead of failing the read.
     """
     if not path_exists(spark, path):
         return empty_table(spark, schema), f"missing table: {path}"
-    return spark.read.format(fmt).schema(schema).options(**options).load(path), None
+    try:
+        table = spark.read.format(fmt).schema(schema).options(**options).load(path)
+        table.limit(1).collect()
+    except PySparkException as error:
+        return empty_table(spark, schema), f"unreadable table: {path}: {type(error).__name__}"
+    return table, None

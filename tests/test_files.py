@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stockloom import schemas
 from stockloom.sinks import (
     append_run_log,
-    export_json_array,
     parse_run_log,
     public_names,
     read_run_log,
@@ -116,31 +115,27 @@ def test_json_output(spark, folder):
         " array(named_struct('item_id',8,'name','Torch','buy_price',50,'conditions',array('a'))) items"
     )
     public = public_names(shops, "npc_shops")
-    wanted = {"NpcId": 17, "NpcName": None, "ShopName": "Shop 1", "Items": [{"ItemId": 8, "Name": "Torch", "BuyPrice": 50, "Conditions": ["a"]}]}
+    wanted = {"NpcId": 17, "NpcName": None, "ShopName": "Shop 1", "Part": 0, "Items": [{"ItemId": 8, "Name": "Torch", "BuyPrice": 50, "Conditions": ["a"]}]}
     write_json(public, f"{folder}/lines")
     text = "".join(open(p).read() for p in glob.glob(f"{folder}/lines/*.json"))
     assert json.loads(text) == wanted
-    assert export_json_array(public, f"{folder}/a.json") == 1
-    assert json.load(open(f"{folder}/a.json")) == [wanted]
-    export_json_array(public.limit(0), f"{folder}/b.json")
-    assert json.load(open(f"{folder}/b.json")) == []
-    with pytest.raises(ValueError):
-        export_json_array(spark.range(5), f"{folder}/c.json", row_limit=4)
-    assert not os.path.exists(f"{folder}/c.json")
 
 
 def test_placeholders_and_run_log(spark, folder, rows):
     made = write_placeholder(spark, f"{folder}/x.json", f"{folder}/x.csv")
     assert len(made) == 2 and open(f"{folder}/x.json").read() == "[]" and open(f"{folder}/x.csv").read() == ""
-    put(folder, "y.json", "[1]")
-    assert write_placeholder(spark, f"{folder}/y.json", f"{folder}/x.csv") == []
+    # What is there is replaced, also where it is a folder.
+    spark.range(3).write.json(f"{folder}/y.json")
+    spark.range(3).write.parquet(f"{folder}/y.parquet")
+    write_placeholder(spark, f"{folder}/y.json", f"{folder}/x.csv", f"{folder}/y.parquet")
+    assert open(f"{folder}/y.json").read() == "[]" and not os.path.exists(f"{folder}/y.parquet")
     assert rows(read_run_log(spark, f"{folder}/log")) == []
-    row = ("items", "items", 3, True, "j", "c", 12, ["e"])
+    row = ("r1", "items", "items", 3, True, "j", "c", 12, ["e"])
     for _ in range(2):
         append_run_log(spark.createDataFrame([row], schemas.RUN_LOG), f"{folder}/log")
-    assert rows(read_run_log(spark, f"{folder}/log")) == [(*row[:7], ["e"])] * 2
+    assert rows(read_run_log(spark, f"{folder}/log")) == [(*row[:8], ["e"])] * 2
     raw = spark.createDataFrame(
-        [(None, "k", "x", "yes", None, "c", "9", ["", "e"])],
-        "phase_name string, phase_key string, row_count string, succeeded string, json_path string, csv_path string, elapsed_ms string, errors array<string>",
+        [("r", None, "k", "x", "yes", None, "c", "9", ["", "e"])],
+        "run_id string, phase_name string, phase_key string, row_count string, succeeded string, json_path string, csv_path string, elapsed_ms string, errors array<string>",
     )
-    assert rows(parse_run_log(raw)) == [("", "k", 0, False, "", "c", 9, ["e"])]
+    assert rows(parse_run_log(raw)) == [("r", "", "k", 0, False, "", "c", 9, ["e"])]

@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from stockloom import schemas
 from stockloom.operators.checks import RangeCheck, row_rules
 from stockloom.plans.catalog import Phase, catalog_phases, item_catalog, recipe_catalog, run_catalog, run_phase
 from stockloom.plans.report import build_report, markdown_report, phase_summary, phase_totals, run_and_validate
-from stockloom.plans.validation import manifest_rules, validate_catalog
+from stockloom.plans.validation import load_dataset, manifest_failures, manifest_rules, validate_catalog
 from stockloom.sinks import read_run_log
-from stockloom.sources import read_json_array
+from stockloom.sources import read_table
 
 
 def test_items(spark, rows):
@@ -57,14 +58,14 @@ def builders(broken=False):
 
     def recipes(spark):
         other = 999 if broken else 23
-        rows = [(3, 8, "Torch", 3, [(other, "Gel", 1), (9, "Wood", 1)], [], ["AnyWood"])]
+        rows = [(3, 0, 8, "Torch", 3, [(other, "Gel", 1), (9, "Wood", 1)], [], ["AnyWood"])]
         return spark.createDataFrame(rows, schemas.RECIPES)
 
     def edges(spark):
         return spark.createDataFrame([(8, "Torch", 5353, "Glow", 1, "item_transform"), (8, "Torch", 9, "Wood", 1, "deconstruct")], schemas.EDGES)
 
     def shops(spark):
-        return spark.createDataFrame([(17, "Merchant", "Shop 1", [(8, "Torch", 50, [])])], schemas.SHOPS)
+        return spark.createDataFrame([(17, "Merchant", "Shop 1", 0, [(8, "Torch", 50, [])])], schemas.SHOPS)
 
     def sprites(spark):
         rows = [(8, "item", "Torch", "sprites/items/Item_8.png", 2, 2), (1, "npc", "NPC_1", "sprites/npcs/NPC_1.png", 2, 2)]
@@ -90,12 +91,11 @@ def pictures(folder):
             handle.write(b"png")
 
 
-@pytest.mark.parametrize("json_array", [True, False])
-def test_run_and_validate(spark, folder, json_array):
+def test_run_and_validate(spark, folder):
     pictures(folder)
     phases = catalog_phases(builders())
     assert [p.key for p in phases] == ["items", "shimmer", "recipes", "npc_shops", "sprites"]
-    assert run_catalog(spark, phases, folder, json_array)
+    assert run_catalog(spark, phases, folder, "first")
     report = build_report(spark, folder, validate_catalog(spark, folder, SMALL), f"{folder}/t")
     assert report["status"] == "PASS", report
     assert report["counts"]["shimmerTypeBreakdown"] == {"item_transform": 1, "deconstruct": 1}
@@ -105,26 +105,32 @@ def test_run_and_validate(spark, folder, json_array):
     assert report["checks"]["spot_checks"]["details"][1]["evidence"] == {"NpcId": 17, "ShopName": "Shop 1", "ItemId": 8, "BuyPrice": 50}
     text = markdown_report(report)
     assert text.startswith("# Validation Report\n\n- Status: PASS\n") and "items_range (expected `1-3`): WARN" in text
-    if json_array:
-        assert read_json_array(spark, f"{folder}/items.json")[0].count() == 4
+    assert not run_catalog(spark, [Phase("items", "items", lambda s: s.createDataFrame([], schemas.ITEMS))], folder, "second")
     log = read_run_log(spark, f"{folder}/run_log")
-    assert tuple(phase_totals(log).head()) == (5, 0)
+    # Totals are those of a run, also in a log of several runs.
+    assert sorted(map(tuple, phase_totals(log).collect())) == [("first", 5, 0), ("second", 0, 1)]
+    log = log.filter("run_id = 'first'")
     assert {r["outcome"] for r in phase_summary(log).collect()} == {"PASS"}
 
 
 def test_failures_are_reported(spark, folder):
     pictures(folder)
-    assert run_catalog(spark, catalog_phases(builders(broken=True)), folder, json_array=True)
-    os.remove(f"{folder}/npc_shops.json")
+    assert run_catalog(spark, catalog_phases(builders(broken=True)), folder)
+    shutil.rmtree(f"{folder}/npc_shops.json")
     report = build_report(spark, folder, validate_catalog(spark, folder, SMALL), f"{folder}/t")
     checks = report["checks"]
     assert report["status"] == "FAIL" and not any(c["pass"] for c in checks.values())
     assert [f["error"] for f in checks["required_files"]["failingRecords"]] == ["missing", "missing file: npc_shops.json"]
     assert [f["check"] for f in checks["count_ranges"]["failingRecords"]] == ["npc_shops_min"]
-    assert [(f["dataset"], f["field"], f["ref_id"], f["element_index"]) for f in checks["foreign_key_integrity"]["failingRecords"]] == [
+    foreign, manifest = (checks[c]["failingRecords"] for c in ("foreign_key_integrity", "sprite_manifest_integrity"))
+    assert (foreign["count"], manifest["count"]) == (2, 3)
+    found = spark.read.json(foreign["path"]).collect()
+    assert sorted((f["dataset"], f["field"], f["ref_id"], f["element_index"]) for f in found) == [
         ("recipes", "Ingredients[].ItemId", 999, 0), ("sprite_manifest", "id", 777, None),
     ]
-    assert [(f["record_id"], f["field"], f["error"][:12]) for f in checks["sprite_manifest_integrity"]["failingRecords"]] == [
+    # The manifest is in its order; a category in other letters comes last.
+    found = spark.read.json(manifest["path"]).collect()
+    assert sorted((f["record_id"], f["field"], f["error"][:12]) for f in found) == [
         (0, "spriteFile", "spriteFile m"), (3, "spriteFile", "referenced s"), (3, "width", "width must b"),
     ]
     assert {f["check"] for f in checks["spot_checks"]["failingRecords"]} == {"torch_recipe_exists", "merchant_sells_torch"}
@@ -152,6 +158,53 @@ def test_phases_fail_alone(spark, folder):
 def test_reports_are_written(spark, folder):
     pictures(folder)
     # The default thresholds fail on so few rows; both reports are written all the same.
-    assert not run_and_validate(spark, catalog_phases(builders()), folder, f"{folder}/r.json", f"{folder}/r.md", json_array=True)
+    assert not run_and_validate(spark, catalog_phases(builders()), folder, f"{folder}/r.json", f"{folder}/r.md")
     assert json.load(open(f"{folder}/r.json"))["status"] == "FAIL"
     assert open(f"{folder}/r.md").read().startswith("# Validation Report")
+
+
+def test_a_failed_run_leaves_nothing_of_an_earlier_one(spark, folder):
+    def broken(spark):
+        raise RuntimeError("no source")
+
+    assert run_phase(spark, Phase("items", "items", builders()["items"]), folder)["succeeded"]
+    assert not run_phase(spark, Phase("items", "items", broken), folder)["succeeded"]
+    assert json.load(open(f"{folder}/items.json")) == [] and os.path.getsize(f"{folder}/items.csv") == 0
+    assert not os.path.exists(f"{folder}/items.parquet")
+    assert read_table(spark, f"{folder}/items.parquet", schemas.ITEMS)[0].count() == 0
+    assert run_phase(spark, Phase("items", "items", builders()["items"]), folder)["succeeded"]
+    assert spark.read.json(f"{folder}/items.json").count() == 4
+
+
+def test_corrupt_lines_are_a_load_error(spark, folder):
+    os.makedirs(f"{folder}/items.json")
+    for name, text in (("part-00001", '{"Id":1,"Name":"b"}\n{"Id":2}\n' * 50), ("part-00000", '{"Id":7}\n{"Id":3\n')):
+        with open(f"{folder}/items.json/{name}", "w") as handle:
+            handle.write(text)
+    records, error = load_dataset(spark, folder, "items", schemas.ITEMS)
+    assert error == "invalid json in items.json: 1 lines"
+    assert records.count() == 101
+    # Positions follow the names of the files, not the order in which Spark reads them.
+    assert [(r["pos"], r["id"]) for r in records.orderBy("pos").limit(3).collect()] == [(0, 7), (2, 1), (3, 2)]
+    report = build_report(spark, folder, validate_catalog(spark, folder, SMALL), f"{folder}/t")
+    assert "invalid json in items.json: 1 lines" in [f["error"] for f in report["checks"]["required_files"]["failingRecords"]]
+
+
+def test_values_of_the_wrong_type_are_shown(spark, folder):
+    with open(f"{folder}/sprite_manifest.json", "w") as handle:
+        handle.write('[{"id":1,"category":"item","internalName":"x","spriteFile":"sprites/items/a.png","width":"12","height":2.5}]')
+    records, _ = load_dataset(spark, folder, "sprite_manifest", schemas.MANIFEST)
+    found = manifest_failures(records, spark.createDataFrame([("sprites/items/a.png",)], "path string")).collect()
+    assert sorted((f["field"], f["value"]) for f in found) == [("height", "2.5"), ("width", '"12"')]
+
+
+def test_a_recipe_in_parts_is_one_recipe(spark, folder):
+    def recipes(spark):
+        rows = [(3, p, 8, "Torch", 3, [(i, "x", 1)], [], []) for p, i in enumerate((9, 23))]
+        return spark.createDataFrame(rows, schemas.RECIPES)
+
+    assert run_catalog(spark, catalog_phases(builders() | {"recipes": recipes}), folder)
+    result = validate_catalog(spark, folder, SMALL)
+    assert {r["metric"]: r["actual"] for r in result.counts.collect()}["recipes_range"] == 1
+    spot = {r["check"]: r for r in result.spots.collect()}["torch_recipe_exists"]
+    assert spot["pass"] and json.loads(spot["evidence"])["RecipeIndex"] == 3

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from stockloom.llm.arrow import WordTable, keep_rows, split_words, with_columns
 
 #: Labelled documents that are sampled for the fit, at most, for each label value.
-SAMPLE_PER_LABEL = 1_500
+SAMPLE_PER_LABEL = 1_200
 #: Hashed terms: shapes come first, then terms of adjacent repeats, then words.
 SHAPE_TERMS, TERMS = 256, 4_096
 #: Shares of words equal to the word before, each with a term that counts all words of a text above it.
@@ -68,7 +69,7 @@ def term_counts(texts: list[str | None], table: WordTable) -> np.ndarray:
     """Counts of the hashed terms, one row per text."""
     words = [split_words(t) for t in texts]
     lengths = np.array([len(w) for w in words])
-    ids = np.fromiter((table[w] for ws in words for w in ws), np.int64, int(lengths.sum()))
+    ids = np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.int64, int(lengths.sum()))
     described = table.columns()
     owner = np.repeat(np.arange(len(texts)), lengths)
     repeats = np.zeros(len(ids), bool)
@@ -88,8 +89,8 @@ def _sparse_terms():
 
     def block(texts):
         counts = term_counts(texts, table)
-        found = [np.nonzero(row)[0] for row in counts]
-        return [f.tolist() for f in found], [row[f].tolist() for row, f in zip(counts, found)]
+        found = [np.nonzero(row)[0].astype(np.int32) for row in counts]
+        return [f.tobytes() for f in found], [row[f].tobytes() for row, f in zip(counts, found)]
 
     return block
 
@@ -123,26 +124,26 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
         ["text"],
         _sparse_terms,
         [
-            ("terms", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())),
-            ("counts", T.ArrayType(T.FloatType()), pa.list_(pa.float32())),
+            ("terms", T.BinaryType(), pa.binary()),
+            ("counts", T.BinaryType(), pa.binary()),
         ],
         keep=["doc_id", "quality"],
     )
     rows = sorted(counted.collect(), key=lambda r: r["doc_id"])
     counts = np.zeros((len(rows), TERMS), np.float32)
     for at, row in enumerate(rows):
-        counts[at, row["terms"]] = row["counts"]
+        counts[at, np.frombuffer(row["terms"], np.int32)] = np.frombuffer(row["counts"], np.float32)
     return _decompose(counts, np.array([r["quality"] for r in rows]), n_of)
 
 
 def _decompose(counts: np.ndarray, quality: np.ndarray, n_of: dict[int, int]) -> Model:
-    weighted = np.log1p(counts)
     seen = (counts > 0).sum(0)
+    weighted = np.log1p(counts, out=counts)  # in place, as the driver may be small
     idf = (np.log((len(counts) + 1) / (seen + 1)) + 0.1).astype(np.float32)
     weighted *= idf
     weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh((weighted @ weighted.T).astype(np.float64))
-    rank = min(RANK, int((values > 1e-6 * max(values[-1], 1e-12)).sum()))
+    values, left = np.linalg.eigh(weighted @ weighted.T)
+    rank = min(RANK, int((values > 1e-5 * max(values[-1], 1e-12)).sum()))
     values, left = values[len(values) - rank :], left[:, len(values) - rank :]
     right = (weighted.T @ (left / np.sqrt(values)).astype(np.float32)).astype(np.float32)
     # Each class votes with its real size, although the sample may hold them in other proportions.

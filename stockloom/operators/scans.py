@@ -135,12 +135,13 @@ def materialize(df: DataFrame) -> DataFrame:
     setting gets a folder of its own.
     """
     spark: SparkSession = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, without which a session that is not local is refused."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is not None:

@@ -36,9 +36,8 @@ from stockloom.schemas import (
     SHOPS,
 )
 from stockloom.sources.arrays import as_typed, read_json_array
-from stockloom.sources.files import list_files
+from stockloom.sources.files import existing, list_files
 from stockloom.sources.lines import read_lines
-from stockloom.sources.tables import path_exists
 
 # The datasets, the files a complete run leaves, and the expected counts.
 DATASETS: tuple[tuple[str, StructType], ...] = (
@@ -121,14 +120,10 @@ def required_file_failures(
 
     A missing JSON file gives two failures: it is missing, and it could not be loaded.
     """
-    root = folder.rstrip("/")
-    found = [(name, path_exists(spark, f"{root}/{name}")) for name in REQUIRED_FILES]
-    failures = [(name, "missing") for name, exists in found if not exists]
+    required = existing(spark, folder, REQUIRED_FILES)
+    failures = [(r["file"], "missing") for r in required.collect() if not r["exists"]]
     failures += [(e.split(":", 1)[0], e) for e in load_errors.values() if e is not None]
-    return (
-        spark.createDataFrame(found, "file string, exists boolean"),
-        spark.createDataFrame(failures, "file string, error string"),
-    )
+    return required, spark.createDataFrame(failures, "file string, error string")
 
 
 def _first_part() -> Column:

@@ -25,7 +25,7 @@ from stockloom.operators.checks import (
 from stockloom.operators.dedupe import first_match
 from stockloom.plans.validation import manifest_rules
 from stockloom.queries.registry import query, table
-from stockloom.sources.files import list_files, required_files
+from stockloom.sources.files import existing
 
 _FK_FLAT = """
     SELECT 'orders' AS dataset, CAST(o_orderkey AS VARCHAR) AS record_id, 'o_orderkey' AS field,
@@ -253,9 +253,8 @@ def _row_rules(spark: SparkSession, folder: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT '{t}.parquet', true, count(*) FROM {t}" for t in TABLES),
 )
 def _required_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Expected tables against the folder's listing, with the rows of each."""
-    expected = spark.createDataFrame([(f"{t}.parquet",) for t in (*TABLES, "archive")], "file string")
-    present = required_files(expected, list_files(spark, folder, "*.parquet"))
+    """Expected tables, single files or folders of part files, with the rows of each."""
+    present = existing(spark, folder, [f"{t}.parquet" for t in (*TABLES, "archive")])
     counts = row_counts({f"{t}.parquet": table(spark, folder, t) for t in TABLES})
     return present.join(counts, present["file"] == counts["metric"], "left").select(
         "file", "exists", F.col("actual").alias("n_rows")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.functions.paths import (
@@ -34,14 +34,30 @@ def _binary_files(spark: SparkSession, folder: str, glob: str, recursive: bool)
 def list_files(
     spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False
 ) -> DataFrame:
-    """(path relative to ``folder``, length). Contents are pruned from the scan.
+    """(path relative to ``folder``, length), files of zero bytes included. Contents are pruned from the scan.
 
-    The scan skips files of zero bytes, so an empty file counts as absent.
+    A scan skips empty files, so the names come from the index that Spark builds for it, and only the lengths
+    from the scan. Like any scan, this holds the names of the folder's files on the driver.
     """
     root = folder.rstrip("/") + "/"
-    position = F.instr("path", root)
-    relative = F.substring("path", position + len(root), F.length("path"))
-    return _binary_files(spark, folder, glob, recursive).select(relative.alias("path"), "length")
+
+    def relative(path: Column) -> Column:
+        return F.substring(path, F.instr(path, root) + len(root), F.length(path))
+
+    files = _binary_files(spark, folder, glob, recursive)
+    names = spark.createDataFrame([(name,) for name in files.inputFiles()], "value string")
+    # The index gives names as URLs, in which a plus sign stands for itself.
+    url = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
+    listed = names.select(relative(url).alias("path"))
+    scanned = files.select(relative(F.col("path")).alias("path"), "length")
+    return listed.join(scanned, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def existing(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
+    """(file, exists) of expected names in a folder; a file, a folder of part files and an empty file all exist."""
+    root = folder.rstrip("/")
+    found = [(name, path_exists(spark, f"{root}/{name}")) for name in names]
+    return spark.createDataFrame(found, "file string, exists boolean")
 
 
 def list_assets(

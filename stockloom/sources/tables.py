@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -37,6 +38,6 @@ def read_table(
     try:
         table = spark.read.format(fmt).schema(schema).options(**options).load(path)
         table.limit(1).collect()
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
         return empty_table(spark, schema), f"unreadable table: {path}: {type(error).__name__}"
     return table, None

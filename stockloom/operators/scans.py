@@ -127,15 +127,49 @@ def _with_carry(spec: RunningSum | RunningLast) -> Column:
     return F.coalesce(local, carry)
 
 
+def with_position(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Add the place (from 0) of each row of a sorted frame. Rows are written once and not moved again.
+
+    Rows are numbered inside the partitions of the sort; one count per partition gives the place of its first.
+    """
+    stored = materialize(ordered.withColumn("_row", F.monotonically_increasing_id()))
+    # The identifier holds the partition above its lower 33 bits.
+    part, row = F.shiftright("_row", 33), F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"))
+    starts = materialize(counts.select("_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_start")))
+    return (
+        stored.withColumn("_part", part)
+        .join(starts, "_part")
+        .select(*ordered.columns, (F.col("_start") + row).alias(name))
+    )
+
+
+_written: list[str] = []
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` has written in this process, and return their number.
+
+    For the end of a job: frames that read them no longer work afterwards.
+    """
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table into the shared checkpoint folder and read it back.
 
     Cuts lineage so that later reads do not recompute, and survives the loss of executors. The folder
     is the one the session names in ``spark.checkpoint.dir``; only a local session without that
-    setting gets a folder of its own.
+    setting gets a folder of its own. :func:`release_tables` deletes what was written.
     """
     spark: SparkSession = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

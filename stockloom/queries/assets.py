@@ -13,6 +13,7 @@ from stockloom.operators.assets import (
 )
 from stockloom.operators.checks import missing_files, progress_counters
 from stockloom.queries.catalog import SQL_INTERNAL, internal_name
+from stockloom.operators.scans import materialize, with_position
 from stockloom.queries.registry import query, table
 from stockloom.sources.files import assets_of
 
@@ -123,7 +124,19 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
     FROM named WHERE error IS NULL""",
 )
 def _asset_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest_order(manifest(spark, folder))
+    return manifest(spark, folder)
+
+
+@query(
+    "manifest_order",
+    f"""WITH {SQL_ASSETS}
+    SELECT id, category, sprite_file, row_number() OVER (ORDER BY category <> 'item', id, sprite_file) - 1 AS position
+    FROM named WHERE error IS NULL""",
+)
+def _manifest_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the manifest with their place; the sort reads a stored table, so headers are parsed once."""
+    stored = materialize(manifest(spark, folder).select("id", "category", "sprite_file", "category_rank"))
+    return with_position(manifest_order(stored)).drop("category_rank")
 
 
 @query(

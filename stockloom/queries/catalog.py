@@ -574,14 +574,14 @@ def _lenient_parse(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "valid_references",
     """
-    SELECT CAST(p_partkey - 1000 AS INT) AS id, p_partkey - 1000 >= 1000 AND p_partkey - 1000 <= 1500 AS plausible,
+    SELECT CAST(p_partkey * 20 - 1000 AS INT) AS id, p_partkey * 20 - 1000 BETWEEN 1000 AND 1500 AS plausible,
       CASE WHEN p_type = 'PROMO' THEN 0 ELSE 1 END AS rank
-    FROM part WHERE p_partkey - 1000 > 0
+    FROM part WHERE p_partkey * 20 - 1000 > 0
     """,
 )
 def _valid_references(spark: SparkSession, folder: str) -> DataFrame:
     shifted = table(spark, folder, "part").select(
-        (F.col("p_partkey") - 1000).cast("int").alias("id"),
+        (F.col("p_partkey") * 20 - 1000).cast("int").alias("id"),
         F.when(F.col("p_type") == "PROMO", "item").otherwise("npc").alias("category"),
     )
     return shifted.filter(is_valid_reference(F.col("id"))).select(

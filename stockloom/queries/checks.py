@@ -23,6 +23,7 @@ from stockloom.operators.checks import (
     union_failures,
 )
 from stockloom.operators.dedupe import first_match
+from stockloom.operators.nesting import nest_children
 from stockloom.plans.validation import manifest_rules
 from stockloom.queries.registry import query, table
 from stockloom.sources.files import existing
@@ -265,12 +266,16 @@ _SQL_SPOTS = """
     WITH words AS (SELECT min(doc_id) AS doc_id FROM documents
       WHERE list_has_all(string_split(text, ' '), ['the', 'and', 'of'])),
     offer AS (SELECT min((l_orderkey, l_linenumber, l_partkey)) AS r FROM lineitem WHERE l_suppkey = 17 AND l_quantity = 8),
-    edge AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_custkey = 8 AND o_orderstatus = 'X')
+    edge AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_custkey = 8 AND o_orderstatus = 'X'),
+    open_edge AS (SELECT min(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'O'),
+    nested AS (SELECT min(l_suppkey) AS k FROM lineitem WHERE l_partkey = 8)
     SELECT 'words_present' AS "check", doc_id IS NOT NULL AS pass, '{"doc_id":' || doc_id || '}' AS evidence,
       'the, and, of' AS required FROM words
     UNION ALL SELECT 'offer_present', r IS NOT NULL, '{"l_orderkey":' || r[1] || ',"l_linenumber":' || r[2] || ',"l_partkey":' || r[3] || '}',
       'supplier 17 with quantity 8' FROM offer
-    UNION ALL SELECT 'order_present', k IS NOT NULL, CAST(k AS VARCHAR), 'customer 8 with status X' FROM edge"""
+    UNION ALL SELECT 'order_present', k IS NOT NULL, CAST(k AS VARCHAR), 'customer 8 with status X' FROM edge
+    UNION ALL SELECT 'open_order_present', k IS NOT NULL, '{"o_orderkey":' || k || '}', 'an order with status O' FROM open_edge
+    UNION ALL SELECT 'nested_offer_present', k IS NOT NULL, '{"supplier":' || k || ',"n_items":1}', 'a supplier of part 8' FROM nested"""
 
 
 def spots(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,10 +293,17 @@ def spots(spark: SparkSession, folder: str) -> DataFrame:
     order = first_match(
         orders, (F.col("o_custkey") == 8) & (F.col("o_orderstatus") == "X"), ["o_orderkey"]
     )
+    opened = first_match(orders, F.col("o_orderstatus") == "O", ["o_orderkey"]).select("o_orderkey")
+    offers = lines.select(F.col("l_suppkey").alias("supplier"), F.col("l_partkey").alias("item_id")).distinct()
+    shops = nest_children(None, offers, ["supplier"], "item_id", ["item_id"], "items")
+    hits = F.filter("items", lambda x: x["item_id"] == 8)
+    nested = first_match(shops, F.size(hits) > 0, ["supplier"]).select("supplier", F.size(hits).alias("n_items"))
     return (
         spot_check("words_present", first_match(wanted, F.lit(True), ["doc_id"]), "the, and, of")
         .unionByName(spot_check("offer_present", offer, "supplier 17 with quantity 8"))
         .unionByName(spot_check("order_present", order, "customer 8 with status X"))
+        .unionByName(spot_check("open_order_present", opened, "an order with status O"))
+        .unionByName(spot_check("nested_offer_present", nested, "a supplier of part 8"))
     )
 
 
@@ -338,3 +350,18 @@ def _validation_sections(spark: SparkSession, folder: str) -> DataFrame:
 )
 def _validation_status(spark: SparkSession, folder: str) -> DataFrame:
     return overall_status(sections(spark, folder))
+
+
+@query(
+    "validation_status_pass",
+    """SELECT 'PASS' AS status, CAST(2 AS BIGINT) AS n_passed, CAST(0 AS BIGINT) AS n_failed
+      WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey IS NULL) = 0 AND (SELECT count(*) FROM orders) > 0""",
+)
+def _validation_status_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections without failures: every order is an order, and there is one with status O or another."""
+    orders = table(spark, folder, "orders")
+    known = fk_violations(orders, F.col("o_orderkey"), orders, "o_orderkey", "orders", "o_orderkey", F.col("o_orderkey"))
+    enough = count_range(row_counts({"orders": orders}), [RangeCheck("orders", 1)])
+    return overall_status(
+        section_result("known_orders", known).unionByName(section_result("count_ranges", enough.filter(~F.col("pass"))))
+    )

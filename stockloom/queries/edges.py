@@ -15,6 +15,7 @@ from stockloom.operators.edges import (
     transform_edges,
 )
 from stockloom.queries.catalog import LINE_ORDER, SQL_INTERNAL, SQL_LOCALIZED, part_names
+from stockloom.operators.scans import with_position
 from stockloom.queries.registry import query, table
 
 
@@ -158,9 +159,14 @@ def _transform_edges(spark: SparkSession, folder: str) -> DataFrame:
     return all_edges(spark, folder)
 
 
-@query("edge_order", _sql(BOTH))
+@query(
+    "edge_order",
+    f"""SELECT *, row_number() OVER (ORDER BY input_item_id, type, output_item_id, output_amount) - 1 AS position
+    FROM ({_sql(BOTH)})""",
+)
 def _edge_order(spark: SparkSession, folder: str) -> DataFrame:
-    return edge_order(all_edges(spark, folder))
+    """All edges with their place in the order."""
+    return with_position(edge_order(all_edges(spark, folder)))
 
 
 @query(

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stockloom.operators.scans import materialize
+
 FK_COLUMNS = ["dataset", "record_id", "field", "ref_id", "element_index"]
 
 
@@ -29,10 +31,10 @@ def fk_violations(
     """References without a parent; a null reference is a violation.
 
     Rows marked ``exempt`` are not checked. With ``parent_unique`` false the parent ids are reduced
-    first, on the same partitioning the join needs.
+    first and stored, so that the join has a shuffle of its own, which adaptive execution can split.
 
     Only the columns of the result and the key are shuffled. A hot key sits on the probe side of an
-    anti join, which adaptive skew handling can split; the parent side holds each id once.
+    anti join; the parent side holds each id once.
     """
     rows = child if exempt is None else child.filter(~F.coalesce(exempt, F.lit(False)))
     index = F.lit(None) if element_index is None else element_index
@@ -44,7 +46,7 @@ def fk_violations(
         index.cast("int").alias("element_index"),
     )
     ids = valid_ids(parent, pk)
-    ids = ids if parent_unique else ids.distinct()
+    ids = ids if parent_unique else materialize(ids.distinct())
     return probe.join(ids, "ref_id", "left_anti").select(*FK_COLUMNS)
 
 

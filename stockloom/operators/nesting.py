@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stockloom.operators.scans import RunningSum, running
+from stockloom.operators.scans import RunningSum, materialize, running
 
 DEFAULT_PART_WIDTH = 65_536
 # Ids in a block of the numbering.
@@ -83,10 +83,11 @@ def take_while_rows(
     """Rows of each group before its first stop row along ``order``.
 
     The flat form of ``take_while``: the stop position is a partial aggregate and rows are kept by
-    comparison, so a group is never gathered. A null stop test does not stop.
+    comparison, so a group is never gathered. A null stop test does not stop. The stops, one row per
+    group that has one, are stored: Spark sees their size, and their join is not tied to the aggregate.
     """
     position = F.struct(*order)
-    stops = (
+    stops = materialize(
         df.filter(F.coalesce(stop, F.lit(False)))
         .groupBy(*keys)
         .agg(F.min(position).alias("_stop"))

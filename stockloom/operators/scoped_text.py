@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockloom.functions.text import WHITESPACE, is_blank, normalize_condition
-from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, running
+from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, materialize, running
 
 # Markers and patterns of the text format.
 START_MARKER = "public void SetupShop(int type)"
@@ -59,7 +59,8 @@ def condition_text(trimmed: Column, pattern: str = IF_PATTERN) -> Column:
 
 def _parsed_lines(lines: DataFrame, start: str, switch: str, patterns: dict[str, str]) -> DataFrame:
     """Lines from the marker on, parsed row by row."""
-    markers = (
+    # One row per file, stored: Spark sees how small it is, and no line moves to meet it.
+    markers = materialize(
         lines.filter(F.col("line").contains(start))
         .groupBy("file")
         .agg(F.min("line_no").alias("marker_line"))
@@ -156,7 +157,7 @@ def _cut_at_stop(events: DataFrame) -> DataFrame:
     depth_after = F.col("depth") + F.coalesce(F.col("step"), F.lit(0))
     on_marker = F.col("line_no") == F.col("marker_line")
     outside = F.col("ends_line") & (depth_after <= 0)
-    stops = (
+    stops = materialize(
         events.groupBy("file", "marker_line")
         .agg(
             F.bool_or(on_marker & outside).alias("open_marker"),

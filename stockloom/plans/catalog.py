@@ -23,6 +23,7 @@ from stockloom.functions import (
 from stockloom.functions.names import RECIPE_ITEM_LABEL, STATION_LABEL
 from stockloom.operators.edges import EDGE_ORDER
 from stockloom.operators.lookups import lookup_left
+from stockloom.operators.scans import materialize
 from stockloom.schemas import JSON_FIELDS, MANIFEST_CSV_FIELDS, RECIPE_FLAGS, RUN_LOG
 from stockloom.sinks import (
     append_run_log,
@@ -60,15 +61,16 @@ def item_catalog(raw_items: DataFrame, internal_names: DataFrame) -> DataFrame:
 def _station_names(recipes: DataFrame, tiles: str, tile_names: DataFrame) -> DataFrame:
     """(tiles, crafting_stations) for every distinct tile list.
 
-    Few tile lists are distinct, so names are resolved per list and not per recipe.
+    Few tile lists are distinct, so names are resolved per list and not per recipe. The result is stored:
+    Spark sees its size, and recipes with their lists need not move to meet it.
     """
     lists = recipes.select(tiles).filter(F.size(tiles) > 0).distinct()
     exploded = lists.select(tiles, F.posexplode(tiles).alias("pos", "tile_id"))
     named = lookup_left(exploded, tile_names, "tile_id", {"name": "_name"})
     name = resolve_name(F.col("_name"), label=STATION_LABEL, id_col=F.col("tile_id"))
     entries = F.array_sort(F.collect_list(F.struct("pos", name.alias("name"))))
-    return named.groupBy(tiles).agg(
-        F.transform(entries, lambda x: x["name"]).alias("crafting_stations")
+    return materialize(
+        named.groupBy(tiles).agg(F.transform(entries, lambda x: x["name"]).alias("crafting_stations"))
     )
 
 

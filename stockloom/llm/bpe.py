@@ -23,6 +23,7 @@ import os
 import tempfile
 import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from stockloom.llm.arrow import split_words, with_columns
 
 #: Words in the lexicon, at most, and the longest of them in bytes.
-FREQUENT_WORDS, LONGEST_WORD = 300_000, 48
+FREQUENT_WORDS, LONGEST_WORD = 200_000, 48
 #: Words and pieces whose ids a worker remembers between blocks, at most.
 REMEMBERED = 400_000
 #: Pieces of more symbols are merged with a heap.
@@ -213,19 +214,16 @@ class Lexicon:
 
     @staticmethod
     def build(entries: Iterable[tuple[bytes, list[int]]]) -> Lexicon:
-        """Compile words with their ids; words are taken in byte order and equal suffixes are shared at once."""
-        ordered = sorted(dict(entries).items())
-        keys: list[int] = []
-        targets: list[int] = []
-        adds: list[int] = []
-        final: list[bool] = []
-        words_from: list[int] = []  # of each state, how many words can still be read
-        register: dict[tuple, int] = {}
+        """Compile distinct words, given in byte order, with their ids; equal suffixes are shared at once."""
+        keys, targets, adds, final = array("q"), array("i"), array("i"), array("B")
+        words_from = array("i")  # of each state, how many words can still be read
+        lengths, all_ids = array("i"), array("i")
+        register: dict[bytes, int] = {}
         # Open states along the last word: whether it ends a word, and (byte, state) of its closed children.
         path: list[tuple[list[bool], list[tuple[int, int]]]] = [([False], [])]
 
         def close(ends: bool, children: list[tuple[int, int]]) -> int:
-            signature = (ends, *children)
+            signature = bytes([ends]) + b"".join(b"%c%d," % child for child in children)
             state = register.get(signature)
             if state is None:
                 state = register[signature] = len(final)
@@ -245,7 +243,9 @@ class Lexicon:
                 path[-1][1].append((word[len(path) - 1], close(ends[0], children)))
 
         last = b""
-        for word, _ in ordered:
+        for word, ids in entries:
+            lengths.append(len(ids))
+            all_ids.extend(ids)
             common = 0
             while common < min(len(word), len(last)) and word[common] == last[common]:
                 common += 1
@@ -255,14 +255,13 @@ class Lexicon:
             last = word
         close_below(0, last)
         root = close(path[0][0][0], path[0][1])
-        lengths = [len(ids) for _, ids in ordered]
         return Lexicon(
             np.array(keys, np.int64),
             np.array(targets, np.int32),
             np.array(adds, np.int32),
             np.array(final, np.uint8),
-            np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64),
-            np.array([i for _, ids in ordered for i in ids], np.int32),
+            np.concatenate([[0], np.cumsum(np.array(lengths, np.int64))]).astype(np.int64),
+            np.array(all_ids, np.int32),
             root,
         )
 
@@ -371,14 +370,28 @@ def build_lexicon(documents: DataFrame, vocabulary: str) -> Lexicon:
     """
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
-    def make():
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row for each batch: its words joined by spaces, and their ids."""
         word = Vocabulary(shared.value).word
-        return lambda words: [[word(w.encode("utf-8", "surrogatepass")) for w in words]]
-
-    adds = [("ids", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))]
-    words = frequent_words(documents).repartition(documents.sparkSession.sparkContext.defaultParallelism)
-    rows = with_columns(words, ["word"], make, adds).collect()
-    return Lexicon.build((r["word"].encode("utf-8", "surrogatepass"), r["ids"]) for r in rows)
+        for batch in batches:
+            words = [w.encode("utf-8", "surrogatepass") for w in batch.column(0).to_pylist()]
+            ids = [word(w) for w in words]
+            lengths = np.array([len(x) for x in ids], np.int32).tobytes()
+            flat = np.array([i for x in ids for i in x], np.int32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([b" ".join(words)]), pa.array([lengths]), pa.array([flat])], names=names)
+
+    names = ["words", "lengths", "ids"]
+    ordered = frequent_words(documents).orderBy("word")
+    rows = ordered.mapInArrow(encoded, "words binary, lengths binary, ids binary").collect()
+
+    def entries() -> Iterator[tuple[bytes, list[int]]]:
+        for row in rows:
+            at, ids = 0, np.frombuffer(row["ids"], np.int32)
+            for word, n in zip(bytes(row["words"]).split(b" "), np.frombuffer(row["lengths"], np.int32).tolist()):
+                yield word, ids[at : at + n].tolist()
+                at += n
+
+    return Lexicon.build(entries())
 
 
 def encode(documents: DataFrame, vocabulary_path: str, keep: list[str] | None = None) -> DataFrame:

@@ -174,9 +174,10 @@ def run_phase(
 ) -> dict[str, object]:
     """Build and write one dataset; returns its run-log row and never raises for a failed phase.
 
-    The plan runs once, into a Parquet table, sorted unless ``ordered`` is off; JSON and CSV are written
-    from that table, whose files are read in their order. The row count comes with the write. No rows is a
-    failure. A failed phase replaces its outputs, also those of an earlier run, by placeholders.
+    The plan runs once, into a Parquet table; JSON and CSV are written from that table, each sorted unless
+    ``ordered`` is off, as Spark does not read files in the order of their names. The row count comes with
+    the write. No rows is a failure. A failed phase replaces its outputs, also those of an earlier run, by
+    placeholders.
     """
     started = time.monotonic()
     root = folder.rstrip("/")
@@ -185,9 +186,7 @@ def run_phase(
     count = 0
     try:
         seen = Observation(f"rows of {phase.key}")
-        built = phase.build(spark)
-        built = dataset_order(built, phase.stem) if ordered else built
-        built = built.observe(seen, F.count(F.lit(1)).alias("n"))
+        built = phase.build(spark).observe(seen, F.count(F.lit(1)).alias("n"))
         built.write.mode("overwrite").parquet(table_path(root, phase.stem))
         count = seen.get["n"]
         if count == 0:
@@ -197,6 +196,7 @@ def run_phase(
     else:
         try:
             table = spark.read.parquet(table_path(root, phase.stem))
+            table = dataset_order(table, phase.stem) if ordered else table
             delete_path(spark, json_path)
             delete_path(spark, csv_path)
             write_json(public_names(table, phase.stem), json_path)

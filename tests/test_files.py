@@ -15,6 +15,7 @@ from stockloom.sinks import (
     write_json,
     write_placeholder,
 )
+from stockloom.sources.files import existing
 from stockloom.sources import (
     as_typed,
     list_assets,
@@ -139,3 +140,21 @@ def test_placeholders_and_run_log(spark, folder, rows):
         "run_id string, phase_name string, phase_key string, row_count string, succeeded string, json_path string, csv_path string, elapsed_ms string, errors array<string>",
     )
     assert rows(parse_run_log(raw)) == [("r", "", "k", 0, False, "", "c", 9, ["e"])]
+
+
+def test_listings_hold_empty_files_and_odd_names(spark, folder, rows):
+    for name, text in (("a+b c.png", "x"), ("empty.png", ""), ("sub/é%20.png", "yy"), ("other.txt", "z")):
+        os.makedirs(os.path.dirname(f"{folder}/{name}"), exist_ok=True)
+        put(folder, name, text)
+    assert rows(list_files(spark, folder, "*.png", recursive=True)) == [("a+b c.png", 1), ("empty.png", 0), ("sub/é%20.png", 2)]
+    assert rows(list_files(spark, f"{folder}/none")) == []
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    found = existing(spark, folder, ["t.parquet", "empty.png", "absent"])
+    assert rows(found) == [("absent", False), ("empty.png", True), ("t.parquet", True)]
+
+
+def test_unreadable_tables_are_empty(spark, folder):
+    os.makedirs(f"{folder}/bad")
+    put(f"{folder}/bad", "part-0.parquet", "no table")
+    table, warning = read_table(spark, f"{folder}/bad", schemas.ITEMS)
+    assert table.count() == 0 and warning.startswith("unreadable table")

@@ -243,12 +243,14 @@ def deduplicate(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     fingerprinted = materialize(with_fingerprint(documents, keep=["doc_id"]))
     first = near_duplicates(fingerprinted, distance)
-    ids = first.select(F.col("component_id").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    kept = materialize(ids)
+    # Few documents go, so their ids are the smaller side to compare all documents with.
+    named = fingerprinted.filter("doc_id IS NOT NULL").join(first, "fp")
+    gone = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = materialize(gone.filter("NOT stays").select("doc_id"))
     repeated = materialize(
         fingerprinted.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     )
-    once = documents.join(kept, "doc_id", "left_semi")
+    once = documents.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
     single = once.join(repeated, "doc_id", "left_anti")
     several = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = materialize(first.filter("component_id IS NULL").select("fp"))

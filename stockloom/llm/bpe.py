@@ -12,7 +12,7 @@ White space separates pieces and gives no token, so words are encoded independen
 
 Defined cases: null or blank text has no tokens and decodes to the empty text; special tokens in a text
 become their ids, as without special-token parsing being switched off; repeated rows, ties in the
-word counts (by bytes) and extra columns change nothing. Invalid ids in ``decode`` are left out, null ids too.
+word counts and extra columns change nothing. Invalid ids in ``decode`` are left out, null ids too.
 """
 
 from __future__ import annotations
@@ -38,9 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.arrow import split_words, with_columns
+from stockloom.operators.scans import materialize
 
 #: Words in the lexicon, at most, and the longest of them in bytes.
 FREQUENT_WORDS, LONGEST_WORD = 200_000, 48
+#: Classes of word counts for each doubling.
+CLASSES = 8
 #: Words and pieces whose ids a worker remembers between blocks, at most.
 REMEMBERED = 400_000
 #: Pieces of more symbols are merged with a heap.
@@ -356,11 +359,23 @@ class Encoder:
 
 
 def frequent_words(documents: DataFrame) -> DataFrame:
-    """``word`` of the most frequent words of all documents; of equally frequent ones the first by bytes."""
+    """``word`` of the most frequent words of all documents, at most ``FREQUENT_WORDS``.
+
+    Counts fall into classes, ``CLASSES`` for each doubling; the highest classes that fit are taken whole.
+    Only the sizes of the classes reach the driver, and no task ranks the words of all others.
+    """
     words = documents.select(F.explode(F.split("text", "[ \\t-\\r]+")).alias("word"))
     counted = words.filter((F.octet_length("word") > 0) & (F.octet_length("word") <= LONGEST_WORD))
-    counts = counted.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word")
+    class_of = F.floor(F.log2(F.count(F.lit(1))) * CLASSES).cast("int").alias("class")
+    counts = materialize(counted.groupBy("word").agg(class_of))
+    sizes = sorted(((r["class"], r["count"]) for r in counts.groupBy("class").count().collect()), reverse=True)
+    taken, lowest = 0, None
+    for class_, size in sizes:
+        taken += size
+        if taken > FREQUENT_WORDS:
+            break
+        lowest = class_
+    return counts.filter(F.col("class") >= F.lit(lowest)).select("word")
 
 
 def build_lexicon(documents: DataFrame, vocabulary: str) -> Lexicon:

@@ -83,18 +83,25 @@ class Sampler:
         log_weight = np.log(np.arange(1, int(times.max()) + 1)).astype(np.float32)[times - 1]
         hashes = terms.view(np.uint64)
         filled = [(d, int(starts[d]), int(starts[d + 1])) for d in range(len(texts)) if starts[d] < starts[d + 1]]
+        documents = np.array([d for d, _, _ in filled], np.int64)
+        row = np.arange(_AT_ONCE)[:, None]
         for at in range(0, SAMPLES, _AT_ONCE):
             drawn = _mixed(hashes[None, :] ^ self.seeds[at : at + _AT_ONCE, None])
             r = self.gamma[(drawn & np.uint64(0xFFFF)).astype(np.int64)][:, term]
             log_c = self.log_gamma[(drawn >> np.uint64(16) & np.uint64(0xFFFF)).astype(np.int64)][:, term]
             b = self.uniform[(drawn >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.int64)][:, term]
             t = np.floor(log_weight / r + b)
-            value = log_c - r * (t - b) - r
-            for d, start, end in filled:
-                best = start + value[:, start:end].argmin(1)
-                row = np.arange(len(best))
-                pair = _mixed(drawn[row, term[best]] + t[row, best].astype(np.int64).astype(np.uint64))
-                out[d, at : at + _AT_ONCE] = (pair & np.uint64(0xFFFF)).astype(np.uint16)
+            # The smallest of ln(c) - r (t - b) - r, in place.
+            b -= t
+            b -= 1
+            b *= r
+            b += log_c
+            best = np.empty((_AT_ONCE, len(filled)), np.int64)
+            for place, (_, start, end) in enumerate(filled):
+                best[:, place] = b[:, start:end].argmin(1)
+                best[:, place] += start
+            pair = _mixed(drawn[row, term[best]] + t[row, best].astype(np.int64).astype(np.uint64))
+            out[documents, at : at + _AT_ONCE] = (pair & np.uint64(0xFFFF)).astype(np.uint16).T
         return out
 
 

@@ -16,11 +16,13 @@ and no link is lost. (For ``distance`` above two, centres hold as many changed b
 
 Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; a text
 of fewer than ``SHINGLE`` words is one shingle; null ids never are a component's id unless a component
-has no other; repeated rows and extra columns are kept.
+has no other; repeated rows and extra columns are kept. De-duplication decides by id and fingerprint,
+so one id may stand for several unlike texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -224,39 +226,61 @@ def near_duplicates(fingerprinted: DataFrame, distance: int = DISTANCE) -> DataF
 
     ``fingerprinted`` has ``doc_id`` and ``fp`` and should be stored, as it is read more than once.
     """
+    joined = _components(fingerprinted, distance)
+    ids = joined.groupBy("component").agg(F.min("own_id").alias("component_id"))
+    return joined.join(ids, "component").select("fp", "component_id")
+
+
+def _components(fingerprinted: DataFrame, distance: int) -> DataFrame:
+    """``fp``, ``own_id``, ``component`` for each distinct fingerprint."""
     own = materialize(fingerprinted.groupBy("fp").agg(F.min("doc_id").alias("own_id")))
     values = own.select("fp")
     found = connected_components(materialize(links(values, plan_probes(values, distance), distance)))
     joined = own.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
-    joined = materialize(joined)
-    ids = joined.groupBy("component").agg(F.min("own_id").alias("component_id"))
-    return joined.join(ids, "component").select("fp", "component_id")
+    return materialize(joined)
 
 
 def deduplicate(documents: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Keep one document of each component: the one with the smallest id.
+    """Keep one document of each component, as :func:`keep_first` says."""
+    fingerprinted = materialize(with_fingerprint(documents, keep=["doc_id"]))
+    components = _components(fingerprinted, distance).select("fp", "component")
+    return keep_first(documents, fingerprinted, components, lambda d, name: with_fingerprint(d, name=name))
+
 
-    Documents without an id are kept if their component has no id, once for each fingerprint. Repeated
-    rows (the same id again) are kept once.
+def keep_first(
+    documents: DataFrame, marked: DataFrame, components: DataFrame, mark: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """Keep one document of each component: the smallest (``doc_id``, ``fp``), null ids last.
+
+    ``marked`` has ``doc_id`` and ``fp`` of all documents, ``components`` the ``component`` of each ``fp``; both
+    are stored. ``mark`` adds ``fp`` to documents under a given name. An id may stand for unlike texts: each
+    of them stays or goes by its own component. Of rows equal in id and ``fp``, the one whose JSON has the
+    smallest SHA-256 stays.
     """
-    fingerprinted = materialize(with_fingerprint(documents, keep=["doc_id"]))
-    first = near_duplicates(fingerprinted, distance)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "fp"))
+    kept = marked.join(components, "fp").groupBy("component").agg(first.alias("k"))
+    kept = materialize(kept.select("k.doc_id", "k.fp").withColumn("stays", F.lit(True)))
     # Few documents go, so their ids are the smaller side to compare all documents with.
-    named = fingerprinted.filter("doc_id IS NOT NULL").join(first, "fp")
-    gone = named.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = materialize(gone.filter("NOT stays").select("doc_id"))
-    repeated = materialize(
-        fingerprinted.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    named = marked.filter("doc_id IS NOT NULL")
+    judged = named.join(kept.filter("doc_id IS NOT NULL"), ["doc_id", "fp"], "left")
+    ids = judged.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count("stays").alias("n_stay"))
+    ids = materialize(ids.filter("n > 1 OR n_stay = 0").select("doc_id", F.col("n_stay").alias("_n_stay")))
+    single = documents.filter("doc_id IS NOT NULL").join(ids.select("doc_id"), "doc_id", "left_anti").select(*documents.columns)
+    # Ids of several rows, and rows without id, are decided row by row.
+    several = documents.join(ids.filter("_n_stay > 0").select("doc_id"), "doc_id", "left_semi").select(*documents.columns)
+    if not kept.filter("doc_id IS NULL").isEmpty():
+        several = several.unionByName(documents.filter("doc_id IS NULL"))
+    name = fresh(documents, "fp")
+    stays = kept.select(F.col("doc_id").alias("_kept_id"), F.col("fp").alias("_kept_fp"))
+    remarked = mark(several, name)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    found = (
+        remarked.withColumns({"_row": row, "_tie": F.sha2(F.to_json(row), 256)})
+        .select("_row", "_tie", F.col("doc_id").alias("_of_id"), F.col(name).alias("_of_fp"))
+        .join(stays, F.col("_of_id").eqNullSafe(F.col("_kept_id")) & (F.col("_of_fp") == F.col("_kept_fp")))
+        .groupBy("_of_id", "_of_fp")
+        .agg(F.min_by("_row", "_tie").alias("_row"))
     )
-    once = documents.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    single = once.join(repeated, "doc_id", "left_anti")
-    several = once.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = materialize(first.filter("component_id IS NULL").select("fp"))
-    if not nameless.isEmpty():
-        name = fresh(documents, "fp")
-        alone = with_fingerprint(documents.filter("doc_id IS NULL"), name=name)
-        alone = alone.join(nameless.withColumnRenamed("fp", name), name, "left_semi").dropDuplicates([name])
-        several = several.unionByName(alone.select(*documents.columns))
-    return single.unionByName(several).select(*documents.columns)
+    return single.unionByName(found.select("_row.*"))

@@ -119,3 +119,18 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert out.columns == ["doc_id", "text", "lang", "fp", "component_id"]
     assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([rows[1], rows[4], rows[5], rows[7]], key=repr)
     assert simhash.deduplicate(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_deduplicate_decides_unlike_texts_of_one_id_apart(spark):
+    rows = [
+        (1, "a b c d", "x"), (2, "a b c d", "x"), (2, "quite another text stands here", "x"), (3, "words of its own", "q"),
+        (3, "words of its own", "p"), (3, "nothing like the rest of them", "x"), (4, "A B C D", "x"), (4, "a b c d", "x"),
+        (5, "one text", "x"), (5, "second thing", "x"), (6, "one text", "x"), (None, "lonely words", "x"), (None, "lonely words", "x"),
+    ]
+    wanted = {(r[0], r[1]) for r in rows} - {(2, "a b c d"), (4, "A B C D"), (4, "a b c d"), (6, "one text")}
+    for order in (rows, rows[::-1]):
+        out = [tuple(r) for r in simhash.deduplicate(spark.createDataFrame(order, "doc_id bigint, text string, source string").repartition(3)).collect()]
+        assert len(out) == len(wanted) and {r[:2] for r in out} == wanted
+        ties = {r[2] for r in out if r[1] == "words of its own"}
+        assert order is rows or ties == before
+        before = ties

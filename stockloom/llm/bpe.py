@@ -44,8 +44,10 @@ from stockloom.operators.scans import materialize
 FREQUENT_WORDS, LONGEST_WORD = 200_000, 48
 #: Classes of word counts for each doubling.
 CLASSES = 8
-#: Words and pieces whose ids a worker remembers between blocks, at most.
-REMEMBERED = 400_000
+#: Bytes, about, of the words and of the pieces whose ids a worker remembers between blocks.
+REMEMBERED_BYTES = 32 << 20
+#: Bytes of an entry besides its word and ids.
+_ENTRY = 160
 #: Pieces of more symbols are merged with a heap.
 _LONG = 64
 _SHIFT = 20
@@ -70,6 +72,18 @@ _CAPITALS = (
     (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20),
     (0x16EA0, 0x16EB8, 0x1B),
 )
+# Combining marks and one pair that the vocabulary's library does not know yet (first, last); they are
+# neither reordered nor composed there.
+_UNKNOWN_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA),
+    (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC),
+    (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_MARKS = regex.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _UNKNOWN_MARKS) + "])")
 _NEWER = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _AFTER_16) + "]")
 _LATE = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in _CAPITALS) + "]")
 _LOWER = {c: c + d for a, b, d in _CAPITALS for c in range(a, b + 1)}
@@ -92,6 +106,13 @@ def _letters(text: str) -> str | None:
     return None
 
 
+def compose(text: str) -> str:
+    """Canonical composition as the vocabulary's library does it: marks unknown there separate what is composed."""
+    if text.isascii() or not _MARKS.search(text):
+        return unicodedata.normalize("NFC", text)
+    return "".join(unicodedata.normalize("NFC", part) for part in _MARKS.split(text))
+
+
 class Vocabulary:
     """Merges, symbols and special tokens of a vocabulary file, and the exact encoding of one word."""
 
@@ -117,7 +138,11 @@ class Vocabulary:
         self.special_pattern = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, array] = {}
+        self.known_bytes = 0
 
     def word(self, word: bytes) -> list[int]:
         """Token ids of a run without ASCII white space."""
@@ -136,7 +161,7 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[int]:
         # Lower case of each character by itself: a sigma stays the same at the end of a word.
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        text = compose(text).replace("Σ", "σ").lower()
         if _LATE.search(text):
             text = text.translate(_LOWER)
         out: list[int] = []
@@ -146,9 +171,12 @@ class Vocabulary:
 
     def piece(self, piece: str) -> list[int]:
         ids = self.known.get(piece)
-        if ids is None:
-            ids = self.known[piece] = self.merge(piece.encode("utf-8", "surrogatepass"))
-        return ids
+        if ids is not None:
+            return ids.tolist()
+        found = self.merge(piece.encode("utf-8", "surrogatepass"))
+        self.known[piece] = array("i", found)
+        self.known_bytes += _ENTRY + len(piece) + 4 * len(found)
+        return found
 
     def _assigned_pieces(self, text: str) -> list[str]:
         """Pieces where characters newer than the vocabulary's library count as signs, as they do there."""
@@ -308,6 +336,12 @@ class Lexicon:
         return np.where(lost | (self.final[state] == 0), -1, rank)
 
 
+def _spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(begins - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """Encodes blocks of texts in one task; remembers the ids of words within a bound."""
 
@@ -317,33 +351,39 @@ class Encoder:
 
     def forget(self) -> None:
         self.number: dict[bytes, int] = {}
-        self.begins = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
-        self.vocabulary.known.clear()
+        self.held = 0
+        self.begins, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+        self.vocabulary.forget()
 
     def learn(self, words: list[bytes]) -> None:
         """Remember the ids of new words: those of the lexicon from its file, the others by merging."""
         ranks = self.lexicon.ranks(words)
-        merged = [self.vocabulary.word(words[i]) for i in np.nonzero(ranks < 0)[0].tolist()]
-        starts = self.lexicon.starts
-        hits = np.maximum(ranks, 0)
-        lengths = np.where(ranks >= 0, starts[np.minimum(hits + 1, len(starts) - 1)] - starts[hits], 0)
-        lengths[ranks < 0] = np.fromiter(map(len, merged), np.int64, len(merged))
-        ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        # Places in one array: the lexicon's ids, then the merged ones.
-        begins = starts[hits]
-        begins[ranks < 0] = len(self.lexicon.ids) + np.cumsum(lengths[ranks < 0]) - lengths[ranks < 0]
-        source = np.concatenate([self.lexicon.ids, np.fromiter(chain.from_iterable(merged), np.int32)])
+        missed = np.nonzero(ranks < 0)[0]
+        merged = [self.vocabulary.word(words[i]) for i in missed.tolist()]
+        hits = np.nonzero(ranks >= 0)[0]
+        starts = self.lexicon.starts[ranks[hits]]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[hits] = self.lexicon.starts[ranks[hits] + 1] - starts
+        lengths[missed] = np.fromiter(map(len, merged), np.int64, len(merged))
+        begins = self.used + np.cumsum(lengths) - lengths
+        total = int(lengths.sum())
+        if self.used + total > len(self.ids):
+            larger = np.zeros(max(2 * len(self.ids), self.used + total), np.int32)
+            larger[: self.used] = self.ids[: self.used]
+            self.ids = larger
+        # Only the ids of words that were found are read from the mapped file.
+        self.ids[_spans(begins[hits], lengths[hits])] = self.lexicon.ids[_spans(starts, lengths[hits])]
+        self.ids[_spans(begins[missed], lengths[missed])] = np.fromiter(chain.from_iterable(merged), np.int32)
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.begins = np.concatenate([self.begins, len(self.ids) + ends - lengths])
+        self.begins = np.concatenate([self.begins, begins])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, source[np.repeat(begins - (ends - lengths), lengths) + np.arange(total)]])
+        self.used += total
+        self.held += _ENTRY * len(words) + sum(map(len, words)) + 4 * total
 
     def __call__(self, texts: list[str | None]) -> list[pa.Array]:
         words = [split_words(t) for t in texts]
-        if len(self.number) > REMEMBERED or len(self.vocabulary.known) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES or self.vocabulary.known_bytes > REMEMBERED_BYTES:
             self.forget()
         unknown = set().union(*words).difference(self.number)
         if unknown:
@@ -352,8 +392,7 @@ class Encoder:
         place = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         lengths = self.lengths[place]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        values = self.ids[np.repeat(self.begins[place] - (ends - lengths), lengths) + np.arange(total)]
+        values = self.ids[_spans(self.begins[place], lengths)]
         offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))]
 

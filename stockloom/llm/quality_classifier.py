@@ -33,6 +33,8 @@ SHAPE_TERMS, TERMS = 256, 4_096
 REPEAT_RATES = (0.1, 0.2, 0.4)
 #: Dimensions of the latent space, neighbours that vote, and the score from which a document is good.
 RANK, NEIGHBOURS, THRESHOLD = 64, 31, 0.7
+#: Rounds of the subspace iteration that finds this space.
+ITERATIONS = 12
 _REPEAT = SHAPE_TERMS - 1 - len(REPEAT_RATES)
 _SYMBOLS = frozenset(b"#*$%&|<>")
 
@@ -130,28 +132,38 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
         keep=["doc_id", "quality"],
     )
     rows = sorted(counted.collect(), key=lambda r: r["doc_id"])
+    quality = np.array([r["quality"] for r in rows])
     counts = np.zeros((len(rows), TERMS), np.float32)
-    for at, row in enumerate(rows):
+    for at in reversed(range(len(rows))):  # a row is let go as soon as it is copied
+        row = rows.pop()
         counts[at, np.frombuffer(row["terms"], np.int32)] = np.frombuffer(row["counts"], np.float32)
-    return _decompose(counts, np.array([r["quality"] for r in rows]), n_of)
+    return _decompose(counts, quality, n_of)
 
 
 def _decompose(counts: np.ndarray, quality: np.ndarray, n_of: dict[int, int]) -> Model:
-    seen = (counts > 0).sum(0)
+    seen = np.count_nonzero(counts, axis=0)
     weighted = np.log1p(counts, out=counts)  # in place, as the driver may be small
     idf = (np.log((len(counts) + 1) / (seen + 1)) + 0.1).astype(np.float32)
     weighted *= idf
     weighted /= np.maximum(np.linalg.norm(weighted, axis=1, keepdims=True), 1e-9)
-    values, left = np.linalg.eigh(weighted @ weighted.T)
-    rank = min(RANK, int((values > 1e-5 * max(values[-1], 1e-12)).sum()))
-    values, left = values[len(values) - rank :], left[:, len(values) - rank :]
-    right = (weighted.T @ (left / np.sqrt(values)).astype(np.float32)).astype(np.float32)
+    right = _right_vectors(weighted)
     # Each class votes with its real size, although the sample may hold them in other proportions.
     stands_for = {q: n / max(1, int((quality == q).sum())) for q, n in n_of.items()}
     weight = np.array([stands_for[int(q)] for q in quality], np.float32)
     return Model(idf[:, None] * right, _unit(weighted @ right), quality.astype(np.float32), weight / weight.mean())
 
 
+def _right_vectors(rows: np.ndarray) -> np.ndarray:
+    """The first ``RANK`` right singular vectors, by subspace iteration: no square matrix of rows or terms is held."""
+    width = min(2 * RANK, *rows.shape)
+    basis = np.random.default_rng(0).standard_normal((rows.shape[1], width)).astype(np.float32)
+    for _ in range(ITERATIONS):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0].astype(np.float32)
+    _, values, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    rank = min(RANK, int((values > np.sqrt(1e-5) * max(values[0], 1e-6)).sum())) if len(values) else 0
+    return basis @ turn[:rank].T.astype(np.float32)
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.where(norms > 1e-9, rows / np.maximum(norms, 1e-9), 0).astype(np.float32)

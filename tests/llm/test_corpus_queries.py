@@ -1,10 +1,11 @@
 import os
+from itertools import combinations
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from stockloom.llm import bpe, mixing, quality_classifier, quality_rules, simhash
+from stockloom.llm import bpe, mixing, quality_classifier, quality_rules
 from stockloom.llm.queries import ORACLES, QUERIES
 from tools.check_queries import canonical
 
@@ -55,7 +56,12 @@ def test_queries_stand_nulls_repeats_and_extra_columns(spark, tmp_path, name):
         found.collect()
 
 
-def test_pipeline_is_its_stages(spark):
+def five_words(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_is_its_stages(spark, classes):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "simhash_near_dedup", "mixing", "bpe_encoding"]
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet").filter(~quality_classifier.held_out())
@@ -75,16 +81,10 @@ def test_pipeline_is_its_stages(spark):
             judged = quality_rules.apply_rules(docs, quality_rules.train(docs, labels)).collect()
             wanted = {r["doc_id"] for r in judged if r["kept"]}
         elif name == "simhash_near_dedup":
-            prints = {i: simhash.fingerprint(r["text"]) for i, r in given.items()}
-            wanted, left = set(), set(prints)
-            while left:
-                group, todo = set(), [min(left)]
-                while todo:
-                    i = todo.pop()
-                    group.add(i)
-                    todo += [j for j in left - group if bin(prints[i] ^ prints[j]).count("1") <= 2]
-                wanted.add(min(group))
-                left -= group
+            sets = {i: five_words(r["text"]) for i, r in given.items()}
+            near = [(i, j) for i, j in combinations(sets, 2) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+            roots = classes([(i, i) for i in sets] + near)
+            wanted = {min(j for j in roots if roots[j] == root) for root in set(roots.values())}
         elif name == "mixing":
             wanted = {r["doc_id"] for r in mixing.sample(docs, mixing.probabilities(docs)).collect() if r["kept"]}
         else:

@@ -2,6 +2,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +87,17 @@ def test_lexicon_is_minimal_and_addresses_ids(tmp_path):
     assert bpe.Lexicon.load(str(tmp_path / "empty")).ranks([b"a", b""]).tolist() == [-1, -1]
 
 
+def test_all_combining_marks_equal_the_library():
+    with open(PATH) as file:
+        vocabulary = bpe.Vocabulary(file.read())
+    library = Tokenizer.from_file(PATH)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))] + ["\U00011930", "\U00011935\U00011930", "\U00011938"]
+    shapes = ["a{}\u0301", "a\u0301{}", "a{}\u0323", "a\u0345{}\u0300", "{}e\u0304{}\u0316x", "{}"]
+    texts = [shape.format(mark, mark) for mark in marks for shape in shapes]
+    for text, wanted in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+        assert vocabulary.word(text.encode()) == wanted.ids, ascii(text)
+
+
 ODD = [
     None, "", "  \n\t ", "İ? ΑΣ σς ǅ ß ﬁ ½²٣ 漢字 😀‍x", "we're i'll 'sS it'S", "a<|endoftext|>b <|startoftext|> <|EndOfText|>",
     "x" * 5_000 + " " + "ab" * 400, "e\u0301te\u0301 e\u0301", "no\xa0break\u3000wide\x85next\x1cend", "!!??--__ 12345 1a2b", "\u0558\ua7dc\u1c89 \U00010d50",

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 
 from stockloom.llm import (
     bpe,
+    conversations,
     fingerprints,
     fixity,
     license_scan,
     mixing,
     order,
+    partial_matching,
     quality_classifier,
     quality_rules,
     simhash,
     tool_calls,
     url_filter,
+    vector_codes,
 )
 from stockloom.llm.registry import ORACLES, QUERIES, query, table
 from stockloom.operators.scans import materialize
@@ -320,3 +323,36 @@ def op9_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
     )
     linked = tool_calls.link(calls, results, TOOLS)
     return linked.withColumn("errors", F.array_join("errors", ","))
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with known damage, repaired; one row for each."""
+    blank = F.lit(" ")
+    turns = table(spark, folder, "conversations").select(
+        "conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text")
+    )
+    number = lambda c: F.coalesce(F.col(c).cast("string"), blank)
+    damage = F.crc32(F.concat(number("conv_id"), F.lit(":"), number("turn"))) % 20
+    text = F.when(damage == 1, "").when(damage == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    harmed = turns.select(
+        "conv_id", "turn", F.when(damage == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+        (damage == 0).alias("gone"), F.explode(F.when(damage == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    return conversations.digests(conversations.repair(harmed))
+
+
+@query("op12_vector_codes")
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of all vectors, with their errors and the digest of the codebooks."""
+    coded, books = vector_codes.compress(table(spark, folder, "embeddings"))
+    long = lambda c: F.least(F.col(c), F.lit((1 << 63) - 1)).cast("bigint").alias(c)
+    return vector_codes.with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", long("error"), long("label_error"), F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+@query("op13_partial_matching")
+def op13_partial_matching(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of all texts, learned from those that are not held out."""
+    return partial_matching.score(table(spark, folder, "documents"))

@@ -37,7 +37,7 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Vectors in a block, parts in a leaf, entries in a leaf of the entry tree.
 BLOCK, LEAF, ENTRY_LEAF = 4096, 64, 8
 #: Entries of surviving leaves up to which a data node is compared with single entries.
-FEW = 32
+FEW = 64
 _EXACT, _LONGEST = 1 << 53, (1 << 63) - 1
 
 
@@ -82,7 +82,7 @@ class Tree:
 
     points: np.ndarray
     order: np.ndarray  # row of each point
-    levels: list[np.ndarray]
+    levels: list[np.ndarray]  # first places of the nodes
     low: list[np.ndarray]
     high: list[np.ndarray]
     sums: list[np.ndarray]
@@ -117,6 +117,18 @@ class Tree:
         return Tree(points, order, levels, low, high, sums)
 
 
+def _middles(tree: Tree) -> list[np.ndarray]:
+    """Of each node of each level, the point nearest to the middle of its box."""
+    found = []
+    for level, low, high in zip(tree.levels, tree.low, tree.high):
+        rows = []
+        for start, end, middle in zip(level[:-1], level[1:], low + high):
+            apart = 2 * tree.points[start:end] - middle
+            rows.append(tree.points[start + int(np.argmin((apart * apart).sum(1)))])
+        found.append(np.array(rows))
+    return found
+
+
 def _box_distances(low: np.ndarray, high: np.ndarray, of_low: np.ndarray, of_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Smallest and largest squared distance between points of pairs of boxes."""
     apart = np.maximum(np.maximum(of_low - high, low - of_high), 0)
@@ -140,6 +152,7 @@ def assign(data: Tree, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     """Nearest entry of each point (in tree order), entry counts and sums, and how the points were settled."""
     entry_order = Tree.order_of(book, ENTRY_LEAF)
     entries = Tree.over(book[entry_order], entry_order, ENTRY_LEAF)
+    middles = _middles(entries)
     nearest = np.full(len(data.points), -1, np.int64)
     counts, sums = np.zeros(len(book), np.int64), np.zeros_like(book)
     settled = {"whole": 0, "leaves": 0, "distances": 0}
@@ -158,9 +171,11 @@ def assign(data: Tree, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
         # ``nodes`` are sorted, with every node that is not settled; ``others`` are nodes of the entry tree.
         open_nodes, nodes = np.unique(nodes, return_inverse=True)
         at = open_nodes[nodes]
-        lower, upper = _box_distances(
-            data.low[level][at], data.high[level][at], entries.low[entry_level][others], entries.high[entry_level][others]
-        )
+        low, high = data.low[level][at], data.high[level][at]
+        lower, _ = _box_distances(low, high, entries.low[entry_level][others], entries.high[entry_level][others])
+        # No point of the data node is farther from its nearest entry than from the one in the middle of the pair's other node.
+        middle = middles[entry_level][others]
+        _, upper = _box_distances(low, high, middle, middle)
         nodes, others = _pruned(nodes, others, len(open_nodes), lower, upper)
         if entry_level == entry_depth:
             nodes, others = _single_entries(data, entries, book, level, open_nodes, nodes, others, whole)

@@ -12,7 +12,8 @@ are sums of the longer one's. Blocks of text send their different grams (``ORDER
 counts over training texts; these are added up, and probabilities go from the shortest order to the longest by joins on
 the key without its first symbol, so excluded sums need no lists. The log probability of each gram then returns
 to the blocks that asked for it, in one shuffle with their texts, sorted by block, and the texts are scored by look-up
-as they stream by. Nothing is broadcast, and nothing but four numbers reaches the driver.
+as they stream by. Texts travel as compressed rows of up to ``TEXT_BYTES``, answers as compressed runs of one block.
+Nothing is broadcast, and nothing but two numbers reaches the driver.
 
 Defined cases: null text is the empty text, which is an end; rows without id are learned from; repeated rows are learned
 from and scored each; ties play no part. A very long text is a block of its own, and read in pieces of ``PIECE`` bytes.
@@ -28,9 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockloom.operators.scans import materialize
 
@@ -42,7 +45,9 @@ DISCOUNT = 0.5
 #: Symbols that can follow a context: bytes and the end.
 ALPHABET = 257
 #: Bytes of text in a block, about, and positions whose grams are made at once.
-BLOCK_BYTES, PIECE = 8 << 20, 1 << 20
+BLOCK_BYTES, PIECE = 32 << 20, 1 << 20
+#: Bytes of the texts of one row between the passes, about.
+TEXT_BYTES = 2 << 20
 #: Longer words are represented by a digest, after a byte that no UTF-8 text has.
 LONGEST_WORD = 40
 _NO_WORD = b"\xfe"  # the end, as a token
@@ -68,7 +73,7 @@ def grams_of(text: bytes, order: int) -> Iterator[np.ndarray]:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return [w if len(w) <= LONGEST_WORD else b"\xff" + xxhash.xxh3_128_digest(w) for w in text.split()]
+    return [w if len(w) <= LONGEST_WORD else b"\xff" + xxhash.xxh3_128_hexdigest(w).encode() for w in text.split()]
 
 
 def _lower(text: str | None) -> bytes:
@@ -129,8 +134,30 @@ class _BlockCounts:
         return grams, counts, words + unknown, n + [0] * len(unknown)
 
 
-#: Rows of blocks: their grams, their words, or a text that is to be scored.
-_BLOCKS = "block bigint, kind tinyint, gram bigint, word binary, n bigint, doc_id {id}, held_out boolean, text string"
+# Rows of blocks: grams, words, answers to either, or texts that are to be scored.
+_GRAM, _WORD, _TEXT = 0, 1, 2
+_COLUMNS = {"block": pa.int64(), "kind": pa.int8(), "gram": pa.int64(), "word": pa.binary(), "n": pa.int64(), "data": pa.binary()}
+_BLOCKS = "block bigint, kind tinyint, gram bigint, word binary, n bigint, data binary, ids array<{id}>, held_out array<boolean>"
+_ANSWERS = "block bigint, kind tinyint, data binary"
+
+
+def _pack(*parts: bytes) -> bytes:
+    return zstandard.compress(b"".join(len(p).to_bytes(8, "little") + p for p in parts), 3)
+
+
+def _unpack(data: bytes) -> list[bytes]:
+    data, parts, at = zstandard.decompress(data), [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        parts.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return parts
+
+
+def _row_batch(block: int, kind: int, rows: int, id_type: pa.DataType, **columns: pa.Array) -> pa.RecordBatch:
+    types = _COLUMNS | {"ids": pa.list_(id_type), "held_out": pa.list_(pa.bool_())}
+    given = {"block": pa.array(np.full(rows, block)), "kind": pa.array(np.full(rows, kind, np.int8))} | columns
+    return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(rows, t) for c, t in types.items()], names=list(types))
 
 
 def _blocks(documents: DataFrame, order: int) -> DataFrame:
@@ -138,40 +165,61 @@ def _blocks(documents: DataFrame, order: int) -> DataFrame:
     id_type = documents.schema["doc_id"].dataType
     rows = documents.select("doc_id", held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
 
+    def text_row(block: int, part: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(i)) for i in (0, 1)]
+        data = pa.array([_pack(*texts)], pa.binary())
+        return _row_batch(block, _TEXT, 1, part.schema.types[0], data=data, ids=lists[0], held_out=lists[1])
+
+    def count_rows(block: int, counts: _BlockCounts, ids: pa.DataType) -> Iterator[pa.RecordBatch]:
+        grams, n, words, n_words = counts.columns()
+        yield _row_batch(block, _GRAM, len(grams), ids, gram=pa.array(grams), n=pa.array(n, pa.int64()))
+        yield _row_batch(block, _WORD, len(words), ids, word=pa.array(words, pa.binary()), n=pa.array(n_words, pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, counts = TaskContext.get().partitionId() << 32, 0, None
+        block, size, counts, ids = TaskContext.get().partitionId() << 32, 0, None, None
         for batch in batches:
-            begin, types = 0, batch.schema.types
+            begin, texts, held, ids = 0, [], 0, batch.schema.types[0]
             for at in range(batch.num_rows):
                 counts = counts or _BlockCounts(order)
                 text = _lower(batch.column(2)[at].as_py())
                 counts.add(text, not batch.column(1)[at].as_py())
+                texts.append(text)
+                held += len(text)
                 size += len(text)
-                last = at + 1 == batch.num_rows
-                if last or size >= BLOCK_BYTES:
-                    texts = batch.slice(begin, at + 1 - begin)
-                    begin, n = at + 1, texts.num_rows
-                    yield _row_batch(block, 2, n, types, doc_id=texts.column(0), held_out=texts.column(1), text=texts.column(2))
+                if held >= TEXT_BYTES or size >= BLOCK_BYTES or at + 1 == batch.num_rows:
+                    yield text_row(block, batch.slice(begin, at + 1 - begin), texts)
+                    begin, texts, held = at + 1, [], 0
                 if size >= BLOCK_BYTES:
-                    yield from _count_batches(block, counts, types)
+                    yield from count_rows(block, counts, ids)
                     block, size, counts = block + 1, 0, None
         if counts is not None:
-            yield from _count_batches(block, counts, types)
+            yield from count_rows(block, counts, ids)
 
     return rows.mapInArrow(run, _BLOCKS.format(id=id_type.simpleString()))
 
 
-def _count_batches(block: int, counts: _BlockCounts, types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    grams, n, words, n_words = counts.columns()
-    yield _row_batch(block, 0, len(grams), types, gram=pa.array(grams), n=pa.array(n, pa.int64()))
-    yield _row_batch(block, 1, len(words), types, word=pa.array(words, pa.binary()), n=pa.array(n_words, pa.int64()))
+def _answers(values: DataFrame, kind: int) -> DataFrame:
+    """Runs of keys and values (columns 1 and 2) of one block, as they lie in a task, each in one row."""
 
+    def packed(keys: pa.Array, values: pa.Array) -> bytes:
+        values = values.to_numpy().tobytes()
+        if kind == _GRAM:
+            return _pack(np.diff(keys.to_numpy(), prepend=0).tobytes(), values)
+        return _pack(b" ".join(keys.to_pylist()), values)
 
-def _row_batch(block: int, kind: int, rows: int, types: list[pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
-    kinds = {"gram": pa.int64(), "word": pa.binary(), "n": pa.int64(), "doc_id": types[0], "held_out": pa.bool_(), "text": types[2]}
-    arrays = [pa.array(np.full(rows, block)), pa.array(np.full(rows, kind, np.int8))]
-    arrays += [columns[c] if c in columns else pa.nulls(rows, t) for c, t in kinds.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=["block", "kind", *kinds])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            cuts = (np.nonzero(np.diff(block))[0] + 1).tolist()
+            spans = [(a, b) for a, b in zip([0, *cuts], [*cuts, len(block)]) if b > a]
+            data = [packed(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)) for a, b in spans]
+            blocks = pa.array([int(block[a]) for a, _ in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [blocks, pa.array([kind] * len(data), pa.int8()), pa.array(data, pa.binary())], names=["block", "kind", "data"]
+            )
+
+    key = values.columns[1]
+    return values.sortWithinPartitions("block", key).mapInArrow(run, _ANSWERS)
 
 
 def _log_share(part: Column, total: Column) -> Column:
@@ -226,48 +274,44 @@ def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
     """``doc_id``, ``held_out``, token counts, unigram ``base_score`` and model ``score`` of every row."""
-    spark = documents.sparkSession
     id_type = documents.schema["doc_id"].dataType
     blocks = materialize(_blocks(documents, order))
-    grams = blocks.filter("kind = 0").select("block", "gram", "n")
+    grams = blocks.filter(F.col("kind") == _GRAM).select("block", "gram", "n")
     counts = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")))
     log_p = log_probabilities(counts, order)
-    words = blocks.filter("kind = 1").select("block", "word", "n")
-    frequency = materialize(words.groupBy("word").agg(F.sum("n").alias("count")))
-    n_tokens, n_kinds = frequency.agg(F.sum("count"), F.count(F.when(F.col("count") > 0, True))).first()
+    # A word has one row in each block at most, so a window holds as many rows as there are blocks.
+    of_word = Window.partitionBy("word")
+    words = blocks.filter(F.col("kind") == _WORD).select("block", "word", "n")
+    words = materialize(
+        words.withColumns({"count": F.sum("n").over(of_word), "first": F.row_number().over(of_word.orderBy("block")) == 1})
+    )
+    n_tokens, n_kinds = words.agg(F.sum("n"), F.count_if(F.col("first") & (F.col("count") > 0))).first()
     n_tokens, all_words = n_tokens or 0, (n_tokens or 0) + n_kinds + 1
 
-    asked_grams = grams.select("block", "gram").join(log_p, "gram")
-    asked_words = words.select("block", "word").join(frequency, "word")
-    none = lambda t: F.lit(None).cast(t)
-    rows = asked_grams.select(
-        "block", F.lit(0).alias("kind"), "gram", none("binary").alias("word"), F.col("log_p").alias("value"),
-        none(id_type).alias("doc_id"), none("boolean").alias("held_out"), none("string").alias("text"),
-    ).unionAll(
-        asked_words.select(
-            "block", F.lit(1), none("bigint"), "word", F.col("count").cast("double"), none(id_type), none("boolean"), none("string")
-        )
-    ).unionAll(
-        blocks.filter("kind = 2").select("block", F.lit(2), none("bigint"), none("binary"), none("double"), "doc_id", "held_out", "text")
-    )
-    ordered = rows.repartition("block").sortWithinPartitions("block", "kind", "gram")
-    schema = (
-        f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    nothing = [F.lit(None).cast(T.ArrayType(id_type)).alias("ids"), F.lit(None).cast("array<boolean>").alias("held_out")]
+    rows = (
+        _answers(grams.join(log_p, "gram").select("block", "gram", "log_p"), _GRAM)
+        .unionAll(_answers(words.select("block", "word", "count"), _WORD))
+        .select("*", *nothing)
+        .unionAll(blocks.filter(F.col("kind") == _TEXT).select("block", "kind", "data", "ids", "held_out"))
     )
+    ordered = rows.repartition("block").sortWithinPartitions("block", "kind")
+    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _BlockTable(order, all_words)
+        table = None
         for batch in batches:
-            block, kind = (batch.column(i).to_numpy() for i in (0, 1))
-            cuts = np.nonzero((np.diff(block) != 0) | (np.diff(kind) != 0))[0] + 1
-            for start, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
-                if end > start:
-                    part = batch.slice(start, end - start)
-                    found = table.take(int(block[start]), int(kind[start]), part)
-                    if found is not None:
-                        yield pa.RecordBatch.from_arrays([part.column(5), part.column(6), *found], names=names)
+            for at, (block, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if table is None or block != table.block:
+                    table = _BlockTable(block, order, all_words)
+                data = batch.column(2)[at].as_py()
+                if kind == _TEXT:
+                    ids, held = (batch.column(i)[at].values for i in (3, 4))
+                    yield pa.RecordBatch.from_arrays([ids, held, *table.scores(_unpack(data))], names=names)
+                else:
+                    table.add(kind, *_unpack(data))
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     scored = ordered.mapInArrow(run, schema)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 
@@ -275,40 +319,32 @@ def score(documents: DataFrame, order: int = ORDER) -> DataFrame:
 class _BlockTable:
     """Values of one block's grams and words, gathered from its rows, and the scores of its texts."""
 
-    def __init__(self, order: int, all_words: int):
-        self.order, self.all_words = order, all_words
-        self.block = None
-
-    def take(self, block: int, kind: int, part: pa.RecordBatch) -> list[pa.Array] | None:
-        if block != self.block:
-            self.block, self.parts, self.ready = block, [], None
-            self.words: dict[bytes, int] = {}
-            self.counts: list[np.ndarray] = []
-        if kind == 0:
-            self.parts.append((part.column(2).to_numpy(), part.column(4).to_numpy()))
-            return None
-        if kind == 1:
-            self.words.update(zip(part.column(3).to_pylist(), range(len(self.words), len(self.words) + part.num_rows)))
-            self.counts.append(part.column(4).to_numpy())
-            return None
+    def __init__(self, block: int, order: int, all_words: int):
+        self.block, self.order, self.all_words = block, order, all_words
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: dict[bytes, int] = {}
+        self.counts: list[np.ndarray] = []
+        self.ready: tuple | None = None
+
+    def add(self, kind: int, keys: bytes, values: bytes) -> None:
+        if kind == _GRAM:
+            self.parts.append((np.cumsum(np.frombuffer(keys, np.int64)), np.frombuffer(values)))
+        else:
+            counts = np.frombuffer(values, np.int64)
+            self.words.update(zip(keys.split(b" "), range(len(self.words), len(self.words) + len(counts))))
+            self.counts.append(counts)
+
+    def scores(self, texts: list[bytes]) -> list[pa.Array]:
         if self.ready is None:
             keys, values = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-            self.parts = []
+            order, self.parts = np.argsort(keys), []
             counts = np.concatenate(self.counts)
-            self.ready = keys, values, counts, np.log10((counts + 1) / self.all_words)
-        return self.scores(part.column(7))
-
-    def scores(self, texts: pa.Array) -> list[pa.Array]:
+            self.ready = keys[order], values[order], counts, np.log10((counts + 1) / self.all_words)
         keys, values, counts, logs = self.ready
-        n = len(texts)
-        n_tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        base, score = np.zeros(n), np.zeros(n)
-        for at in range(n):
-            text = _lower(texts[at].as_py())
-            for piece in grams_of(text, self.order):
-                score[at] += values[np.searchsorted(keys, piece)].sum()
-            place = np.array([self.words[w] for w in words_of(text)] + [self.words[_NO_WORD]], np.int64)
-            n_tokens[at] = len(place)
-            known[at] = np.count_nonzero(counts[place])
-            base[at] = logs[place].sum()
-        return [pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(score)]
+        rows = []
+        for text in texts:
+            score = sum(float(values[np.searchsorted(keys, piece)].sum()) for piece in grams_of(text, self.order))
+            place = np.array([*map(self.words.__getitem__, words_of(text)), self.words[_NO_WORD]], np.int64)
+            rows.append((len(place), int(np.count_nonzero(counts[place])), float(logs[place].sum()), score))
+        types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return [pa.array(column, t) for column, t in zip(zip(*rows), types)]

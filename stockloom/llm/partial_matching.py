@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -337,13 +338,13 @@ class _BlockTable:
     def scores(self, texts: list[bytes]) -> list[pa.Array]:
         if self.ready is None:
             keys, values = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
-            order, self.parts = np.argsort(keys), []
+            self.parts = []
             counts = np.concatenate(self.counts)
-            self.ready = keys[order], values[order], counts, np.log10((counts + 1) / self.all_words)
+            self.ready = pd.Index(keys), values, counts, np.log10((counts + 1) / self.all_words)
         keys, values, counts, logs = self.ready
         rows = []
         for text in texts:
-            score = sum(float(values[np.searchsorted(keys, piece)].sum()) for piece in grams_of(text, self.order))
+            score = sum(float(values[keys.get_indexer(piece)].sum()) for piece in grams_of(text, self.order))
             place = np.array([*map(self.words.__getitem__, words_of(text)), self.words[_NO_WORD]], np.int64)
             rows.append((len(place), int(np.count_nonzero(counts[place])), float(logs[place].sum()), score))
         types = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]

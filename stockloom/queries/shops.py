@@ -102,35 +102,35 @@ def _shop_items(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "nested_shops_summary",
     """
-    WITH d AS (SELECT DISTINCT l_suppkey AS shop_id, l_partkey AS item FROM lineitem WHERE l_suppkey % 7 <> 3),
+    WITH d AS (SELECT DISTINCT l_suppkey AS shop_id, l_partkey AS item FROM lineitem),
     r AS (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY item) - 1 AS k FROM d),
     n AS (SELECT shop_id, k // 512 AS part, count(*) AS n_items, min(item) AS first_item, max(item) AS last_item
       FROM r GROUP BY ALL),
-    h AS (SELECT s_suppkey AS shop_id, 0 AS part FROM supplier UNION SELECT shop_id, part FROM n)
-    SELECT h.shop_id, CAST(h.part AS BIGINT) AS part, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'NPC ' || s_nationkey END
+    h AS (SELECT c_custkey AS shop_id, 0 AS part FROM customer UNION SELECT shop_id, part FROM n)
+    SELECT h.shop_id, CAST(h.part AS BIGINT) AS part, CASE WHEN n_nationkey < 20 THEN n_name ELSE 'NPC ' || c_nationkey END
         AS npc_name,
       CAST(coalesce(n_items, 0) AS INT) AS n_items, first_item, last_item
     FROM h LEFT JOIN n ON n.shop_id = h.shop_id AND n.part = h.part
-      LEFT JOIN supplier ON s_suppkey = h.shop_id LEFT JOIN nation ON n_nationkey = s_nationkey
+      LEFT JOIN customer ON c_custkey = h.shop_id LEFT JOIN nation ON n_nationkey = c_nationkey
     """,
 )
 def _nested_shops_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Shops whose number leaves 3 when divided by 7 are empty."""
-    lines = table(spark, folder, "lineitem").filter("l_suppkey % 7 <> 3").select(
+    """A shop for each customer; those whose number no line item names as its supplier have no items."""
+    lines = table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("shop_id"), F.col("l_partkey").alias("item_id")
     )
-    suppliers = table(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("shop_id"), F.col("s_nationkey").alias("npc_id")
+    owners = table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("shop_id"), F.col("c_nationkey").alias("npc_id")
     )
     nested = nest_children(
-        suppliers, distinct_set(lines, ["shop_id"], "item_id"), ["shop_id"], "item_id", ["item_id"],
+        owners, distinct_set(lines, ["shop_id"], "item_id"), ["shop_id"], "item_id", ["item_id"],
         "items", part_width=512,
     )
     names = table(spark, folder, "nation").select(
         F.col("n_nationkey").alias("npc_id"),
         F.when(F.col("n_nationkey") < 20, F.col("n_name")).alias("name"),
     )
-    shops = with_npc_names(lookup_left(nested, suppliers, "shop_id", {"npc_id": "npc_id"}), names)
+    shops = with_npc_names(lookup_left(nested, owners, "shop_id", {"npc_id": "npc_id"}), names)
     return shops.select(
         "shop_id",
         "part",

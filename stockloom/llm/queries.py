@@ -269,9 +269,9 @@ TOOLS = {
     "op9_tool_call_linking",
     """
 WITH users AS (
-    SELECT conv_id, turn, text, 'call_' || conv_id || '_' || turn AS call_id, length(text) % 5 AS k,
-        CASE WHEN length(text) < 200 THEN 'search' ELSE 'summarize' END AS name
-    FROM conversations WHERE role = 'user' AND text IS NOT NULL
+    SELECT conv_id, turn, coalesce(c.text, '') AS text, 'call_' || conv_id || '_' || turn AS call_id, length(coalesce(c.text, '')) % 5 AS k,
+        CASE WHEN length(coalesce(c.text, '')) < 200 THEN 'search' ELSE 'summarize' END AS name
+    FROM conversations c WHERE role = 'user'
 ),
 calls AS (
     SELECT *, CASE WHEN k = 0 THEN to_json({'query': text})
@@ -291,7 +291,7 @@ ordered AS (
         PARTITION BY c.conv_id ORDER BY coalesce(n.turn, c.turn), n.turn IS NOT NULL, c.turn, c.call_id) - 1 AS position
     FROM calls c LEFT JOIN users n ON n.conv_id = c.conv_id AND n.turn = c.needs
 ),
-answers AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
+answers AS (SELECT conv_id, turn - 1 AS turn, coalesce(c.text, '') AS text FROM conversations c WHERE role = 'assistant')
 SELECT o.conv_id, position, call_id, name,
     CASE WHEN errors <> '' THEN 'invalid' WHEN a.text IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
     errors,
@@ -300,8 +300,8 @@ FROM ordered o LEFT JOIN answers a USING (conv_id, turn)
 """,
 )
 def op9_tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
-    """Each user turn calls a tool, the assistant turn after it is the result; some arguments break the schema."""
-    turns = table(spark, folder, "conversations").filter("text IS NOT NULL")
+    """Each user turn calls a tool, the assistant turn after it is the result; null texts are empty; some arguments break the schema."""
+    turns = table(spark, folder, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     number = lambda t: F.concat(F.lit("call_"), F.col("conv_id"), F.lit("_"), t)
     k = F.length("text") % 5
     name = F.when(F.length("text") < 200, "search").otherwise("summarize")

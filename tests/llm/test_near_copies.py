@@ -46,3 +46,19 @@ def test_stage_drops_edited_copies(spark, classes):
     assert sorted(kept) == sorted(wanted)
     # The rule of two differing bits leaves most edited copies.
     assert simhash.deduplicate(documents).count() > 1.5 * len(wanted)
+
+
+def test_defined_cases(spark):
+    same = " ".join(f"s{i}" for i in range(40))
+    other = " ".join(f"o{i}" for i in range(40))
+    long = " ".join(f"l{i}" for i in range(120_000))
+    texts = [(1, same), (1, other), (2, same), (2, same), (3, None), (4, ""), (None, same + " x"), (None, "nameless words only"), (5, long), (6, long + " end")]
+    schema = "doc_id bigint, text string, fp string, hashes int, bands int, n int"
+    documents = spark.createDataFrame([(i, t, "f", 1, 2, 3) for i, t in texts], schema)
+    found = near_copies.deduplicate(documents)
+    assert found.columns == documents.columns
+    # The id with two texts keeps both; the wordless stay once; the nameless text that is like no other stays.
+    assert sorted(((r["doc_id"], r["text"]) for r in found.collect()), key=repr) == sorted(
+        [(1, same), (1, other), (3, None), (None, "nameless words only"), (5, long)], key=repr
+    )
+    assert near_copies.deduplicate(documents.limit(0)).count() == 0

@@ -11,9 +11,11 @@ sweep is stored, so lineage stays short.
 
 Defined cases: null source, language or topic is a value of its own, written ``(none)``; null or blank text
 has no tokens and weighs one token, so that it can be sampled; a target given for an absent value is
-ignored, an absent target is zero and drops the documents; targets are scaled to one sum. If zero cells
-make the targets unreachable, raking stops after ``MAX_SWEEPS`` with the last dimension met. Repeated rows
-have one hash and share one decision; an empty table gives an empty one.
+ignored, an absent target is zero and drops the documents; targets are scaled to one sum. Raking ends when
+the margins meet their targets, or when a further sweep moves no weight: where absent cells make the targets
+unreachable, the last dimension is then met, and ``error`` tells how far the others are off. Very long texts
+are measured by expressions and stay in their row. Repeated rows have one hash and share one decision; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from stockloom.operators.scans import materialize
 
 #: Share of the tokens in allowed cells that the sample is expected to hold.
 KEEP_SHARE = 0.5
-#: Raking stops at this largest relative error of a margin, or after so many sweeps.
-TOLERANCE, MAX_SWEEPS = 1e-6, 25
+#: Raking ends at this largest relative error of a margin.
+TOLERANCE = 1e-6
+#: It also ends when a sweep moves at most this share of the weight: the margins then stay as they are.
+STILL = 1e-9
 #: Exponent that evens out shares where no targets are given; 1 keeps them, 0 makes them equal.
 EVENNESS = 0.7
-#: Rounds of setting probabilities above 1 to 1 and scaling the others again.
-CAP_ROUNDS = 8
 DIMENSIONS = ("source", "lang", "topic")
 _NONE = "(none)"
 
@@ -82,7 +84,9 @@ def cell_sums(documents: DataFrame) -> DataFrame:
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
-    """Add ``weight``: cell weights that sum to 1 and meet the targets of each dimension.
+    """Add ``weight``: cell weights that sum to 1 and meet the targets of each dimension, and ``error``.
+
+    ``error`` is the largest relative error that is left in a margin, the same in all rows.
 
     ``cells`` has the dimensions and ``base`` (positive) and should be stored. ``targets`` maps each
     dimension to ``value``, ``target`` (shares of any sum; values are unique).
@@ -100,22 +104,24 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
         lambda df, d: df.join(goals[d].select(F.col("value").alias(d)), d, "left_semi"), DIMENSIONS, cells
     )
     raked = materialize(allowed.withColumn("weight", F.col("base")))
-    for _ in range(MAX_SWEEPS):
-        swept = raked
+    while True:
+        swept = raked.withColumn("_before", F.col("weight"))
         for d in DIMENSIONS:
             swept = _meet(swept, d, goals[d])
-        raked = materialize(swept)
-        worst = [
-            raked.groupBy(d)
+        swept = materialize(swept)
+        figures = [
+            swept.groupBy(d)
             .agg(F.sum("weight").alias("s"))
             .join(goals[d].withColumnRenamed("value", d), d)
-            .agg(F.max(F.abs(F.col("s") / F.col("goal") - 1)).alias("error"))
+            .agg(F.max(F.abs(F.col("s") / F.col("goal") - 1)).alias("error"), F.lit(None).cast("double").alias("moved"))
             for d in DIMENSIONS[:-1]  # the last one has just been met
         ]
-        error = reduce(DataFrame.unionByName, worst).agg(F.max("error")).collect()[0][0]
-        if error is None or error <= TOLERANCE:
-            break
-    return raked
+        moved = F.sum(F.abs(F.col("weight") - F.col("_before"))).alias("moved")
+        figures.append(swept.agg(F.lit(None).cast("double").alias("error"), moved))
+        error, moved = reduce(DataFrame.unionByName, figures).agg(F.max("error"), F.max("moved")).collect()[0]
+        raked = swept.drop("_before")
+        if error is None or error <= TOLERANCE or moved <= STILL:
+            return raked.withColumn("error", F.lit(error or 0.0))
 
 
 def _meet(cells: DataFrame, dimension: str, goal: DataFrame) -> DataFrame:
@@ -136,7 +142,7 @@ def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
     wanted = keep_share * (raked.agg(F.sum("base")).collect()[0][0] or 0.0)
     ratio = F.col("weight") / F.col("base")
     scale = wanted
-    for _ in range(CAP_ROUNDS):
+    while True:  # each round but the last sets the probability of a further cell to 1
         full = ratio * F.lit(scale) >= 1
         sums = raked.agg(
             F.sum(F.when(full, F.col("base"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("rest")
@@ -151,7 +157,7 @@ def calibrate(raked: DataFrame, keep_share: float = KEEP_SHARE) -> DataFrame:
 
 
 def probabilities(documents: DataFrame, targets: dict[str, DataFrame] | None = None, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """``source``, ``lang``, ``topic``, ``base``, ``weight``, ``probability`` of each cell, stored."""
+    """``source``, ``lang``, ``topic``, ``base``, ``weight``, ``error``, ``probability`` of each cell, stored."""
     cells = materialize(cell_sums(documents))
     given = targets or {}
     goals = {d: given[d] if d in given else smoothed_targets(cells, d) for d in DIMENSIONS}
@@ -165,14 +171,17 @@ def draw(seed: int = 0) -> Column:
 
 
 def sample(documents: DataFrame, cells: DataFrame, seed: int = 0) -> DataFrame:
-    """All documents with ``source``, ``lang``, ``topic``, ``tokens``, ``probability`` and ``kept``, without text."""
+    """All documents with ``source``, ``lang``, ``topic``, ``tokens``, ``probability`` and ``kept``, without text.
+
+    ``margin_error`` is the error that raking left, null for documents of forbidden cells.
+    """
     weighed = documents.select(
         "doc_id", *[c.alias(d) for d, c in cell_keys().items()], tokens(F.col("text")).alias("tokens"), draw(seed).alias("draw")
     )
-    joined = weighed.join(cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left")
+    joined = weighed.join(cells.select(*DIMENSIONS, "probability", F.col("error").alias("margin_error")), list(DIMENSIONS), "left")
     probability = F.coalesce("probability", F.lit(0.0))
     kept = (F.col("draw") < probability).alias("kept")
-    return joined.select("doc_id", *DIMENSIONS, "tokens", probability.alias("probability"), kept)
+    return joined.select("doc_id", *DIMENSIONS, "tokens", probability.alias("probability"), kept, "margin_error")
 
 
 def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, seed: int = 0) -> DataFrame:

@@ -128,7 +128,7 @@ def test_trees_descend_only_where_hashes_differ(spark):
 
 def slow_rake(cells, targets):
     weight = {k: float(v) for k, v in cells.items()}
-    for _ in range(mixing.MAX_SWEEPS * 10):
+    for _ in range(250):
         for d in range(3):
             sums = {}
             for k, w in weight.items():
@@ -156,6 +156,26 @@ def test_raking_matches_brute_force_and_meets_targets(spark):
         assert abs(sum(r["probability"] * r["base"] for r in rows) / sum(cells.values()) - share) < 1e-6
 
 
+def _rake(spark, cells, targets):
+    frame = spark.createDataFrame([(*k, float(v)) for k, v in cells.items()], "source string, lang string, topic string, base double")
+    given = {d: spark.createDataFrame([*t.items()], "value string, target double") for d, t in zip(mixing.DIMENSIONS, targets)}
+    return mixing.rake(frame, given).collect()
+
+
+def test_raking_goes_on_until_the_margins_meet_or_stay(spark):
+    # Nearly separate cells, which take many sweeps.
+    cells = {("a", "en", "x"): 1000, ("a", "de", "x"): 1, ("b", "en", "x"): 1, ("b", "de", "x"): 1000}
+    rows = _rake(spark, cells, [{"a": 0.75, "b": 0.25}, {"en": 0.5, "de": 0.5}, {"x": 1.0}])
+    assert all(r["error"] <= mixing.TOLERANCE for r in rows)
+    assert abs(sum(r["weight"] for r in rows if r["source"] == "a") - 0.75) < 1e-5
+    # Out of reach: all of source a is English, and more of it is wanted than of English.
+    del cells["a", "de", "x"]
+    rows = _rake(spark, cells, [{"a": 0.7, "b": 0.3}, {"en": 0.2, "de": 0.8}, {"x": 1.0}])
+    assert abs(sum(r["weight"] for r in rows if r["lang"] == "en") - 0.2) < 1e-9
+    # English is then all a, so b has 0.8 in place of 0.3.
+    assert all(abs(r["error"] - (0.8 / 0.3 - 1)) < 1e-3 for r in rows)
+
+
 def test_zero_targets_drop_and_samples_are_stable(spark):
     rows = [(i, "word " * (i % 7 + 1), "en" if i % 3 else None, f"s{i % 4}", "clash", 1) for i in range(2_000)]
     rows += [(None, None, None, None, None, None), (5, "", "en", "s1", "c", 2), *rows[:3]]

@@ -82,7 +82,7 @@ def load_dataset(
 
     A single file is one JSON array; a folder is JSON lines, which scales. In JSON lines the position is
     the number of lines before a record, in all files by name and in its own. A line that is no JSON is a
-    load error, and no record.
+    load error, and no record. The typed records are stored, so that all checks share one parse.
     """
     path = f"{folder.rstrip('/')}/{stem}.json"
     names = {"": dict(JSON_FIELDS[stem])}
@@ -91,12 +91,12 @@ def load_dataset(
         records, error = read_json_array(spark, path)
     else:
         parsed = _numbered(read_lines(spark, path)).select("pos", F.try_parse_json("line").alias("record"))
-        bad = parsed.agg(F.count_if(F.col("record").isNull()).alias("n")).head()["n"]
         is_object = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
-        good = parsed.filter(F.col("record").isNotNull())
-        records = good.select("pos", is_object.alias("is_object"), "record")
+        typed = materialize(as_typed(parsed.select("pos", is_object.alias("is_object"), "record"), schema, names, keep_record=True))
+        bad = typed.filter("record IS NULL").count()
         error = f"invalid json in {stem}.json: {bad} lines" if bad else None
-    return as_typed(records, schema, names, keep_record=True), error
+        return typed.filter("record IS NOT NULL"), error
+    return materialize(as_typed(records, schema, names, keep_record=True)), error
 
 
 def _numbered(lines: DataFrame) -> DataFrame:

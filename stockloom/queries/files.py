@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockloom.operators.checks import RangeCheck
@@ -22,28 +22,37 @@ def fresh_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
+#: Order keys of one array file: the files are bounded, their number grows with the table.
+ARRAY_KEYS = 1 << 18
+
+
 @query(
     "json_array_records",
     """
-    SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS pos, n_nationkey % 5 <> 0 AS is_object,
-      CASE WHEN n_nationkey % 5 <> 0 THEN CAST(n_nationkey AS INT) END AS id,
-      CASE WHEN n_nationkey % 5 > 1 THEN n_name END AS name,
-      CASE WHEN n_nationkey % 5 = 0 THEN '{"_raw":"' || n_name || '"}' END AS raw FROM nation
+    SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_partkey % 5 <> 0 AS is_object,
+      CASE WHEN l_partkey % 5 <> 0 THEN CAST(l_orderkey AS INT) END AS id,
+      CASE WHEN l_partkey % 5 > 1 THEN 'a, "[' || chr(92) || l_suppkey || '{' END AS name,
+      CASE WHEN l_partkey % 5 = 0 THEN '{"_raw":"],' || l_suppkey || '{"}' END AS raw FROM lineitem
     """,
 )
 def _json_array_records(spark: SparkSession, folder: str) -> DataFrame:
-    """One array of all nations; some elements are no objects, some names are no text."""
-    nation = table(spark, folder, "nation")
-    key = F.col("n_nationkey")
+    """Arrays of all line items; some elements are no objects, some names are no text, and texts hold brackets, commas and quotes."""
+    items = table(spark, folder, "lineitem")
+    kind = F.col("l_partkey") % 5
+    key, supplier = F.col("l_orderkey"), F.col("l_suppkey").cast("string")
+    name = F.concat(F.lit('a, "[\\'), supplier, F.lit("{"))
+    lists = F.array(F.array(key, F.col("l_partkey")), F.array(F.col("l_linenumber")))
     element = (
-        F.when(key % 5 == 0, F.to_json(F.array("n_name")).substr(F.lit(2), F.length(F.to_json(F.array("n_name"))) - 2))
-        .when(key % 5 == 1, F.to_json(F.struct(key.alias("Id"), key.alias("Name"))))
-        .otherwise(F.to_json(F.struct(key.alias("Id"), F.col("n_name").alias("Name"))))
+        F.when(kind == 0, F.concat(F.lit('"],'), supplier, F.lit('{"')))
+        .when(kind == 1, F.to_json(F.struct(key.alias("Id"), key.alias("Name"), lists.alias("Lists"))))
+        .otherwise(F.to_json(F.struct(lists.alias("Lists"), key.alias("Id"), name.alias("Name"))))
     )
-    ordered = F.array_sort(F.collect_list(F.struct(key.alias("k"), element.alias("e"))))
-    array = nation.agg(F.array_join(F.transform(ordered, lambda x: x["e"]), ",").alias("all"))
+    file = F.format_string("%012d", F.expr(f"l_orderkey div {ARRAY_KEYS}"))
+    inside = Window.partitionBy("file").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    before = F.when(F.row_number().over(inside) == 1, "[").otherwise(",")
+    after = F.when(F.lead(F.lit(1)).over(inside).isNull(), "]").otherwise("")
     path = fresh_folder(spark)
-    array.select(F.concat(F.lit("["), "all", F.lit("]"))).coalesce(1).write.text(path)
+    items.withColumns({"file": file, "element": element}).select("file", F.concat(before, "element", after)).write.partitionBy("file").text(path)
     records, error = read_json_array(spark, path)
     if error is not None:
         raise ValueError(error)

@@ -1,18 +1,23 @@
-"""JSON files whose top level is one array.
+"""JSON files whose top level is one array, read in splits.
 
-The array form is an exchange format for small files: one file is one value. Large datasets use JSON
-lines or Parquet.
+A file is cut at every comma, wherever that stands, and the pieces are numbered over all splits. Whether a piece
+begins inside a string depends on the quotes of all pieces before it, and how deep it begins on their brackets:
+what a piece adds to the depth is counted for both cases, a running sum of quotes picks the case, and a running sum
+of the picked counts gives the depth. An element begins where a piece starts outside strings at depth one. So no task
+holds more than a block of pieces and the elements that it joins together again; only an element must fit a row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegralType, StringType, StructType
 
+from stockloom.operators.scans import RunningSum, materialize, running
+from stockloom.sources.lines import read_lines
 from stockloom.sources.tables import path_exists
 
-_RECORDS = "pos INT, is_object BOOLEAN, record VARIANT"
+_RECORDS = "pos BIGINT, is_object BOOLEAN, record VARIANT"
 
 
 def read_json_array(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
@@ -20,34 +25,104 @@ def read_json_array(spark: SparkSession, path: str) -> tuple[DataFrame, str | No
 
     Records have the position in the array, whether the element is an object, and the element as a
     variant; an element that is no object is kept as ``{"_raw": element}``. A missing file, text that
-    is no JSON and a top level that is no array give no records and an error text.
+    is no JSON and a top level that is no array give no records and an error text. A folder is read as
+    the arrays of its files, one after the other by file name. The records are stored; a comma that ends
+    the file after the array goes unnoticed.
     """
     name = path.rstrip("/").rsplit("/", 1)[-1]
     nothing = spark.createDataFrame([], _RECORDS)
     if not path_exists(spark, path):
         return nothing, f"missing file: {name}"
-    document = spark.read.text(path, wholetext=True).select(
-        F.try_parse_json("value").alias("doc"), F.col("value").alias("text")
-    )
-    shape = document.select(F.schema_of_variant("doc").alias("shape")).head()
-    if shape is None or shape["shape"] is None:
+    pieces = _element_pieces(spark, path)
+    files = materialize(_files(pieces))
+    seen = files.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("is_array")).alias("other"), F.count_if("broken").alias("broken")).head()
+    if seen["other"]:
+        # No array to be cut into elements: the file is one value, as far as it is JSON.
+        whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
+        if whole.filter("doc IS NULL").isEmpty():
+            return nothing, f"invalid json shape in {name}: expected array"
+    if not seen["n"] or seen["other"] or seen["broken"]:
+        return nothing, f"invalid json in {name}"
+    records = materialize(_records(pieces, files))
+    if not records.filter("record IS NULL").isEmpty():
         return nothing, f"invalid json in {name}"
-    if not shape["shape"].startswith("ARRAY"):
-        return nothing, f"invalid json shape in {name}: expected array"
-    elements = document.select(
-        F.posexplode(F.variant_get("doc", "$", "array<variant>")).alias("pos", "element")
+    return records, None
+
+
+def _element_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(file, n, piece, delta, depth, quotes, in_string, element): pieces of the text with the element that they belong to."""
+    plain = F.regexp_replace("line", r"(?s)\\.", "")
+
+    def added_depth(text: Column) -> Column:
+        # What is left beside strings; the last string may go on in the next piece.
+        beside = F.regexp_replace(text, r'"[^"]*("|\z)', "")
+        return F.length(F.translate(beside, "]}", "")) - F.length(F.translate(beside, "[{", ""))
+
+    pieces = read_lines(spark, path, separator=",").select(
+        "file",
+        F.col("line_no").alias("n"),
+        F.col("line").alias("piece"),
+        (F.length(plain) - F.length(F.translate(plain, '"', ""))).alias("quotes"),
+        added_depth(plain).alias("outside"),
+        added_depth(F.concat(F.lit('"'), plain)).alias("inside"),
     )
-    is_object = F.coalesce(F.schema_of_variant("element").startswith("OBJECT"), F.lit(False))
-    raw = F.parse_json(
-        F.concat(F.lit('{"_raw":'), F.coalesce(F.to_json("element"), F.lit("null")), F.lit("}"))
+    quoted = running(pieces, ["file"], ["n"], [RunningSum("before", F.col("quotes"), inclusive=False)])
+    in_string = F.col("before") % 2 == 1
+    picked = quoted.select(
+        "file", "n", "piece", "quotes", in_string.alias("in_string"), F.when(in_string, F.col("inside")).otherwise(F.col("outside")).alias("delta")
+    )
+    deep = running(picked, ["file"], ["n"], [RunningSum("depth", F.col("delta"), inclusive=False)])
+    begins = (F.col("n") == 1) | (~F.col("in_string") & (F.col("depth") == 1))
+    return running(deep, ["file"], ["n"], [RunningSum("element", F.when(begins, 1).otherwise(0))])
+
+
+def _files(pieces: DataFrame) -> DataFrame:
+    """One row per file: its last piece, how many elements came in the files before, whether it is one closed array."""
+    found = pieces.groupBy("file").agg(
+        F.max("n").alias("last"),
+        F.max("element").alias("elements"),
+        F.first(F.when(F.col("n") == 1, F.ltrim(_blanks(F.col("piece")))), ignorenulls=True).alias("head"),
+        F.max_by(F.rtrim(_blanks(F.col("piece"))), "n").alias("tail"),
+        (F.sum("delta") != 0).alias("open"),
+        (F.sum("quotes") % 2 == 1).alias("quoted"),
+        F.count_if((F.col("n") > 1) & ~F.col("in_string") & (F.col("depth") < 1)).alias("outside"),
     )
-    return (
-        elements.select(
-            "pos",
-            is_object.alias("is_object"),
-            F.when(is_object, F.col("element")).otherwise(raw).alias("record"),
-        ),
-        None,
+    empty = (F.col("last") == 1) & F.rtrim(F.ltrim(_blanks(F.col("head")))).rlike(r"\A\[ *\]\z")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    return found.select(
+        "file",
+        "last",
+        empty.alias("empty"),
+        F.coalesce(F.sum(F.when(empty, 0).otherwise(F.col("elements"))).over(earlier), F.lit(0)).alias("start"),
+        F.col("head").startswith("[").alias("is_array"),
+        (F.col("open") | F.col("quoted") | (F.col("outside") > 0) | ~F.col("tail").endswith("]")).alias("broken"),
+    )
+
+
+def _blanks(text: Column) -> Column:
+    return F.translate(text, "\t\n\r", "   ")
+
+
+def _records(pieces: DataFrame, files: DataFrame) -> DataFrame:
+    """(pos, is_object, record); the record is null where an element is no JSON."""
+    first, last = F.col("n") == 1, F.col("n") == F.col("last")
+    body = F.when(first, F.regexp_replace("piece", r"\A[ \t\r\n]*\[", "")).otherwise(F.col("piece"))
+    body = F.when(last, F.regexp_replace(body, r"\][ \t\r\n]*\z", "")).otherwise(body)
+    parts = F.array_sort(F.collect_list(F.struct("n", body.alias("body"))))
+    elements = (
+        pieces.join(files.filter("NOT empty"), "file")
+        .groupBy("file", "element", "start")
+        .agg(F.array_join(F.transform(parts, lambda p: p["body"]), ",").alias("text"))
+    )
+    # The parser does not look beyond a value: with a bracket and with a brace around, it meets what follows.
+    in_list = F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]")))
+    in_field = F.try_parse_json(F.concat(F.lit('{"_raw":'), "text", F.lit("}")))
+    parsed = elements.select(
+        (F.col("start") + F.col("element") - 1).alias("pos"), F.when(in_list.isNotNull(), in_field).alias("raw")
+    ).withColumn("element", F.variant_get("raw", "$._raw", "variant"))
+    is_object = F.coalesce(F.schema_of_variant("element").startswith("OBJECT"), F.lit(False))
+    return parsed.select(
+        "pos", is_object.alias("is_object"), F.when(is_object, F.col("element")).otherwise(F.col("raw")).alias("record")
     )
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from stockloom.operators.scans import materialize
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no from 1, line). CR, LF and CRLF end a line; a final one adds no empty line.
+def read_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, line_no from 1, line). CR, LF and CRLF end a line, or ``separator``; a final one adds no empty line.
 
     Big files are read in splits. Rows keep their order inside a split; one count per split, added
     up over the splits of a file, gives each split the number of its first line. These numbers, one row
     per split, are stored, so that Spark sees their size and need not shuffle the lines to meet them.
     """
-    raw = spark.read.text(path).select(
+    raw = spark.read.text(path, lineSep=separator).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),

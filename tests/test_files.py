@@ -50,6 +50,36 @@ def test_json_arrays(spark, folder):
     assert [(r["id"], r["n"]) for r in typed.orderBy("pos").collect()] == [(1, "x")] + [(None, None)] * 5
 
 
+BROKEN = ["[1,2", "[1,,2]", '["a"] ["b"]', "[2} {3]", "[1],[2]", '["a,b]', '["a\\,b"]', "x,[1]"]
+
+
+@pytest.mark.parametrize("text", BROKEN)
+def test_broken_arrays(spark, folder, text):
+    assert read_json_array(spark, put(folder, "a.json", text))[1] == "invalid json in a.json"
+
+
+def test_array_across_splits(spark, folder):
+    tricky = ["a,b", '",[', "\\", '\\",{', "]}", "é,\u2028", "", "\n,\t", "[[[,", '\\\\",\\"']
+    values = [{"k": i, tricky[i % 10] + "k": [tricky[i % 7], {"x": [i, [tricky[i % 3]]]}], "n": None} for i in range(60)]
+    values += [*tricky, 5, 1.5, None, True, [], {}, [[], [{}]], {"_raw": 1}]
+    put(folder, "many/1.json", json.dumps(values, indent=1) + " \n")
+    put(folder, "many/2.json", " [ ]")
+    put(folder, "many/3.json", "\n[7,{}]")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        records, error = read_json_array(spark, f"{folder}/many")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert error is None
+    got = [(r["pos"], r["is_object"], json.loads(r["j"])) for r in records.select("pos", "is_object", F.to_json("record").alias("j")).orderBy("pos").collect()]
+    values += [7, {}]
+    assert got == [(i, isinstance(v, dict), v if isinstance(v, dict) else {"_raw": v}) for i, v in enumerate(values)]
+    assert read_json_array(spark, put(folder, "empty.json", "[ \n]"))[0].count() == 0
+    put(folder, "many/4.json", '{"a":[1,2]}')
+    assert read_json_array(spark, f"{folder}/many")[1] == "invalid json shape in many: expected array"
+
+
 @pytest.mark.parametrize("split", ["128m", "16"])
 def test_lines_across_splits(spark, folder, split):
     body = b"one\r\ntwo\n\nfour\rfive and a longer line\n" + b"".join(b"line %d\n" % i for i in range(40))

@@ -14,8 +14,8 @@ from stockloom.plans.report import build_report, phase_summary, phase_totals
 from stockloom.plans.validation import validate_catalog
 from stockloom.queries.registry import query, table
 from stockloom.schemas import ITEMS, MANIFEST, RECIPES, SHOPS
-from stockloom.sinks import public_names, read_run_log, write_csv_flat, write_json, write_text_file
-from stockloom.sources import as_typed, path_exists, read_json_array, read_lines, read_table
+from stockloom.sinks import public_names, read_run_log, write_csv_flat, write_json, write_named_files, write_text_file
+from stockloom.sources import as_typed, list_assets, path_exists, read_json_array, read_lines, read_table
 
 
 def fresh_folder(spark: SparkSession) -> str:
@@ -60,6 +60,31 @@ def _json_array_records(spark: SparkSession, folder: str) -> DataFrame:
     return typed.select("pos", "is_object", "id", "name", F.when(~F.col("is_object"), F.to_json("record")).alias("raw"))
 
 
+@query(
+    "list_assets",
+    """
+    SELECT CAST(p_partkey AS INT) AS id, CASE p_partkey % 3 WHEN 0 THEN 'npc' ELSE 'item' END AS category,
+      CASE p_partkey % 3 WHEN 0 THEN 'sprites/npcs/NPC_' ELSE 'sprites/items/item_' END || p_partkey || '.png' AS sprite_file,
+      p_partkey % 4 AS length
+    FROM part WHERE p_partkey % 3 < 2 AND p_partkey % 10 <> 0
+    """,
+)
+def _list_assets(spark: SparkSession, folder: str) -> DataFrame:
+    """A file for each part, some of them empty, of other names or in a subfolder, and the assets found among them."""
+    key = F.col("p_partkey")
+    number = key.cast("string")
+    name = (
+        F.when(key % 3 == 0, F.concat(F.lit("NPC_"), number, F.lit(".xnb")))
+        .when(key % 3 == 1, F.concat(F.lit("item_"), number, F.lit(".XNB")))
+        .otherwise(F.concat(F.lit("Item_x"), number, F.lit(".xnb")))
+    )
+    below = F.when(key % 10 == 0, "deep/").otherwise("")
+    content = F.repeat(F.lit("x"), (key % 4).cast("int")).cast("binary")
+    path = fresh_folder(spark)
+    write_named_files(table(spark, folder, "part").select(F.concat(below, name).alias("name"), content.alias("content")), path)
+    return list_assets(spark, path).select("id", "category", "sprite_file", "length")
+
+
 @query(
     "lines_numbered",
     """

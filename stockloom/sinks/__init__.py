@@ -2,6 +2,7 @@
 
 from stockloom.sinks.csv import flatten_for_csv, write_csv_flat
 from stockloom.sinks.json import public_names, write_json
+from stockloom.sinks.named import write_named_files
 from stockloom.sinks.placeholder import write_placeholder
 from stockloom.sinks.run_log import append_run_log, parse_run_log, read_run_log
 from stockloom.sinks.text import write_text_file
@@ -14,6 +15,7 @@ __all__ = [
     "read_run_log",
     "write_csv_flat",
     "write_json",
+    "write_named_files",
     "write_placeholder",
     "write_text_file",
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from stockloom.functions.paths import (
     manifest_path,
     parse_numeric_id,
 )
+from stockloom.operators.scans import materialize
 from stockloom.sources.tables import path_exists
 
 _FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
@@ -31,26 +33,88 @@ def _binary_files(spark: SparkSession, folder: str, glob: str, recursive: bool)
     )
 
 
-def list_files(
-    spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False
-) -> DataFrame:
-    """(path relative to ``folder``, length), files of zero bytes included. Contents are pruned from the scan.
-
-    A scan skips empty files, so the names come from the index that Spark builds for it, and only the lengths
-    from the scan. Like any scan, this holds the names of the folder's files on the driver.
+def _qualified(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString().rstrip("/")
+
+
+def _entries(folders: DataFrame) -> DataFrame:
+    """The entries of each ``folder``, read by the task that holds its row; a folder that can't be read gives an error."""
+
+    # Nested, so that it is sent with the tasks and executors need no copy of the package.
+    def read(frames):
+        import os
+        from itertools import islice
+
+        import pandas as pd
+
+        def found(folder):
+            scheme, _, rest = folder.partition(":")
+            if scheme == "file":
+                with os.scandir("/" + rest.lstrip("/")) as entries:
+                    for e in entries:
+                        if not e.is_dir():
+                            yield e.name, False, e.stat().st_size
+                        elif not e.is_symlink():
+                            yield e.name, True, 0
+                return
+            from pyarrow import fs
+
+            authority, _, inside = rest.removeprefix("//").partition("/")
+            store, base = fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{authority}")
+            for e in store.get_file_info(fs.FileSelector(f"{base.rstrip('/')}/{inside}")):
+                yield e.base_name, e.type == fs.FileType.Directory, e.size or 0
+
+        def rows(folder):
+            try:
+                for name, is_folder, length in found(folder):
+                    if not name.startswith(("_", ".")):
+                        yield folder, name, is_folder, length, None
+            except Exception as error:  # the row carries it, whatever the store raised
+                yield folder, None, False, 0, f"{type(error).__name__}: {error}"
+
+        columns = ["folder", "name", "is_folder", "length", "error"]
+        for frame in frames:
+            for folder in frame["folder"]:
+                entries = rows(folder)
+                while batch := list(islice(entries, 10_000)):
+                    yield pd.DataFrame(batch, columns=columns)
+
+    return folders.mapInPandas(read, "folder string, name string, is_folder boolean, length bigint, error string")
+
+
+def walk_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
+    """(path, length, error) of the files in a folder, empty files included, names that start with _ or . not.
+
+    Level by level, tasks list the folders that the level before has found; each level is stored, and no name passes
+    the driver. ``path`` is the full name; where a folder can't be read, it is that of the folder and ``error`` says why.
+    ``glob`` may hold ``*``, ``?`` and ``[...]``. Links to folders are left out. Local (shared) folders are read
+    directly, other stores by Arrow's file systems.
     """
-    root = folder.rstrip("/") + "/"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], "path string, length bigint, error string")
+    level = spark.createDataFrame([(_qualified(spark, folder),)], "folder string")
+    path = F.concat_ws("/", "folder", "name")
+    pattern = "".join({"*": ".*", "?": "."}.get(c, c if c in "[-]" else re.escape(c)) for c in glob)
+    files = None
+    while True:
+        found = materialize(_entries(level.repartition(spark.sparkContext.defaultParallelism, "folder")))
+        wanted = F.col("error").isNotNull() | F.col("name").rlike(rf"(?s)\A{pattern}\z")
+        here = found.filter(~F.col("is_folder") & wanted).select(path.alias("path"), "length", "error")
+        files = here if files is None else files.unionByName(here)
+        level = found.filter("is_folder").select(path.alias("folder"))
+        if not recursive or level.isEmpty():
+            return files
 
-    def relative(path: Column) -> Column:
-        return F.substring(path, F.instr(path, root) + len(root), F.length(path))
 
-    files = _binary_files(spark, folder, glob, recursive)
-    names = spark.createDataFrame([(name,) for name in files.inputFiles()], "value string")
-    # The index gives names as URLs, in which a plus sign stands for itself.
-    url = F.url_decode(F.replace("value", F.lit("+"), F.lit("%2B")))
-    listed = names.select(relative(url).alias("path"))
-    scanned = files.select(relative(F.col("path")).alias("path"), "length")
-    return listed.join(scanned, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
+def list_files(
+    spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False
+) -> DataFrame:
+    """(path relative to ``folder``, length), files of zero bytes included; folders that can't be read have no files."""
+    files = walk_files(spark, folder, glob, recursive).filter("error IS NULL")
+    start = len(_qualified(spark, folder)) + 2
+    return files.select(F.substring("path", F.lit(start), F.length("path")).alias("path"), "length")
 
 
 def existing(spark: SparkSession, folder: str, names: Sequence[str]) -> DataFrame:
@@ -71,8 +135,10 @@ def list_assets(
     The file system's glob is case-sensitive while the name rule is not, so the glob only narrows by
     shape and the name rule decides.
     """
-    files = _binary_files(spark, folder, "*_*.[xX][nN][bB]", recursive=False)
-    return assets_of(files if with_content else files.select("path", "length"), categories)
+    glob = "*_*.[xX][nN][bB]"
+    if with_content:
+        return assets_of(_binary_files(spark, folder, glob, recursive=False), categories)
+    return assets_of(walk_files(spark, folder, glob).filter("error IS NULL").drop("error"), categories)
 
 
 def assets_of(

@@ -24,6 +24,7 @@ from stockloom.sources import (
     read_lines,
     read_table,
     required_files,
+    walk_files,
 )
 
 import pytest
@@ -110,6 +111,21 @@ def test_listings(spark, folder, rows):
     assert rows(list_files(spark, f"{folder}/absent")) == []
 
 
+def test_walk_goes_level_by_level(spark, folder, rows):
+    names = ["a.png", "x+y z.png", "é%20.png", "b.PNG", "_c.png", ".d.png", "p/q/r/e.png", "p/f.txt", "p/_g/h.png", "p/q/i[1].png"]
+    for k, name in enumerate(names):
+        put(folder, f"w/{name}", b"." * (k % 3))
+    os.symlink(f"{folder}/w", f"{folder}/w/p/again")
+    found = walk_files(spark, f"{folder}/w/", "*.png", recursive=True)
+    wanted = {n: k % 3 for k, n in enumerate(names) if n.endswith(".png") and n not in ("_c.png", ".d.png", "p/_g/h.png")}
+    assert {r["path"].split("/w/")[1]: r["length"] for r in found.collect()} == wanted
+    assert found.filter("error IS NOT NULL").isEmpty()
+    assert {r["path"] for r in list_files(spark, f"{folder}/w", "[a-b].[pP]?[gG]").collect()} == {"a.png", "b.PNG"}
+    assert {r["path"] for r in list_files(spark, f"{folder}/w", recursive=True).collect()} == {*wanted, "b.PNG", "p/f.txt", "p/q/i[1].png"}
+    # A file in the place of a folder can't be listed.
+    assert [r["error"].split(":")[0] for r in walk_files(spark, f"{folder}/w/a.png").collect()] == ["NotADirectoryError"]
+
+
 def test_typed_tables(spark, folder, rows):
     table, warning = read_table(spark, f"{folder}/none", schemas.ITEMS)
     assert warning and rows(table) == [] and table.columns == schemas.ITEMS.fieldNames()

@@ -3,8 +3,9 @@
 In each round every node takes a pseudo-random rank and moves to the neighbour (or itself) of the lowest
 rank. Edges are renamed by these moves, loops and repeats go, and the graph that is left has the same
 components with, in expectation, at most a constant fraction of the nodes; so the number of rounds grows
-with the logarithm of the largest component, for chains as for stars. The moves of all rounds are
-composed at the end. A hot node is a key of minimum aggregates, which combine before the shuffle, and of
+with the logarithm of the largest component. Ranks are drawn anew in every other round: in the second round
+with the same ranks, a star whose centre has moved to its lowest leaf moves there as a whole. The moves of
+all rounds are composed at the end. A hot node is a key of minimum aggregates, which combine before the shuffle, and of
 inner joins, which adaptive execution splits; no neighbourhood is gathered.
 """
 
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     moves: list[DataFrame] = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves))), F.col(c))
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves) // 2)), F.col(c))
         lowest = both.groupBy("a").agg(F.min(rank("b")).alias("r"))
         move = materialize(
             lowest.select(
@@ -52,3 +53,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
             move.join(later, "target", "left").select("node", F.coalesce("later", "target").alias("component"))
         )
     return ends
+
+
+def joined_components(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` (a result of :func:`connected_components`) after further links ``a``, ``b``, at the cost of these alone.
+
+    Both should be stored tables. Nodes that only the links name are in the result as well.
+    """
+    ends = known.select(F.col("node"), F.col("component").alias("whole"))
+    lifted = links.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
+    for end in ("a", "b"):
+        lifted = lifted.join(ends.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("whole", end)).drop("whole")
+    later = connected_components(materialize(lifted.filter("a != b").distinct()))
+    moves = later.select(F.col("node").alias("component"), F.col("component").alias("later"))
+    moved = known.join(moves, "component", "left")
+    new = later.join(known.select("node"), "node", "left_anti")
+    return moved.select("node", F.coalesce("later", "component").alias("component")).unionByName(new.select("node", "component"))

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from stockloom.llm import simhash
-from stockloom.llm.components import connected_components
+from stockloom.llm.components import connected_components, joined_components
 from stockloom.llm.simhash import CROWD, Plan, fingerprint
 
 
@@ -134,3 +134,21 @@ def test_deduplicate_decides_unlike_texts_of_one_id_apart(spark):
         ties = {r[2] for r in out if r[1] == "words of its own"}
         assert order is rows or ties == before
         before = ties
+
+
+def test_further_links_join_known_components(spark, classes):
+    rng = random.Random(11)
+    star = [(1_000, i) for i in range(1_001, 1_400)]
+    first = star + [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)] + [(1_390, 2), (7, 7), (None, 5)]
+    known = connected_components(spark.createDataFrame(first, "a bigint, b bigint"))
+    found = joined_components(known, spark.createDataFrame(more, "a bigint, b bigint")).collect()
+    assert len({r["node"] for r in found}) == len(found)
+    links = [p for p in first + more if None not in p and p[0] != p[1]]
+    expected = classes(links)
+    assert {r["node"] for r in found} == set(expected)
+    groups = lambda pairs: {frozenset(n for n, c in pairs if c == k) for _, k in pairs}
+    assert groups([(r["node"], r["component"]) for r in found]) == groups(list(expected.items()))
+    assert {r["node"]: r["component"] for r in joined_components(known, spark.createDataFrame([], "a bigint, b bigint")).collect()} == {
+        r["node"]: r["component"] for r in known.collect()
+    }

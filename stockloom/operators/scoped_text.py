@@ -4,18 +4,20 @@ Input is (file, line_no, line). After a marker line, a ``switch (type)`` block h
 sections; each ``.SetDefaults(n)`` in a section is recorded with the conditions of all open ``if``
 blocks, outermost first.
 
-The braces form a path of depths, so the block open at level k just before some line is the latest
-``{`` that reached depth k. That turns the scope stack into an equi lookup per (file, level) with a
-"latest before" rule, and everything else follows from the chain of open blocks:
+Lines are parsed row by row, and those that matter are dealt out once, by blocks of consecutive line
+numbers. A block is read in order without knowing what is open before it: its items name the blocks
+opened beside them inside the block of lines, and how many of the outer ones are closed by then. One summary row per
+block of lines says the same of its end. From the summaries of a file follows what is open before each of its
+blocks of lines, and items and outer blocks meet in one join:
 
-* the switch of a line is the outermost switch brace in its chain;
+* the switch of a line is the outermost switch brace in its chain of open blocks;
 * a ``case`` counts when the innermost open brace is that switch brace;
 * the case of an item is the latest counted case of the same switch brace;
 * a brace opens a condition when the latest ``if`` since the previous ``{`` is not blank and no
   counted case came in between.
 
-Each "latest before" is a blocked scan (see ``scans``), so neither a huge file nor a huge block of
-text lands in one task.
+So neither a huge file nor a huge block of text lands in one task; the summaries of one file do (its
+lines / ``block_lines`` rows).
 
 One known limit: a switch header inside an open switch that has no ``{`` before that switch closes
 is treated as opening the next block.
@@ -25,9 +27,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockloom.functions.text import WHITESPACE, is_blank, normalize_condition
-from stockloom.operators.scans import DEFAULT_BLOCK, RunningLast, RunningSum, materialize, running
+from stockloom.operators.scans import DEFAULT_BLOCK, materialize
 
 # Markers and patterns of the text format.
 START_MARKER = "public void SetupShop(int type)"
@@ -36,8 +39,15 @@ CASE_PATTERN = r"(?U)^case\s+([0-9]+)\s*:"
 IF_PATTERN = r"(?U)^(?:else\s+)?if\s*\((.+)\)"
 ITEM_PATTERN = r"\.SetDefaults\(([0-9]+)\)"
 
-# Order of events inside one line: the line's own labels come before its braces.
-_CASE, _IF, _ITEM, _BRACE = 0, 1, 2, 3
+# An open block: its condition and the line of that, whether it is a switch, and its latest case. In the rows of a block
+# of lines, the first one may take its condition (if_line -1) and its switch header (null) from earlier lines.
+_OPENED = "array<struct<condition: string, if_line: bigint, is_switch: boolean, case_id: int, case_line: bigint>>"
+_END = "depth bigint, header boolean, pending string, pending_line bigint"
+_READ = (
+    "block bigint, line_no bigint, col int, item_id int, lowest bigint, base bigint, case_id int, case_line bigint, "
+    f"{_END}, opened {_OPENED}"
+)
+_CARRIED = f"block bigint, {_END}, outer {_OPENED}"
 
 
 def match_all(text: Column, pattern: str = ITEM_PATTERN, group: int = 1) -> Column:
@@ -65,9 +75,9 @@ def _parsed_lines(lines: DataFrame, start: str, switch: str, patterns: dict[str,
         .groupBy("file")
         .agg(F.min("line_no").alias("marker_line"))
     )
-    trimmed = F.col("trimmed")
+    trimmed, raw = F.col("trimmed"), F.col("raw_condition")
     # Whitespace at the end of a line does not matter to any of the patterns.
-    return (
+    parsed = (
         lines.join(markers, "file")
         .filter(F.col("line_no") >= F.col("marker_line"))
         .select("*", F.ltrim(F.col("line"), F.lit(WHITESPACE)).alias("trimmed"))
@@ -78,194 +88,189 @@ def _parsed_lines(lines: DataFrame, start: str, switch: str, patterns: dict[str,
             trimmed.startswith(switch).alias("is_switch"),
             case_label(trimmed, patterns["case"]).alias("case_id"),
             condition_text(trimmed, patterns["if"]).alias("raw_condition"),
-            match_all(F.col("line"), patterns["item"]).alias("items"),
-            F.regexp_extract_all("line", F.lit(r"[{}]"), F.lit(0)).alias("braces"),
+            F.transform(match_all(F.col("line"), patterns["item"]), lambda x: x.try_cast("int")).alias("items"),
+            F.regexp_replace("line", r"[^{}]+", "").alias("braces"),
         )
     )
-
-
-def _events(parsed: DataFrame) -> DataFrame:
-    """One row per event: case label, if, item, brace.
-
-    The tokens of a line are exploded as plain text (two for its labels, then its braces, then its
-    items), which stays inside generated code. Label tokens without an event are dropped.
-    """
-    tokens = F.concat(F.array(F.lit("case"), F.lit("if")), F.col("braces"), F.col("items"))
-    rows = parsed.select(
+    matters = (
+        F.col("is_switch")
+        | F.col("case_id").isNotNull()
+        | (raw != "")
+        | (F.size("items") > 0)
+        | (F.col("braces") != "")
+        | (F.col("line_no") == F.col("marker_line"))
+    )
+    return parsed.filter(matters).select(
         "file",
         "line_no",
         "marker_line",
         "is_switch",
         "case_id",
-        "raw_condition",
-        F.size("braces").alias("n_braces"),
-        F.posexplode(tokens).alias("col", "token"),
-    )
-    col, n_braces, raw = F.col("col"), F.col("n_braces"), F.col("raw_condition")
-    is_if = (raw != "") | F.col("is_switch") | (F.col("line_no") == F.col("marker_line"))
-    is_brace = (col >= 2) & (col < n_braces + 2)
-    is_item = col >= n_braces + 2
-    return rows.filter(
-        (col >= 2) | ((col == 0) & F.col("case_id").isNotNull()) | ((col == 1) & is_if)
-    ).select(
-        "file",
-        "line_no",
-        "marker_line",
-        ((col == 1) & F.col("is_switch")).alias("is_switch"),
-        F.when(col == 0, _CASE).when(col == 1, _IF).when(is_brace, _BRACE).otherwise(_ITEM).alias("kind"),
-        "col",
-        F.when(col == 0, F.col("case_id")).alias("case_id"),
-        F.when((col == 1) & (raw != ""), normalize_condition(raw)).alias("condition"),
-        F.when(is_item, F.col("token").try_cast("int")).alias("item_id"),
-        F.when(is_brace, F.when(F.col("token") == "{", 1).otherwise(-1)).alias("step"),
-        F.when(is_brace, col == n_braces + 1).otherwise(n_braces == 0).alias("ends_line"),
+        F.when(raw != "", normalize_condition(raw)).alias("condition"),
+        "items",
+        "braces",
     )
 
 
-def _with_depth(events: DataFrame, block: Column) -> DataFrame:
-    """Depth before each event, and what each ``{`` inherits from earlier lines."""
-    is_open = F.col("step") == 1
-    mark = F.when(is_open, F.struct(F.lit(False).alias("hit"))).when(
-        (F.col("kind") == _IF) & F.col("is_switch"), F.struct(F.lit(True).alias("hit"))
-    )
-    nothing = F.struct(
-        F.lit(None).cast("string").alias("condition"), F.lit(None).cast("bigint").alias("if_line")
-    )
-    pending = F.when(is_open, nothing).when(
-        F.col("condition").isNotNull(),
-        F.struct(F.col("condition"), F.col("line_no").alias("if_line")),
-    )
-    return running(
-        events,
-        ["file"],
-        ["line_no", "kind", "col"],
-        [
-            RunningSum("depth", F.coalesce(F.col("step"), F.lit(0)), inclusive=False),
-            RunningLast("switch_mark", mark, inclusive=False),
-            RunningLast("pending", pending, inclusive=False),
-        ],
-        block,
-    )
-
-
-def _cut_at_stop(events: DataFrame) -> DataFrame:
-    """Drop everything after the first line past the marker that ends at depth <= 0.
+def _block_reader(schema: T.StructType):
+    """The function that reads the lines of one block in order: a row per item, and one for the block's end.
 
-    A line without events directly after a marker line at depth <= 0 ends the scan as well; it
-    shows as a gap in the line numbers.
+    Depths are relative to the start of the block. ``base``: how deep the outer blocks are cut down; ``case_*``: the
+    latest case directly above what is left of them; ``lowest``: the lowest depth at the end of an earlier line.
     """
-    depth_after = F.col("depth") + F.coalesce(F.col("step"), F.lit(0))
-    on_marker = F.col("line_no") == F.col("marker_line")
-    outside = F.col("ends_line") & (depth_after <= 0)
-    stops = materialize(
-        events.groupBy("file", "marker_line")
-        .agg(
-            F.bool_or(on_marker & outside).alias("open_marker"),
-            F.min(F.when(~on_marker, F.col("line_no"))).alias("next_line"),
-            F.min(F.when(~on_marker & outside, F.col("line_no"))).alias("stop"),
-        )
-        .select(
-            "file",
-            F.when(
-                F.col("open_marker")
-                & (F.col("next_line").isNull() | (F.col("next_line") > F.col("marker_line") + 1)),
-                F.col("marker_line") + 1,
-            )
-            .otherwise(F.col("stop"))
-            .alias("stop"),
+    names = schema.fieldNames()
+
+    # Nested, so that it is sent with the tasks and executors need no copy of the package.
+    def read(key, table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table["line_no"])).combine_chunks()
+        plain = {c: table[c].combine_chunks() for c in table.column_names}
+        marker, absent = plain["marker_line"][0].as_py(), 1 << 40
+        numbers = plain["line_no"].to_numpy(zero_copy_only=False).tolist()
+        case_ids = plain["case_id"].cast(pa.int64()).fill_null(absent).to_numpy(zero_copy_only=False).tolist()
+
+        def texts(column):
+            coded = column.dictionary_encode()
+            values = [*coded.dictionary.to_pylist(), None]
+            return [values[i] for i in coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).tolist()]
+
+        found = plain["items"].flatten().to_pylist()
+        starts = [0, *pc.cumulative_sum(pc.fill_null(pc.list_value_length(plain["items"]), 0)).to_pylist()]
+        rows = zip(numbers, plain["is_switch"].to_pylist(), case_ids, texts(plain["condition"]), texts(plain["braces"]), starts, starts[1:])
+        opened, ends = [], [0]
+        far, depth, base, stack = 1 << 40, 0, 0, []
+        header, pending, base_case, lowest, gap_after = None, (None, -1), (None, None), far, None
+
+        emitted = []
+
+        def emit(line_no, col, item):
+            opened.extend(stack)
+            ends.append(len(opened))
+            emitted.append((line_no, col, item, lowest, base, *base_case))
+
+        if numbers[0] > marker + 1:
+            lowest = 0  # what opens only after a gap behind the marker line does not count
+        for line_no, is_switch, case_id, condition, braces, start, end in rows:
+            if gap_after is not None and line_no > gap_after + 1:
+                lowest = -far
+            gap_after = None
+            if case_id != absent:
+                if stack:
+                    stack[-1] = (*stack[-1][:3], case_id, line_no)
+                else:
+                    base_case = (case_id, line_no)
+            if condition is not None:
+                pending = (condition, line_no)
+            if is_switch:
+                header = True
+            for place in range(start, end):
+                if found[place] is not None:
+                    emit(line_no, len(braces) + 2 + place - start, found[place])
+            for brace in braces:
+                if brace == "{":
+                    stack.append((*pending, header, None, None))
+                    depth, header, pending = depth + 1, False, (None, None)
+                else:
+                    depth -= 1
+                    if stack:
+                        stack.pop()
+                    else:
+                        base, base_case = base - 1, (None, None)
+            if line_no != marker:
+                if depth < lowest:
+                    lowest = depth
+            elif depth <= 0:
+                gap_after = marker
+        emit(None, None, None)
+        n = len(emitted)
+        out = dict(zip(("line_no", "col", "item_id", "lowest", "base", "case_id", "case_line"), zip(*emitted)))
+        for name, value in (("depth", depth), ("header", header), ("pending", pending[0]), ("pending_line", pending[1])):
+            out[name] = [None] * (n - 1) + [value]
+        fields = list(zip(*opened)) or [()] * 5
+        types = (pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.int64())
+        labels = ("condition", "if_line", "is_switch", "case_id", "case_line")
+        struct = pa.StructArray.from_arrays([pa.array(f, t) for f, t in zip(fields, types)], names=labels)
+        kinds = {"item_id": pa.int32(), "case_id": pa.int32(), "header": pa.bool_(), "pending": pa.string(), "col": pa.int32()}
+        columns = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()}
+        columns["opened"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct)
+        columns["file"] = pa.array([key[0].as_py()] * n, table.schema.field("file").type)
+        columns["block"] = pa.array([key[1].as_py()] * n, pa.int64())
+        return pa.table([columns[c] for c in names], names=names)
+
+    return read
+
+
+def _carrier(schema: T.StructType):
+    """The function that tells for each block of a file's lines what is open before it, until the scan stops."""
+    names = schema.fieldNames()
+
+    def carry(table):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.take(pc.sort_indices(table["block"]))
+        rows, depth, stack, header, pending = [], 0, [], False, (None, None)
+        for r in table.to_pylist():
+            rows.append((r["file"], r["block"], depth, header, *pending, list(stack)))
+            if depth + r["lowest"] <= 0:
+                break
+            kept = max(0, depth + r["base"])
+            del stack[kept:]
+            if stack and r["case_line"] is not None:
+                stack[-1] = stack[-1] | {"case_id": r["case_id"], "case_line": r["case_line"]}
+            for at, o in enumerate(r["opened"]):
+                if o["if_line"] == -1:
+                    o |= {"condition": pending[0], "if_line": pending[1]}
+                if o["is_switch"] is None:
+                    o["is_switch"] = header
+                if depth + r["base"] + 1 + at >= 1:
+                    stack.append(o)
+            header = header if r["header"] is None else r["header"]
+            pending = pending if r["pending_line"] == -1 else (r["pending"], r["pending_line"])
+            depth += r["depth"]
+        kinds = {"file": table.schema.field("file").type, "outer": table.schema.field("opened").type, "header": pa.bool_(), "pending": pa.string()}
+        return pa.table({n: pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, zip(*rows))})
+
+    return carry
+
+
+def _with_chain(parsed: DataFrame, block: Column) -> DataFrame:
+    """Items with the ``chain`` of blocks open before their line, outermost first."""
+    of_file = T.StructField("file", parsed.schema["file"].dataType)
+    read_schema = T.StructType([of_file, *T.StructType.fromDDL(_READ).fields])
+    carry_schema = T.StructType([of_file, *T.StructType.fromDDL(_CARRIED).fields])
+    dealt = parsed.withColumn("block", block.cast("bigint")).groupBy("file", "block")
+    found = materialize(dealt.applyInArrow(_block_reader(read_schema), read_schema))
+    ends = found.filter("depth IS NOT NULL")
+    # One row per block of lines, stored: Spark sees how small it is.
+    carried = materialize(ends.groupBy("file").applyInArrow(_carrier(carry_schema), carry_schema))
+    names = {c: f"start_{c}" for c in ("depth", "header", "pending", "pending_line")}
+    items = found.filter("depth IS NULL").drop("depth", "header", "pending", "pending_line")
+    met = items.join(carried.withColumnsRenamed(names), ["file", "block"]).filter("start_depth + lowest > 0")
+    kept = F.col("start_depth") + F.col("base")
+
+    def latest(x: Column, at: Column) -> Column:
+        here = (at == kept - 1) & F.col("case_line").isNotNull()
+        return x.withField("case_id", F.when(here, F.col("case_id")).otherwise(x["case_id"])).withField(
+            "case_line", F.when(here, F.col("case_line")).otherwise(x["case_line"])
         )
-    )
-    return (
-        events.join(stops, "file")
-        .filter(F.col("stop").isNull() | (F.col("line_no") <= F.col("stop")))
-        .drop("stop")
-    )
 
-
-def _chains(events: DataFrame, block: Column) -> DataFrame:
-    """Case and item events with the chain of blocks open before their line, outermost first."""
-    opens = events.filter(F.col("step") == 1).select(
-        "file",
-        (F.col("depth") + 1).alias("level"),
-        "line_no",
-        "kind",
-        "col",
-        F.struct(
-            "line_no",
-            "col",
-            F.coalesce(F.col("switch_mark.hit"), F.lit(False)).alias("is_switch"),
-            F.col("pending.condition").alias("condition"),
-            F.col("pending.if_line").alias("if_line"),
-        ).alias("opened"),
-        F.lit(None).cast("bigint").alias("depth"),
-        F.lit(None).cast("int").alias("case_id"),
-        F.lit(None).cast("int").alias("item_id"),
-    )
-    probes = events.filter(F.col("kind").isin(_CASE, _ITEM) & (F.col("depth") > 0)).select(
-        "file",
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("depth"))).alias("level"),
-        "line_no",
-        "kind",
-        "col",
-        F.col("depth"),
-        "case_id",
-        "item_id",
-    )
-    stream = opens.unionByName(probes, allowMissingColumns=True)
-    resolved = running(
-        stream,
-        ["file", "level"],
-        ["line_no", "kind", "col"],
-        [RunningLast("block_open", F.col("opened"))],
-        block,
-        keep=F.col("kind") != _BRACE,
-        output=["file", "level", "line_no", "kind", "col", "depth", "case_id", "item_id"],
-    )
-    entries = F.array_sort(F.collect_list(F.struct("level", "block_open")))
-    return resolved.groupBy("file", "line_no", "kind", "col", "depth", "case_id", "item_id").agg(
-        entries.alias("chain")
-    )
-
-
-def _with_case(chains: DataFrame, block: Column) -> DataFrame:
-    """Items with the latest counted case of their switch."""
-    switch = F.try_element_at(
-        F.filter("chain", lambda x: x["block_open"]["is_switch"]), F.lit(1)
-    )
-    located = chains.withColumn("switch", switch).filter(F.col("switch").isNotNull())
-    counted = (F.col("kind") == _CASE) & (F.col("switch.level") == F.col("depth"))
-    located = located.filter((F.col("kind") == _ITEM) | counted).select(
-        "file",
-        F.col("switch.block_open.line_no").alias("switch_line"),
-        F.col("switch.block_open.col").alias("switch_col"),
-        F.col("switch.level").alias("switch_level"),
-        "line_no",
-        "kind",
-        "col",
-        "case_id",
-        "item_id",
-        "chain",
-    )
-    return (
-        running(
-            located,
-            ["file", "switch_line", "switch_col"],
-            ["line_no", "kind", "col"],
-            [
-                RunningLast(
-                    "current",
-                    F.when(
-                        F.col("case_id").isNotNull(),
-                        F.struct("case_id", F.col("line_no").alias("case_line")),
-                    ),
-                )
-            ],
-            block,
-            keep=F.col("item_id").isNotNull(),
-            output=["file", "line_no", "col", "item_id", "switch_level", "chain"],
+    def resolved(x: Column) -> Column:
+        inherits = x["if_line"] == -1
+        return F.struct(
+            F.when(inherits, F.col("start_pending")).otherwise(x["condition"]).alias("condition"),
+            F.when(inherits, F.col("start_pending_line")).otherwise(x["if_line"]).alias("if_line"),
+            F.coalesce(x["is_switch"], F.col("start_header")).alias("is_switch"),
+            x["case_id"].alias("case_id"),
+            x["case_line"].alias("case_line"),
         )
-        .filter(F.col("current.case_id") > 0)
-    )
+
+    outer = F.transform(F.slice("outer", F.lit(1), F.greatest(kept, F.lit(0)).cast("int")), latest)
+    # Blocks below depth zero enclose nothing.
+    inner = F.transform(F.filter("opened", lambda x, at: kept + at >= 0), resolved)
+    return met.select("file", "line_no", "col", "item_id", F.concat(outer, inner).alias("chain"))
 
 
 def scoped_items(
@@ -280,20 +285,20 @@ def scoped_items(
     """Every recorded item: (file, case_id, item_id, line_no, col, conditions)."""
     block = F.floor(F.col("line_no") / block_lines)
     patterns = {"case": case_pattern, "if": condition_pattern, "item": item_pattern}
-    events = _events(_parsed_lines(lines, start_marker, switch_marker, patterns))
-    items = _with_case(_chains(_cut_at_stop(_with_depth(events, block)), block), block)
-    scopes = F.filter(
-        F.filter("chain", lambda x: x["level"] > F.col("switch_level")),
-        lambda x: ~is_blank(x["block_open"]["condition"])
-        & (x["block_open"]["if_line"] >= F.col("current.case_line")),
+    found = _with_chain(_parsed_lines(lines, start_marker, switch_marker, patterns), block)
+    # The outermost switch, and what is open inside it.
+    at = F.array_position(F.transform("chain", lambda x: x["is_switch"]), F.lit(True)).cast("int")
+    switch = F.try_element_at("chain", "at")
+    inside = F.filter(
+        F.slice("chain", F.col("at") + 1, F.size("chain")),
+        lambda x: ~is_blank(x["condition"]) & (x["if_line"] >= F.col("case_line")),
     )
-    return items.select(
-        "file",
-        F.col("current.case_id").alias("case_id"),
-        "item_id",
-        "line_no",
-        "col",
-        F.transform(scopes, lambda x: x["block_open"]["condition"]).alias("conditions"),
+    return (
+        found.withColumn("at", at)
+        .filter("at > 0")
+        .select("*", switch["case_id"].alias("case_id"), switch["case_line"].alias("case_line"))
+        .filter("case_id > 0")
+        .select("file", "case_id", "item_id", "line_no", "col", F.transform(inside, lambda x: x["condition"]).alias("conditions"))
     )
 
 
@@ -301,17 +306,9 @@ def scoped_extract(lines: DataFrame, **options: object) -> DataFrame:
     """(file, case_id, item_id, conditions): one row per distinct item of a case."""
     items = scoped_items(lines, **options)
     keys = ["file", "case_id", "item_id"]
-    rows = items.select(
-        *keys,
-        "line_no",
-        "col",
-        F.posexplode_outer("conditions").alias("ord", "condition"),
-    )
-    # One pass keeps items without conditions and folds repeats before gathering.
-    folded = rows.groupBy(*keys, "condition").agg(F.min(F.struct("line_no", "col", "ord")).alias("at"))
-    entries = F.array_sort(
-        F.collect_list(F.when(F.col("condition").isNotNull(), F.struct("at", "condition")))
-    )
+    # Repeats are folded before anything is gathered; a condition has the place where it is met first.
+    folded = items.groupBy(*keys, "conditions").agg(F.min(F.struct("line_no", "col")).alias("at"))
+    places = F.array_sort(F.collect_list(F.struct("at", "conditions")))
     return folded.groupBy(*keys).agg(
-        F.transform(entries, lambda x: x["condition"]).alias("conditions")
+        F.array_distinct(F.flatten(F.transform(places, lambda x: x["conditions"]))).alias("conditions")
     )

@@ -18,9 +18,9 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     and an else branch; all its parts stand in it, those of one line number (a key of the order) on one line.
     """
     part = F.col("l_partkey").cast("string")
+    items = table(spark, folder, "lineitem")
     groups = (
-        table(spark, folder, "lineitem")
-        .groupBy(F.col("l_returnflag").alias("file"), "l_orderkey", "l_linenumber")
+        items.groupBy(F.col("l_returnflag").alias("file"), "l_orderkey", "l_linenumber")
         .agg(
             F.min("l_partkey").cast("string").alias("low"),
             F.array_join(
@@ -54,7 +54,7 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
         "file", (F.col("base") + F.col("k")).alias("line_no"), "line"
     )
     # The header stays on the first two lines, the footer after every section.
-    ends = groups.groupBy("file").agg((F.max("l_orderkey") * 8 + 16).alias("last"))
+    ends = items.groupBy(F.col("l_returnflag").alias("file")).agg((F.max("l_orderkey") * 8 + 16).alias("last"))
     frame = F.array(
         F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit("public void SetupShop(int type) {").alias("line")),
         F.struct(F.lit(1).cast("bigint").alias("line_no"), F.lit("switch (type) {").alias("line")),

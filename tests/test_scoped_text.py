@@ -198,3 +198,18 @@ def test_generated_files(spark, block):
     assert sum(1 for v in wanted.values() for c in v.values() if c) > 50
     for name in files:
         assert got[name] == wanted[name], (name, files[name])
+
+
+def test_only_items_and_a_row_for_each_block_are_stored(spark):
+    """Lines are dealt out once: what is stored grows with the items and not with the events of the text."""
+    from stockloom.operators import scans
+
+    body = ["    case 7:", "if (a)", "{", "if (b) {", "x.SetDefaults(5);", "}", "}", "{", "}", "{", "}"] * 40
+    text = ["public void SetupShop(int type) {", "switch (type) {", *body, "} }"]
+    lines = spark.createDataFrame([("f", n, line) for n, line in enumerate(text)], "file string, line_no bigint, line string")
+    before = len(scans._written)
+    found = scoped_extract(lines, block_lines=50).collect()
+    stored = sum(spark.read.parquet(path).count() for path in scans._written[before:])
+    assert [tuple(r) for r in found] == [("f", 7, 5, ["a", "b"])]
+    blocks = len(text) // 50 + 1
+    assert stored <= 40 + 2 * blocks + 1

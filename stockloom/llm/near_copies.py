@@ -1,7 +1,11 @@
-"""Near copies by the exact Jaccard similarity of word-shingle sets; candidates from an exact prefix filter.
+"""Near copies by SimHash fingerprints and the exact Jaccard similarity of word-shingle sets.
 
 A document is the set of its hashed shingles (``WIDTH`` words, ASCII lower case; a shorter text is one
-shingle). Documents of equal sets are one node. All shingles are put in one order, from rare to common
+shingle). Documents of equal sets are one node, and each node has the 64-bit SimHash of its set. Fingerprints
+within ``DISTANCE`` bits are found by the generalised pigeonhole of :mod:`stockloom.llm.simhash`; their nodes are candidates.
+
+Two sets of similarity 0.8 differ in some ten bits, more than any probing finds without comparing most pairs. Those
+are found by an exact prefix filter, so that no link is lost. All shingles are put in one order, from rare to common
 over the corpus. Two sets of similarity 0.8 or more share one of the first ``n - ceil(0.8 n) + 1`` shingles
 of both, and the smaller set holds it even among its first ``n - ceil(8 n / 9) + 1``. Shingles of a single node
 come first in the order: they fill the prefixes of most nodes, which then have no candidate at all, and
@@ -38,7 +42,7 @@ from pyspark.sql import types as T
 
 from stockloom.llm.arrow import split_words, with_columns
 from stockloom.llm.components import connected_components, joined_components
-from stockloom.llm.simhash import keep_first
+from stockloom.llm.simhash import DISTANCE, keep_first, links, majority, plan_probes
 from stockloom.operators.scans import materialize
 
 WIDTH, SEED = 5, 42
@@ -78,11 +82,11 @@ def _with_size(documents: DataFrame, width: int) -> DataFrame:
     def make():
         def block(texts):
             sets = [shingle_set(t, width) for t in texts]
-            return [[_node(s) for s in sets], [len(s) for s in sets]]
+            return [[_node(s) for s in sets], [len(s) for s in sets], np.array([majority(s) for s in sets], np.uint64).view(np.int64)]
 
         return block
 
-    adds = [("fp", T.BinaryType(), pa.binary()), ("n", T.LongType(), pa.int64())]
+    adds = [("fp", T.BinaryType(), pa.binary()), ("n", T.LongType(), pa.int64()), ("simhash", T.LongType(), pa.int64())]
     return with_columns(documents, ["text"], make, adds, ["doc_id"])
 
 
@@ -247,23 +251,44 @@ def _near(compared: DataFrame, near: tuple[int, int]) -> DataFrame:
     return compared.filter(F.col("both") * bottom >= F.col("all") * top).select("a", "b")
 
 
+def simhash_pairs(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes (``fp``, ``simhash``) whose fingerprints are equal or linked within ``distance`` bits.
+
+    A fingerprint of several nodes is stood for by the smallest of them, which the others are paired with: rows grow
+    with the nodes and the links between fingerprints.
+    """
+    leaders = materialize(nodes.groupBy("simhash").agg(F.min("fp").alias("leader")))
+    values = leaders.select(F.col("simhash").alias("fp"))
+    linked = links(values, plan_probes(values, distance), distance)
+    first = leaders.select(F.col("simhash").alias("a"), F.col("leader").alias("x"))
+    second = leaders.select(F.col("simhash").alias("b"), F.col("leader").alias("y"))
+    between = linked.join(first, "a").join(second, "b").select("x", "y")
+    equal = nodes.join(leaders, "simhash").filter("fp != leader").select(F.col("leader").alias("x"), F.col("fp").alias("y"))
+    return materialize(between.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
 def components(marked: DataFrame, documents: DataFrame, width: int = WIDTH, near: tuple[int, int] = NEAR) -> DataFrame:
     """``fp``, ``component`` for each distinct set; ``marked`` is the stored result of :func:`_with_size`."""
-    nodes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("own_id"), F.first("n").alias("n")))
+    own = [F.min("doc_id").alias("own_id"), F.first("n").alias("n"), F.first("simhash").alias("simhash")]
+    nodes = materialize(marked.groupBy("fp").agg(*own))
     total = nodes.agg(F.sum("n")).first()[0] or 0
     ids = nodes.select("fp", F.col("own_id").alias("doc_id"))
-    chosen = prefixes(_of_nodes(documents, ids, width), 1 + total // SHARD_KEYS, width, near)
+    alike = simhash_pairs(nodes)
+    copies = materialize(marked.join(ids.withColumnRenamed("doc_id", "own_id"), "fp").filter("doc_id != own_id").select("doc_id").distinct())
+    chosen = prefixes(_of_nodes(documents, ids, width, copies), 1 + total // SHARD_KEYS, width, near)
     chosen = materialize(chosen)
     counts = chosen.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bool_or("short").alias("any_short"))
     members = materialize(chosen.join(materialize(counts.filter("members > 1 AND any_short").drop("any_short")), "bucket"))
-    wanted = materialize(members.select("fp").distinct())
+    ends = alike.select(F.col("a").alias("fp")).unionByName(alike.select(F.col("b").alias("fp")))
+    wanted = materialize(members.select("fp").unionByName(ends).distinct())
     named = materialize(ids.join(wanted, "fp", "left_semi"))
     sets = _with_set(_of_nodes(documents, named, width), width).join(wanted, "fp", "left_semi")
     sets = materialize(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")))
 
     quiet = members.filter(F.col("members") <= CROWD)
     pairs = quiet.join(_second(quiet), "bucket").filter((F.col("fp") < F.col("b")) & _bounds_allow(near))
-    edges = _near(_compared(materialize(pairs.select(F.col("fp").alias("a"), "b").distinct()), sets), near)
+    pairs = alike.unionByName(pairs.select(F.col("fp").alias("a"), "b")).distinct()
+    edges = _near(_compared(materialize(pairs), sets), near)
     crowded = materialize(members.filter(F.col("members") > CROWD).drop("members"))
     if crowded.isEmpty():
         found = connected_components(materialize(edges.distinct()))
@@ -273,12 +298,16 @@ def components(marked: DataFrame, documents: DataFrame, width: int = WIDTH, near
     return materialize(joined.select("fp", F.coalesce("component", "fp").alias("component")))
 
 
-def _of_nodes(documents: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """One document (``doc_id``, ``text``) of each node ``fp``, found by its id; rows of other texts of the id go."""
+def _of_nodes(documents: DataFrame, ids: DataFrame, width: int, others: DataFrame | None = None) -> DataFrame:
+    """One document (``doc_id``, ``text``) of each node ``fp``, found by its id; rows of other texts of the id go.
+
+    Where most documents are wanted, ``others`` names the ids of the rest: the smaller side, so that texts need not move.
+    """
     some = documents.select("doc_id", "text")
     # Few ids stand for several rows; only these are looked at again.
     repeated = materialize(some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1 OR doc_id IS NULL").select("doc_id"))
-    single = some.join(ids.filter("doc_id IS NOT NULL"), "doc_id", "left_semi").join(repeated, "doc_id", "left_anti")
+    known = some.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti")
+    single = known.join(ids, "doc_id", "left_semi") if others is None else known.join(others, "doc_id", "left_anti")
     if repeated.isEmpty():
         return single
     several = some.join(repeated, some["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi")

@@ -62,3 +62,18 @@ def test_defined_cases(spark):
         [(1, same), (1, other), (3, None), (None, "nameless words only"), (5, long)], key=repr
     )
     assert near_copies.deduplicate(documents.limit(0)).count() == 0
+
+
+def test_stage_links_texts_by_their_fingerprints(spark, monkeypatch):
+    """Without the prefix filter, the stage drops just the near copies whose SimHash differs in two bits at most."""
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(12)]
+    texts = [" ".join(b) for b in bases] + [" ".join([*b, f"n{k}"]) for k, b in enumerate(bases)]
+    sims = [simhash.majority(near_copies.shingle_set(t)) for t in texts]
+    alike = [(i, j) for i, j in combinations(range(len(texts)), 2) if (sims[i] ^ sims[j]).bit_count() <= simhash.DISTANCE]
+    assert alike and all(j == i + len(bases) for i, j in alike)
+    prefixes = near_copies.prefixes
+    monkeypatch.setattr(near_copies, "prefixes", lambda *given: prefixes(*given).limit(0))
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, documents, "").collect()}
+    assert kept == set(range(len(texts))) - {j for _, j in alike}

@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from stockloom.operators import scans
 from stockloom import schemas
 from stockloom.sinks import (
     append_run_log,
@@ -81,6 +82,14 @@ def test_array_across_splits(spark, folder):
     assert read_json_array(spark, f"{folder}/many")[1] == "invalid json shape in many: expected array"
 
 
+def test_an_array_is_stored_by_elements(spark, folder):
+    """What is stored grows with the elements and the splits, not with the pieces between commas."""
+    before = len(scans._written)
+    records, error = read_json_array(spark, put(folder, "a.json", json.dumps([{"L": list(range(50))}] * 200)))
+    assert error is None and records.count() == 200
+    assert sum(spark.read.parquet(path).count() for path in scans._written[before:]) < 250
+
+
 @pytest.mark.parametrize("split", ["128m", "16"])
 def test_lines_across_splits(spark, folder, split):
     body = b"one\r\ntwo\n\nfour\rfive and a longer line\n" + b"".join(b"line %d\n" % i for i in range(40))

@@ -9,7 +9,8 @@ def write_named_files(files: DataFrame, folder: str) -> int:
     """Write each row of (``name``, ``content``) as a file into a local or shared folder; the number of files.
 
     Names may hold subfolders. A file is written beside its place and then moved there, so that it is whole or absent
-    and a repeated task replaces it. A null content is an empty file; of equal names, any one stays.
+    and a repeated task replaces it. A null content is an empty file; of equal names, any one stays. Rows are dealt out
+    first, as a small table of many names would be written by one task.
     """
     target = "/" + folder.removeprefix("file:").lstrip("/")
 
@@ -20,14 +21,19 @@ def write_named_files(files: DataFrame, folder: str) -> int:
 
         import pandas as pd
 
+        made, own, n = set(), uuid.uuid4().hex, 0
         for frame in frames:
             for name, content in zip(frame["name"], frame["content"]):
                 path = os.path.join(target, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = os.path.join(os.path.dirname(path), f".{uuid.uuid4().hex}")
+                parent = os.path.dirname(path)
+                if parent not in made:
+                    os.makedirs(parent, exist_ok=True)
+                    made.add(parent)
+                part, n = os.path.join(parent, f".{own}-{n}"), n + 1
                 with open(part, "wb") as handle:
                     handle.write(content or b"")
                 os.replace(part, path)
             yield pd.DataFrame({"n": [len(frame)]})
 
-    return files.select("name", "content").mapInPandas(write, "n bigint").groupBy().sum("n").head()[0] or 0
+    dealt = files.select("name", "content").repartition(files.sparkSession.sparkContext.defaultParallelism, "name")
+    return dealt.mapInPandas(write, "n bigint").groupBy().sum("n").head()[0] or 0

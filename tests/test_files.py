@@ -90,6 +90,16 @@ def test_an_array_is_stored_by_elements(spark, folder):
     assert sum(spark.read.parquet(path).count() for path in scans._written[before:]) < 250
 
 
+def test_files_of_one_folder_are_written_and_measured_by_many_tasks(spark, folder):
+    from stockloom.sinks import write_named_files
+
+    names = spark.range(0, 400, 1, 1).select(F.concat(F.lit("n"), "id").alias("name"), F.repeat(F.lit("x"), F.col("id").cast("int")).cast("binary").alias("content"))
+    assert write_named_files(names, folder) == 400
+    files = walk_files(spark, folder)
+    assert sorted(r["length"] for r in files.collect()) == list(range(400))
+    assert files.select(F.col("_metadata.file_path")).distinct().count() > 1
+
+
 @pytest.mark.parametrize("split", ["128m", "16"])
 def test_lines_across_splits(spark, folder, split):
     body = b"one\r\ntwo\n\nfour\rfive and a longer line\n" + b"".join(b"line %d\n" % i for i in range(40))

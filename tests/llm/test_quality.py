@@ -4,14 +4,32 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import types as T
 
 from stockloom.llm import quality_classifier as qc
 from stockloom.llm import quality_rules as qr
-from stockloom.llm.arrow import WordTable
+from stockloom.llm.arrow import BATCH_ROWS, WordTable, keep_rows, with_columns
 
 FOLDER = "/root/testdata/sf0.01"
 
 
+def test_texts_travel_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    frame = spark.range(3)
+    try:
+        for given, most in ((10_000, BATCH_ROWS), (0, BATCH_ROWS), (100, 100)):
+            spark.conf.set(key, given)
+            keep_rows(frame, ["id"], lambda: lambda ids: [True] * len(ids))
+            assert int(spark.conf.get(key)) == most
+            spark.conf.set(key, given)
+            with_columns(frame, ["id"], lambda: lambda ids: [ids], [("n", T.LongType(), pa.int64())])
+            assert int(spark.conf.get(key)) == most
+    finally:
+        spark.conf.set(key, before)
+
+
 def slow_rules(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)

@@ -202,6 +202,24 @@ def test_foreign_keys(spark, rows):
     assert rows(checks.fk_violations(child, F.col("fk"), repeated, "id", "d", "fk", F.col("rid"), parent_unique=False)) == rows(flat)
 
 
+def test_dangling_ids_pick_the_same_violations(spark, rows):
+    parent = spark.createDataFrame([(1,), (None,)], "id int")
+    child = spark.createDataFrame(
+        [(7, 1, [(1,), (999,), (None,), None]), (8, None, None), (9, 5, []), (10, 5, [(5,)]), (11, 999, [(1,)])],
+        "rid int, fk int, ingredients array<struct<item_id:int>>",
+    )
+    ids = [(child, F.array("fk")), (child, F.transform("ingredients", lambda x: x["item_id"]))]
+    dangling = checks.dangling_ids(ids, parent, "id")
+    assert sorted(((r["ref_id"]) for r in dangling.collect()), key=str) == [5, 999, None]
+    args = (parent, "id", "d")
+    for exempt in (None, F.col("rid") == 9):
+        flat = checks.fk_violations(child, F.col("fk"), *args, "fk", F.col("rid"), exempt=exempt)
+        again = checks.fk_violations(child, F.col("fk"), *args, "fk", F.col("rid"), exempt=exempt, dangling=dangling)
+        assert again.columns == flat.columns and rows(again) == rows(flat)
+    nested = checks.fk_violations_nested(child, "ingredients", "item_id", *args, "f", F.col("rid"))
+    assert rows(checks.fk_violations_nested(child, "ingredients", "item_id", *args, "f", F.col("rid"), dangling)) == rows(nested)
+
+
 def test_ranges_and_status(spark):
     rules = [checks.RangeCheck("r", 10, 20)]
     for actual, status in ((9, "FAIL"), (10, "PASS"), (20, "PASS"), (21, "WARN")):

@@ -54,6 +54,7 @@ from stockloom.operators.nesting import (
 from stockloom.plans.catalog import item_catalog, recipe_catalog
 from stockloom.queries.registry import query, table
 from stockloom.schemas import INT, RECIPE_FLAGS, struct
+from stockloom.operators.scans import materialize
 from stockloom.sources.arrays import as_typed
 
 SQL_LOCALIZED = """CASE p_type WHEN 'ECONOMY' THEN '' WHEN 'SMALL' THEN 'ItemName.' || p_name
@@ -333,8 +334,9 @@ _SQL_TILES = """CASE WHEN o_totalprice < 100000 THEN '' WHEN o_totalprice < 2000
     """,
 )
 def _recipe_projection(spark: SparkSession, folder: str) -> DataFrame:
+    # Read twice, for the stops and for the rows before them.
     slots = take_while_rows(
-        recipe_slots(spark, folder), ["recipe_index"], ["item"], F.col("type") <= 0
+        materialize(recipe_slots(spark, folder)), ["recipe_index"], ["item"], F.col("type") <= 0
     )
     priority, status, price = F.col("o_orderpriority"), F.col("o_orderstatus"), F.col("o_totalprice")
     customer = F.col("o_custkey").cast("int")

@@ -107,19 +107,29 @@ def shop_offers(
     item_defaults: DataFrame,
     shop_map: DataFrame,
     id_count: int,
+    runtime_ok: DataFrame | None = None,
 ) -> DataFrame:
     """Offers of every source with their priority; nothing is chosen yet.
 
-    Sampled shops use rolls and constants only; the second source exists only for flagged shops.
+    Sampled shops use rolls and constants only; the second source exists only for flagged shops. With
+    ``runtime_ok``, (shop_id, ok), no offers are made that cannot be chosen: those of a runtime source that
+    failed, and of the sources after one that succeeded.
     """
     kinds = shop_map.select("shop_id", "sampled", "has_second_source")
+    plain = kinds.filter(~F.col("sampled"))
+    later = plain
+    if runtime_ok is not None:
+        # Stored, one row per shop: Spark sees its size, and slots need not move to meet it.
+        first = materialize(plain.join(runtime_ok.filter("ok"), "shop_id", "left_semi"))
+        later = materialize(plain.join(first, "shop_id", "left_anti"))
+        plain = first
     no_conditions = F.array().cast("array<string>")
 
     def from_ids(ids: DataFrame, priority: int, sampled: bool, *, with_parsed: bool) -> DataFrame:
-        keep = F.col("sampled") == sampled
+        wanted = kinds.filter(F.col("sampled")) if sampled else later
         if priority == SECOND and not sampled:
-            keep = keep & F.col("has_second_source")
-        rows = ids.join(kinds.filter(keep).select("shop_id"), "shop_id", "left_semi")
+            wanted = wanted.filter(F.col("has_second_source"))
+        rows = ids.join(wanted.select("shop_id"), "shop_id", "left_semi")
         rows = lookup_left(
             rows, item_defaults, "item_id", {"name": "name", "buy_price": "buy_price"}
         )
@@ -137,11 +147,8 @@ def shop_offers(
             conditions.alias("conditions"),
         )
 
-    plain = kinds.filter(~F.col("sampled")).select("shop_id")
-    runtime = (
-        shop_items(slots, parsed)
-        .join(plain, "shop_id", "left_semi")
-        .select("shop_id", F.lit(RUNTIME).alias("priority"), *OFFER_FIELDS)
+    runtime = shop_items(slots.join(plain.select("shop_id"), "shop_id", "left_semi"), parsed).select(
+        "shop_id", F.lit(RUNTIME).alias("priority"), *OFFER_FIELDS
     )
     return (
         runtime.unionByName(from_ids(second_items, SECOND, False, with_parsed=False))
@@ -205,7 +212,7 @@ def shop_catalog(
     # Read three times below (counts, rows, headers), so computed and written once.
     offers = materialize(
         shop_offers(
-            slots, parsed_items, parsed, second_items, rolls, constants, item_defaults, shop_map, id_count
+            slots, parsed_items, parsed, second_items, rolls, constants, item_defaults, shop_map, id_count, runtime_ok
         )
     )
     chosen = choose_source(shop_status(offers, shop_map, runtime_ok), ["shop_id"], empty_wins_at=RUNTIME)

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stockloom.operators import checks, edges, shops
+from stockloom.operators import checks, edges, scans, shops
 from stockloom.operators.assets import asset_header, asset_manifest, manifest_order
 from stockloom.operators.dedupe import dedupe_first, first_match, first_nonempty_source
 from stockloom.operators.lookups import first_wins_map
@@ -37,6 +37,16 @@ def test_running_values_match_a_plain_loop(spark, block):
             assert got[(key, pos)] == (total, before[0], last, before[1])
 
 
+def test_groups_of_one_block_are_given_nothing(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(scans, "materialize", lambda df: stored.append(df) or df)
+    df = spark.createDataFrame([(k, p) for k in "abc" for p in range(5)] + [("c", 12), (None, 3), (None, 13)], "k string, p int")
+    out = running(df, ["k"], ["p"], [RunningSum("n", F.lit(1))], F.floor(F.col("p") / 10))
+    got = {(r["k"], r["p"]): r["n"] for r in out.collect()}
+    assert len(got) == 18 and got[("a", 4)] == 5 and got[("c", 12)] == 6 and got[(None, 13)] == 2
+    assert stored[-1].count() == 2
+
+
 def test_dedupe_and_first_wins(spark, rows):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 5)], "k int, v string, pos int")
     assert rows(dedupe_first(df, ["k"], ["pos"])) == [(1, "a", 1), (2, "c", 5)]
@@ -173,6 +183,33 @@ def test_shop_sources(spark):
     }  # 7 failed everywhere
 
 
+def test_offers_that_cannot_be_chosen_are_not_made(spark):
+    shop_map = spark.createDataFrame(
+        [(1, 17, "A", False, True), (2, 19, "B", False, True), (3, 20, "C", False, False), (5, 54, "D", True, False)],
+        "shop_id int, npc_id int, shop_name string, sampled boolean, has_second_source boolean",
+    )
+    slots = spark.createDataFrame(
+        [(i, 0, 8, False, "Torch", 50, -1) for i in (1, 2, 3, 5)],
+        "shop_id int, slot int, item_id int, is_air boolean, name string, buy_price int, special_currency int",
+    )
+    ids = spark.createDataFrame([(i, 9) for i in (1, 2, 3, 5)], "shop_id int, item_id int")
+    offers = shops.shop_offers(
+        slots=slots,
+        parsed_items=ids,
+        parsed=spark.createDataFrame([], "shop_id int, item_id int, parsed array<string>"),
+        second_items=ids,
+        rolls=spark.createDataFrame([(1, 0, "9"), (5, 0, "9")], "shop_id int, sample int, item_id string"),
+        constants=spark.createDataFrame([], "shop_id int, item_id int"),
+        item_defaults=spark.createDataFrame([(9, "Wood", 5)], "item_id int, name string, buy_price int"),
+        shop_map=shop_map,
+        id_count=1500,
+        runtime_ok=spark.createDataFrame([(1, True), (2, False), (5, True)], "shop_id int, ok boolean"),
+    )
+    got = sorted((r["shop_id"], r["priority"], r["item_id"]) for r in offers.collect())
+    # 2 failed, and nothing is known of 3: neither has slots that count; 1 succeeded and needs no other source.
+    assert got == [(1, 1, 8), (2, 2, 9), (2, 3, 9), (3, 3, 9), (5, 1, 9)]
+
+
 def test_first_nonempty_source(spark, rows):
     status = spark.createDataFrame(
         [("a", 1, True, 0), ("a", 2, True, 3), ("b", 1, False, 0), ("b", 3, True, 1), ("c", 1, False, 0), ("c", 2, True, 0)],

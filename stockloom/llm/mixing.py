@@ -6,8 +6,9 @@ multiplies its cells by target / sum. A document is then kept with the probabili
 cell, scaled so that the expected tokens are ``KEEP_SHARE`` of those in cells that the targets allow; probabilities that would exceed 1 are
 set to 1 and the rest is scaled again. The decision compares a hash of the document with the probability.
 
-All sums are Spark aggregates over cells; nothing but convergence figures reaches the driver, and each
-sweep is stored, so lineage stays short.
+All sums are Spark aggregates over cells; nothing but convergence figures reaches the driver. Each step of a
+sweep is stored, so plans stay small: a step uses its cells twice, and three steps in one plan would use them
+eight times, of which the driver keeps all figures.
 
 Defined cases: null source, language or topic is a value of its own, written ``(none)``; null or blank text
 has no tokens and weighs one token, so that it can be sampled; a target given for an absent value is
@@ -20,6 +21,7 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -94,36 +96,38 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
     goals = {}
     for d in DIMENSIONS:
         present = cells.select(F.col(d).alias("value")).distinct()
-        reached = targets[d].join(present, "value", "left_semi").filter("target > 0").select("value", "target")
-        total = reached.agg(F.sum("target").alias("total"))
+        reached = materialize(targets[d].join(present, "value", "left_semi").filter("target > 0").select("value", "target"))
         # One row; it scales the targets to the sum 1.
-        scale = (total.collect()[0]["total"] or 1.0)
-        goals[d] = materialize(reached.select("value", (F.col("target") / F.lit(scale)).alias("goal")))
+        scale = reached.agg(F.sum("target").alias("total")).collect()[0]["total"] or 1.0
+        goals[d] = reached.select("value", (F.col("target") / F.lit(scale)).alias("goal"))
     # Cells that a zero target forbids go at once.
     allowed = reduce(
         lambda df, d: df.join(goals[d].select(F.col("value").alias(d)), d, "left_semi"), DIMENSIONS, cells
     )
     raked = materialize(allowed.withColumn("weight", F.col("base")))
+    margins = DIMENSIONS[:-1]  # the last one has just been met at the end of a sweep
+    goal = materialize(reduce(DataFrame.unionByName, [goals[d].withColumn("dimension", F.lit(d)) for d in margins]))
     while True:
         swept = raked.withColumn("_before", F.col("weight"))
         for d in DIMENSIONS:
-            swept = _meet(swept, d, goals[d])
-        swept = materialize(swept)
-        figures = [
-            swept.groupBy(d)
-            .agg(F.sum("weight").alias("s"))
-            .join(goals[d].withColumnRenamed("value", d), d)
-            .agg(F.max(F.abs(F.col("s") / F.col("goal") - 1)).alias("error"), F.lit(None).cast("double").alias("moved"))
-            for d in DIMENSIONS[:-1]  # the last one has just been met
-        ]
-        moved = F.sum(F.abs(F.col("weight") - F.col("_before"))).alias("moved")
-        figures.append(swept.agg(F.lit(None).cast("double").alias("error"), moved))
-        error, moved = reduce(DataFrame.unionByName, figures).agg(F.max("error"), F.max("moved")).collect()[0]
+            swept = materialize(_meet(swept, d, goals[d]))
+        error, moved = _figures(swept, goal, margins)
         raked = swept.drop("_before")
         if error is None or error <= TOLERANCE or moved <= STILL:
             return raked.withColumn("error", F.lit(error or 0.0))
 
 
+def _figures(swept: DataFrame, goal: DataFrame, margins: Sequence[str]) -> tuple[float | None, float | None]:
+    """The largest relative error of the margins (``dimension``, ``value``, ``goal``), and the weight that has moved."""
+    part = lambda name, value, x: F.struct(F.lit(name).alias("dimension"), value.alias("value"), x.alias("x"))
+    shift = part("", F.lit(None).cast("string"), F.abs(F.col("weight") - F.col("_before")))
+    parts = F.array(*[part(d, F.col(d), F.col("weight")) for d in margins], shift)
+    sums = swept.select(F.inline(parts)).groupBy("dimension", "value").agg(F.sum("x").alias("s"))
+    met = sums.join(goal, ["dimension", "value"], "left")
+    moved = F.max(F.when(F.col("dimension") == "", F.col("s")))
+    return tuple(met.agg(F.max(F.abs(F.col("s") / F.col("goal") - 1)), moved).collect()[0])
+
+
 def _meet(cells: DataFrame, dimension: str, goal: DataFrame) -> DataFrame:
     factor = (
         cells.groupBy(dimension)

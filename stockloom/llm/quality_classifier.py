@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.arrow import WordTable, keep_rows, split_words, with_columns
+from stockloom.operators.scans import materialize
 
 #: Labelled documents that are sampled for the fit, at most, for each label value.
 SAMPLE_PER_LABEL = 1_200
@@ -110,8 +111,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model | None:
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"))
     )
-    # Ids are chosen before any text is moved.
-    ids = documents.select("doc_id").join(marked, "doc_id").distinct()
+    # Ids are chosen before any text is moved; stored, as they are read for each label.
+    ids = materialize(documents.select("doc_id").join(marked, "doc_id").distinct())
     n_of = {r["quality"]: r["count"] for r in ids.groupBy("quality").count().collect()}
     order = F.xxhash64(F.col("doc_id").cast("string"))
     sample = None

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stockloom.llm.arrow import WordTable, keep_rows, split_words, with_columns
+from stockloom.operators.scans import materialize
 
 #: Share of words in content lines from which a document is kept.
 MIN_CONTENT = 0.5
@@ -180,7 +181,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Field:
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"))
     )
-    ids = documents.select("doc_id").join(marked, "doc_id").distinct()
+    # Stored, as they are read for each label.
+    ids = materialize(documents.select("doc_id").join(marked, "doc_id").distinct())
     order = F.xxhash64(F.col("doc_id").cast("string"))
     parts = [ids.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE_PER_LABEL) for q in (0, 1)]
     sample = parts[0].unionByName(parts[1])

@@ -211,7 +211,8 @@ def links(fingerprints: DataFrame, plan: Plan, distance: int = DISTANCE) -> Data
         .filter((F.col("fp") < F.col("probe")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("probe"))) <= distance))
         .select(F.col("fp").alias("a"), F.col("probe").alias("b"))
     )
-    meeting = (
+    # Stored, as it is read twice: the plan would hold all probes three times.
+    meeting = materialize(
         probing.join(crowded, ["part", "key"], "left_semi").select(F.col("probe").alias("fp")).distinct()
     )
     # Within half the distance of a common centre is within the distance; for an odd distance the

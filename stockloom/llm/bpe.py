@@ -45,7 +45,7 @@ FREQUENT_WORDS, LONGEST_WORD = 200_000, 48
 #: Classes of word counts for each doubling.
 CLASSES = 8
 #: Bytes, about, of the words and of the pieces whose ids a worker remembers between blocks.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED = 32 << 20
 #: Bytes of an entry besides its word and ids.
 _ENTRY = 160
 #: Pieces of more symbols are merged with a heap.
@@ -383,7 +383,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[pa.Array]:
         words = [split_words(t) for t in texts]
-        if self.held > REMEMBERED_BYTES or self.vocabulary.known_bytes > REMEMBERED_BYTES:
+        if self.held > REMEMBERED or self.vocabulary.known_bytes > REMEMBERED:
             self.forget()
         unknown = set().union(*words).difference(self.number)
         if unknown:

@@ -20,11 +20,11 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     part = F.col("l_partkey").cast("string")
     items = table(spark, folder, "lineitem")
     groups = (
-        items.groupBy(F.col("l_returnflag").alias("file"), "l_orderkey", "l_linenumber")
+        items.groupBy("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("file"))
         .agg(
             F.min("l_partkey").cast("string").alias("low"),
             F.array_join(
-                F.array_sort(F.collect_set(F.concat(F.lit("y.SetDefaults("), part, F.lit(");")))), " "
+                F.sort_array(F.collect_set(F.concat(F.lit("y.SetDefaults("), part, F.lit(");")))), " "
             ).alias("all"),
             F.max("l_quantity").cast("int").cast("string").alias("quantity"),
             F.max("l_linestatus").alias("status"),

@@ -213,3 +213,30 @@ def test_only_items_and_a_row_for_each_block_are_stored(spark):
     assert [tuple(r) for r in found] == [("f", 7, 5, ["a", "b"])]
     blocks = len(text) // 50 + 1
     assert stored <= 40 + 2 * blocks + 1
+
+
+@pytest.mark.parametrize("block", [7, 100_000])
+def test_repeated_items_are_folded_by_case_and_conditions(spark, block):
+    """Only what is equal in case, number and conditions is folded, wherever its switch opens."""
+    rng = random.Random(5)
+    parts = ["x.SetDefaults(5);", "if (a) {", "x.SetDefaults(5); x.SetDefaults(6);", "}", "if (a)", "case 1:", "case 2:", "{", "if (b) {"]
+    bodies = [[rng.choice(parts) for _ in range(60)] for _ in range(40)]
+    bodies = [[*body, *["}"] * (sum(p.count("{") - p.count("}") for p in body))] for body in bodies]
+    files = {f"f{i}": wrap("case 3:", "x.SetDefaults(5);", "x.SetDefaults(5);", *body) for i, body in enumerate(bodies)}
+    assert run(spark, files, block_lines=block) == {name: model(body) for name, body in files.items()}
+
+
+def test_lines_are_computed_once(spark):
+    """The text is not read before to find its markers."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    text = [*["// nothing"] * 30, *wrap("case 7:", "x.SetDefaults(5);"), *wrap("case 8:", "x.SetDefaults(6);")]
+    lines = spark.createDataFrame([("f", n, line) for n, line in enumerate(text)], "file string, line_no bigint, line string")
+    found = scoped_extract(lines.mapInArrow(count, lines.schema), block_lines=5).collect()
+    assert [tuple(r) for r in found] == [("f", 7, 5, [])]
+    assert seen.value == len(text)

@@ -145,6 +145,25 @@ def test_walk_goes_level_by_level(spark, folder, rows):
     assert [r["error"].split(":")[0] for r in walk_files(spark, f"{folder}/w/a.png").collect()] == ["NotADirectoryError"]
 
 
+def test_a_failed_listing_is_no_result(spark, folder, rows):
+    put(folder, "w/Item_1.xnb", b"..")
+    # A file in the place of a folder can't be listed, which is not the same as an empty folder.
+    for listing in (list_assets, list_files):
+        with pytest.raises(OSError, match="NotADirectoryError"):
+            listing(spark, f"{folder}/w/Item_1.xnb")
+        assert listing(spark, f"{folder}/w").count() == 1
+    assert [r["length"] for r in walk_files(spark, f"{folder}/w/Item_1.xnb").collect()] == [None]
+    # A link to nothing is no file, but an asset of that name can't be read.
+    os.symlink(f"{folder}/gone", f"{folder}/w/Item_2.xnb")
+    assert rows(list_files(spark, f"{folder}/w")) == [("Item_1.xnb", 2)]
+    with pytest.raises(OSError, match="Item_2.xnb: BrokenLink"):
+        list_assets(spark, f"{folder}/w")
+    # A link to itself can't even be looked at.
+    os.symlink(f"{folder}/w/loop", f"{folder}/w/loop")
+    with pytest.raises(OSError, match="can't be read"):
+        list_files(spark, f"{folder}/w")
+
+
 def test_typed_tables(spark, folder, rows):
     table, warning = read_table(spark, f"{folder}/none", schemas.ITEMS)
     assert warning and rows(table) == [] and table.columns == schemas.ITEMS.fieldNames()

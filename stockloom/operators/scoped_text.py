@@ -323,7 +323,7 @@ def _carrier(schema: T.StructType):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        table = table.take(pc.sort_indices(table["block"]))
+        table = table.take(pc.sort_indices(table, sort_keys=[("block", "ascending"), ("from_marker", "ascending")]))
         rows, marker, depth, stack, header, pending = [], None, 0, [], False, (None, None)
         for r in table.to_pylist():
             if r["from_marker"] != (marker is None):
